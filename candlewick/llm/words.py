@@ -20,6 +20,8 @@ _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _punctuation = np.zeros(256, bool)
 _punctuation[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: White space and ASCII punctuation.
+SYMBOLS = _space | _punctuation
 #: Of the bytes that can end a character, those of ASCII letters and digits.
 _alnum = np.zeros(256, bool)
 _alnum[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -71,9 +73,9 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         row = last
 
 
-def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the offsets of each document's first word."""
-    word = ~_space[data]
+def word_spans(data: np.ndarray, ends: np.ndarray, apart: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the offsets of each document's first word; ``apart``: bytes between words."""
+    word = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = True
     before = np.empty(len(data), bool)
@@ -87,9 +89,9 @@ def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, apart: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every lower-cased word, and the offsets of each document's first word."""
-    starts, stops, first = word_spans(data, ends)
+    starts, stops, first = word_spans(data, ends, apart)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte[_lower[data]] * _power(_P, len(data)), dtype=np.uint64, out=sums[1:])
     return mix((sums[stops] - sums[starts]) * _power(_P_INV, len(data) + 1)[starts]), first
