@@ -100,15 +100,16 @@ def quality_verdicts(docs: DataFrame, **limits: float) -> DataFrame:
 def clean_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The kept rows of ``docs``, all columns, lines above the limits taken out of ``text`` (and of ``n_chars``)."""
     columns = docs.columns
-    keyed = docs.withColumns({"_host": _host(), "_content": _content()})
     lines = depleted_documents(docs, **limits).select(F.col("host").alias("_host"), F.col("content").alias("_content"), F.col("drop_lines").alias("_drop"), F.col("depleted").alias("_depleted"))
-    base = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    kept = base_metrics(keyed.select(F.struct(*columns).alias("_row"), "text", "_host", "_content")).where("NOT base_failed").drop(*base)
+    others = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("_row")  # their names cannot clash in there
+    kept = base_metrics(docs.select(others, "text", _host().alias("_host"), _content().alias("_content"))).where("NOT base_failed").select("_row", "text", "_host", "_content")
     kept = kept.join(lines, ["_host", "_content"], "left").where("NOT coalesce(_depleted, false)")
     whole = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_drop", F.xxhash64(normalised(x))), F.lit(False))), "\n")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(whole)
     out = kept.withColumn("_text", text)
-    made = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_drop").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_text"))} if "n_chars" in columns else {})
+    made: dict[str, Column] = {"text": F.col("_text")}
+    if "n_chars" in columns:
+        made["n_chars"] = F.when(F.col("_drop").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long"))
     return out.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in columns])
 
 

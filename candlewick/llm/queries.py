@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +12,7 @@ from candlewick.llm import quality, url_filter
 from candlewick.llm.decontamination import contamination
 from candlewick.llm.html_extract import extract_text
 from candlewick.llm.license_scan import scan_licenses
+from candlewick.llm.near_dup import near_duplicate_groups
 from candlewick.llm.packing import pack
 from candlewick.llm.sharding import kd_shards
 from candlewick.llm.token_files import token_file_digest
@@ -17,6 +20,11 @@ from candlewick.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Python workers started from now on find this package where the driver runs it from source."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +40,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(table(spark, sf_dir, "pages"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -61,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_html_extraction": op5_html_extraction,
         "op6_line_frequency": op6_line_frequency,
         "op7_kd_sharding": op7_kd_sharding,
