@@ -21,8 +21,8 @@ from candlewick.llm.words import chunks, lower_pieces
 END_ID = 1
 _SEPARATOR = "\x01"
 _JOINED = 256
-_KNOWN_MOST = 800_000
-_CHUNK = 1 << 23
+_KNOWN_MOST = 300_000
+_CHUNK = 1 << 22
 #: Letters that neither NFC nor lower-casing changes.
 _SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 

@@ -123,8 +123,8 @@ def lower_pieces(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarr
     """The words, A-Z lower-cased, as strings, each cut before its ASCII punctuation at the end where a letter or
     digit comes before that; and the offsets of each document's first piece. ``<|name|>`` is not cut at ``|``."""
     starts, stops, first = word_spans(data, ends)
-    at = np.arange(len(data))
-    solid = np.maximum.accumulate(np.where(_punctuation[data], -1, at))[stops - 1] if len(stops) else stops
+    at = np.arange(len(data), dtype=np.int32)
+    solid = np.maximum.accumulate(np.where(_punctuation[data], np.int32(-1), at))[stops - 1].astype(np.int64) if len(stops) else stops
     cut = (solid >= starts) & (solid < stops - 1)
     where = np.minimum(solid, len(data) - 2)
     latin = (data[where] >= 0x80) & (data[where] != 0x97) & (data[where] != 0xB7) & (data[where - 1] == 0xC3) & (where > starts)
