@@ -42,7 +42,8 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     """``docs`` (with ``text``) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     n_repeat_words: window hashes are sorted with their positions, equal neighbours give the positions of repeated
-    windows, and each position counts the words up to the next one, three at most.
+    windows, and each position counts the words up to the next one, three at most. Its zero from the row number keeps
+    later filters above it: pushed below, they would spell out the sorted windows once for each mention.
     """
     body = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "")
@@ -55,7 +56,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         "_grams": F.sort_array(F.expr("transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (x, i) -> struct(xxhash64(x, get(_w, i + 1), get(_w, i + 2)) AS h, i AS p))")),
     })
     df = df.withColumn("_p", F.sort_array(F.expr("transform(filter(_grams, (x, i) -> coalesce(get(_grams, i - 1).h = x.h, false) OR coalesce(get(_grams, i + 1).h = x.h, false)), x -> x.p)")))
-    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))), 0L, (a, x) -> a + x)"))
+    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))), 0L, (a, x) -> a + x)") + F.least(F.monotonically_increasing_id(), F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed).drop("_w", "_lines", "_grams", "_p")
 
