@@ -112,7 +112,7 @@ def epoch(train: DataFrame, nets: Sequence[Net], settings: Sequence[Settings], w
         total = lambda c: np.stack([np.asarray(v.values) for v in table[c]]).sum(0)
         return pa.table({"slot": table["slot"][:1], "rows": [sum(table["rows"].to_pylist())], "sums": [total("sums")], "losses": [total("losses")]})
 
-    schema = "slot int, rows long, sums array<double>, losses array<double>"
+    schema = "slot long, rows long, sums array<double>, losses array<double>"
     got = train.select("context", "Label_id").mapInArrow(run, schema).groupBy("slot").applyInArrow(add, schema).collect()  # at most SLOTS rows
     rows = sum(r["rows"] for r in got)
     if not rows:

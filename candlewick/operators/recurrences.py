@@ -45,12 +45,16 @@ def smooth(df: DataFrame, specs: Sequence[Smoothing], keys: Sequence[str] = KEYS
     df = df.withColumns({f"_l_{s.name}": F.pow(F.lit(1 - s.alpha), j) * F.sum(F.coalesce(f"_v_{s.name}", F.lit(0.0)) * F.pow(F.lit(1 - s.alpha), -j)).over(inner) for s in specs})
     blocks = df.groupBy(*keys, "_block").agg(*[F.max_by(f"_l_{s.name}", "_j").alias(f"_e_{s.name}") for s in specs])
     past = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_block", *[F.aggregate(F.collect_list(f"_e_{s.name}").over(past), F.lit(0.0), lambda a, x, b=(1 - s.alpha) ** BLOCK: a * b + x).alias(f"_c_{s.name}") for s in specs])
+    carried = blocks.select(*keys, "_block", *[_folded(F.collect_list(f"_e_{s.name}").over(past), (1 - s.alpha) ** BLOCK).alias(f"_c_{s.name}") for s in specs])
     out = df.join(carried, [*keys, "_block"])
     values = {s.name: F.when((F.col("_i") >= s.seed) & ~F.col(f"_bad_{s.name}"), F.col(f"_l_{s.name}") + F.col(f"_c_{s.name}") * F.pow(F.lit(1 - s.alpha), j + 1)) for s in specs}
     return out.withColumns(values).drop("_block", "_j", *[f"_{k}_{s.name}" for s in specs for k in ("v", "bad", "l", "c")])
 
 
+def _folded(lasts: Column, decay: float) -> Column:
+    return F.aggregate(lasts, F.lit(0.0), lambda a, x: a * decay + x)
+
+
 def capital_after_fees(df: DataFrame, growth: Column, cost: Column, capital: float | Column, keys: Sequence[str] = KEYS, order: str = "date") -> DataFrame:
     """``capital`` after each row of c <- c * growth - cost, and ``dead``: it reached 0, where it stays.
 
