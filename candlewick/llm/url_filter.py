@@ -148,7 +148,7 @@ def _oracle() -> str:
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_A_Z}', '{_a_z}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
              regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM u),
-m AS (SELECT page_id, host, path, list_max(list_filter([{fits}], x -> x IS NOT NULL)) AS fit, coalesce({patterns.replace("(t,", "(host || tail,")}) AS pattern FROM s)
+m AS (SELECT page_id, host, path, list_max([{fits}]) AS fit, coalesce({patterns.replace("(t,", "(host || tail,")}) AS pattern FROM s)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern FROM m
 """
 
