@@ -11,7 +11,7 @@ and a group's name, has a weight of its own, which a linear model lacks.
 3. All documents are scored where they lie, whole; a task needs only the kept terms' weights.
 
 A text without known terms (also empty or null) gets the score of w0. A null doc_id counts as empty text in the fold
-rule. Several labels of one document count as toxic if one is. With no usable labels all scores are 0. Columns other
+rule. Several labels of one document count as toxic if one is. Unless documents of both classes are labelled all scores are 0. Columns other
 than the text are never inputs of a score; repeated rows get equal scores.
 """
 
@@ -140,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on the labelled rows outside fold 0."""
     place = np.full(BUCKETS, -1, np.int64)
     rows, counts = training_sample(docs, labels, sample)
+    untrained = Model(place.copy(), -60.0, np.zeros(0), np.zeros((0, FACTORS)))
     if len(counts) < 2:
-        return Model(place, -60.0 if 1 not in counts else 60.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return untrained
     used = {k: min(sample, n) for k, n in counts.items()}
     a, b, n1, n0 = F.col("n1") + 0.5, F.col("n0") + 0.5, used[1] + 1.0, used[0] + 1.0
     odds = F.log(a / (n1 - F.least(a, F.lit(n1 - 0.5)))) - F.log(b / (n0 - F.least(b, F.lit(n0 - 0.5))))
@@ -149,6 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     buckets = np.array(sorted(r["term"] for r in telling), np.int64)
     place[buckets] = np.arange(len(buckets))
     label, lists, ids = _matrix(rows, place)
+    if len(set(label.tolist())) < 2:  # labels of documents that are not there
+        return untrained
     order = np.lexsort([label, ids])
     lists, label = lists.take(pa.array(order)), label[order].astype(float)
     flat = np.asarray(lists.flatten()).astype(np.int64)
