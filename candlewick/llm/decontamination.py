@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are lower-cased (A-Z). A seed looks at ``MASKS``' fixed positions after a word and ignores the words between
-them, so its hash survives substitutions there; the two masks together meet every overlap of ``MIN_SPAN`` words with up
-to two substituted words. Benchmark items hash all their positions; each text position is looked up in that table, by
-a bitmap first. A hit fixes a text and an item position, and so a diagonal on which all of the item is compared with
-the text: the best run of words, scored +1 for equal and ``-PENALTY`` for different ones, counts if it spans
-``MIN_SPAN`` words (or all words of a shorter item) and ``MIN_SAME`` of its words are equal.
+them, so its hash survives substitutions there; the two masks together meet every run of ``SPAN`` words with up to
+``DIFFERENT`` substituted ones. Items shorter than that take the contiguous mask. Benchmark items hash all their
+positions; each text position is looked up in that table, by a bitmap first. A hit fixes a text and an item position, and
+so a diagonal on which all of the item is compared with the text. Text and item overlap where ``SPAN`` consecutive words
+of the diagonal hold at most ``DIFFERENT`` unequal ones, or where a shorter item occurs word for word; a result spans all
+such runs of the diagonal with the most.
 
 The benchmark is a stated query set against all documents: it is taken in blocks of at most ``BLOCK_WORDS`` words, and
 each block's table goes to the tasks. Documents are never shuffled or cut.
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from candlewick.llm.words import chunks, mix, word_hashes
 
 MASKS = ((0, 1, 2, 6, 7, 8), (0, 3, 4, 6, 7, 9))
-MIN_SPAN = 13
+SHORT_MASK = (0, 1, 2, 3, 4, 5)
+SPAN = 13
+DIFFERENT = 2
 MIN_ITEM = 8
-MIN_SAME = 0.75
-PENALTY = 3
 BLOCK_WORDS = 500_000
 _BITS = np.uint64(22)
 _Q = np.uint64(0xD1342543DE82EF95)
@@ -50,8 +51,9 @@ class _Table:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         self.masks = []
-        for mask in MASKS:
-            found = [seeds(w, mask) for _, w in items]
+        short = any(len(w) < SPAN for _, w in items)
+        for mask in (*MASKS, *[SHORT_MASK] * short):
+            found = [seeds(w, mask) if mask != SHORT_MASK or len(w) < SPAN else w[:0] for _, w in items]
             seed = np.concatenate(found) if found else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(found)), [len(f) for f in found])
             at = np.concatenate([np.arange(len(f)) for f in found]) if found else item
@@ -73,25 +75,27 @@ class _Table:
         return found
 
 
-def best_run(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(first item word, words, equal words) of the best run on a diagonal."""
+def overlap_on(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """(first item word, words, equal words) from the first to the last run on a diagonal that counts, or None."""
     a, b = max(0, -diagonal), min(len(item), len(text) - diagonal)
-    same = text[a + diagonal : b + diagonal] == item[a:b]
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return a + start, end - start, int(same[start:end].sum())
+    n = min(SPAN, len(item))
+    if b - a < n:
+        return None
+    same = np.concatenate([[0], np.cumsum(text[a + diagonal : b + diagonal] == item[a:b])])
+    runs = np.flatnonzero(same[n:] - same[:-n] >= n - (DIFFERENT if n == SPAN else 0))
+    if not len(runs):
+        return None
+    start, stop = int(runs[0]), int(runs[-1]) + n
+    return a + start, stop - start, int(same[stop] - same[start])
 
 
 def overlaps(words: np.ndarray, table: _Table) -> Iterator[tuple[int, int, int, int, int]]:
-    """The best overlap of each item that counts: (item, text word, item word, words, equal words)."""
+    """The largest overlap of each item: (item, text word, item word, words, equal words)."""
     best: dict[int, tuple[int, int, int, int, int]] = {}
     for k, diagonal in sorted(table.diagonals(words)):
-        item = table.items[k][1]
-        start, n, same = best_run(words, item, diagonal)
-        if n >= min(MIN_SPAN, len(item)) and same >= MIN_SAME * n and (k not in best or same > best[k][4]):
-            best[k] = (k, start + diagonal, start, n, same)
+        found = overlap_on(words, table.items[k][1], diagonal)
+        if found and (k not in best or found[2] > best[k][4]):
+            best[k] = (k, found[0] + diagonal, *found)
     yield from best.values()
 
 

@@ -7,9 +7,9 @@ Each page is one row, so a task works page by page and nothing is shuffled:
 2. Text length, punctuation, link text and node counts are summed for each path. A path's ratio is
    log(1 + characters a node) * log(2 + punctuation marks a node) * share of text outside links.
 3. Ratios are smoothed: a path takes the mean of all paths' ratios, weighted by their nodes and by the part of the
-   path they share. Smoothed and own ratio are fused by their product with a structure weight: none for
+   path they share. Smoothed and own ratio are fused by their product, with a structure weight of 0 or 1: none for
    navigation, page headers and footers, asides, forms and elements whose class or id says advert, notice, comment
-   and so on; more for text in ``article`` or ``main``.
+   and so on, and on pages with text in ``article`` or ``main`` none outside these.
 4. Paths at or above a share of the best fused value are content. Short nodes next to them, such as headings,
    are kept too: everything with a structure weight below the content paths' common ancestor.
 
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
-ARTICLE_WEIGHT = 4.0
 
 # Element names of HTML, and class or id words of page furniture.
 _BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -171,28 +170,27 @@ def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
 def main_text(markup: str | None) -> str:
     nodes = text_nodes(markup or "")
     sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    weight: dict[tuple, float] = {}
     for node in nodes:
         key = (node.path, node.furniture, node.article)
         for k, x in enumerate((1, len(node.text), len(_PUNCTUATION.findall(node.text)), min(node.links, len(node.text)))):
             sums[key][k] += x
-        weight[key] = 0.0 if node.furniture else ARTICLE_WEIGHT if node.article else 1.0
+    marked = any(n.article and not n.furniture for n in nodes)
     ratio = {p: math.log1p(c / n) * math.log(2 + marks / n) * (1 - linked / c) for p, (n, c, marks, linked) in sums.items()}
-    good = [p for p in ratio if weight[p]]
+    good = [p for p in ratio if not p[1] and p[2] == marked]
     fused = {}
     for p in good:
-        near = [(sums[q][0] * _shared(p[0], q[0]) / max(len(p[0]), len(q[0]), 1), ratio[q]) for q in good if q[2] == p[2]]
+        near = [(sums[q][0] * _shared(p[0], q[0]) / max(len(p[0]), len(q[0]), 1), ratio[q]) for q in good]
         total = sum(w for w, _ in near)
         smooth = sum(w * r for w, r in near) / total if total else ratio[p]
-        fused[p] = weight[p] * smooth * (ratio[p] + smooth) / 2
+        fused[p] = smooth * (ratio[p] + smooth) / 2
     best = max(fused.values(), default=0.0)
     chosen = [p for p in good if best and fused[p] >= THRESHOLD * best]
     if not chosen:
         return ""
     depth = min(_shared(chosen[0][0], p[0]) for p in chosen)
     depth = min(depth, max(len(chosen[0][0]) - 1, 0)) if len(chosen) == 1 else depth
-    top, article = chosen[0][0][:depth], any(p[2] for p in chosen)
-    return "\n".join(n.text for n in nodes if not n.furniture and n.path[:depth] == top and (n.article or not article))
+    top = chosen[0][0][:depth]
+    return "\n".join(n.text for n in nodes if not n.furniture and n.article == marked and n.path[:depth] == top)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

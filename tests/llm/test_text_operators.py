@@ -154,7 +154,8 @@ def test_quality_equals_sql(spark):
 
 
 def test_frequent_lines_go_and_empty_shells_with_them(spark):
-    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits count as equal
+    body = lambda k: " ".join(f"w{letters(k)}x{letters(i)}" for i in range(60))
     rows = [(k, f"{body(k)}\nShare  this PAGE {k % 10}", "h") for k in range(40)]
     rows += [(100 + k, "\n".join([f"own {k}", *[" ".join(f"menu{j}_{i}" for i in range(20)) for j in range(4)]]), "h") for k in range(30)]
     rows += [(200 + k, body(999), "h") for k in range(50)]  # copies alone are no boilerplate
@@ -256,7 +257,7 @@ def test_a_pair_of_terms_is_learned(spark):
     rows, labels = [], []
     for k in range(2400):
         a, b = rng.random(2) < 0.5
-        text = " ".join(["insultword"] * a + ["groupname"] * b + [f"w{rng.integers(300)}" for _ in range(8)])
+        text = " ".join(["insultword"] * int(a) + ["groupname"] * int(b) + [f"w{rng.integers(300)}" for _ in range(8)])
         rows.append((k, text))
         labels.append((k, int(a and b)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -334,18 +335,14 @@ def naive_contamination(texts, items):
         seen = set(t)
         for k, item in items.items():
             w = folded(item)
-            if len(w) < decontamination.MIN_ITEM or sum(x in seen for x in w) < min(decontamination.MIN_SPAN, len(w)) * decontamination.MIN_SAME:
+            n = min(decontamination.SPAN, len(w))
+            need = n - (decontamination.DIFFERENT if n == decontamination.SPAN else 0)
+            if len(w) < decontamination.MIN_ITEM or sum(x in seen for x in w) < need:
                 continue
-            for diagonal in range(-len(w) + 1, len(t)):
-                best = score = n = same = 0
-                for j in range(max(0, -diagonal), min(len(w), len(t) - diagonal)):
-                    hit = t[j + diagonal] == w[j]
-                    score, n, same = score + (1 if hit else -decontamination.PENALTY), n + 1, same + hit
-                    if score <= 0:
-                        score = n = same = 0
-                    elif score >= best and n >= min(decontamination.MIN_SPAN, len(w)) and same >= decontamination.MIN_SAME * n:
-                        best = score
-                        out.add((d, k))
+            for p in range(len(t) - n + 1):
+                if any(sum(x == y for x, y in zip(t[p : p + n], w[q : q + n], strict=True)) >= need for q in range(len(w) - n + 1)):
+                    out.add((d, k))
+                    break
     return out
 
 
@@ -372,10 +369,9 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     docs = spark.createDataFrame([*texts.items(), (900, "q0 q1 q2 q3 q4 q5 q6 z z z z z z"), (901, "the of and")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     got = {r["doc_id"] for r in decontamination.contamination(docs, bench).collect()}
-    inner = {k for k in texts if 0 < k // 13 and k % 13 < 12}  # substituted ends leave a shorter run
-    assert inner - {k for k in inner if naive_contamination({k: texts[k]}, {1: " ".join(w)}) == set()} <= got and not got & {900, 901}
+    assert got == set(texts)
     kept = {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()}
-    assert kept == {*texts, 900, 901} - got
+    assert kept == {900, 901}
 
 
 def license_words(text):
