@@ -91,6 +91,14 @@ def portfolio(df: DataFrame, signal: str = "Label_id", price: str = "adj_close",
     return _record(totals.select((share * F.col("_used")).alias("initial_capital"), (each * F.col("model_final_capital")).alias("model_final_capital"), (each * F.col("buy_hold_final_capital")).alias("buy_hold_final_capital")))
 
 
+def aligned(rows: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
+    """``rows`` with the predictions of the same keys. A row without a prediction, or a prediction without a row, is an
+    error when the plan runs: all must be used."""
+    both = rows.withColumn("_row", F.lit(True)).join(predictions.withColumn("_made", F.lit(True)), list(keys), "full")
+    whole = F.when(F.col("_row") & F.col("_made"), True).otherwise(F.raise_error(F.lit("a row or a prediction has no partner")).cast("boolean"))
+    return both.where(whole).drop("_row", "_made")
+
+
 def benchmark_log(df: DataFrame, capital: float = 10_000.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """capital * exp(sum of log returns) of each series."""
     return log_returns(df, ["adj_close"], keys).groupBy(*keys).agg((capital * F.exp(F.coalesce(F.sum("adj_close_ret"), F.lit(0.0)))).alias("benchmark"))

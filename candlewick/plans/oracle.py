@@ -203,6 +203,14 @@ s AS (SELECT 10000.0 / count(*) * count(*) FILTER (k >= 2) AS start, 10000.0 / c
         "fee_curve": bars("walk", f"""{lab20}, {positions(-1)}, {_EXECUTED},
 run AS (SELECT ticker, CAST(-1 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS date, CAST(10000 AS DOUBLE) AS cap FROM exe GROUP BY ticker
         UNION ALL SELECT e.ticker, e.i, e.date, greatest(cap * (1 + executed * fwd) - 2.0 * turn, 0) FROM run JOIN exe e ON e.ticker = run.ticker AND e.i = run.i + 1)""", True) + "SELECT ticker, date, round(cap, 2) AS model_capital FROM run WHERE i >= 0",
+        "strategy_record": bars("calm", f"{lab20}, {positions(0)}, c AS (SELECT ticker, 10000.0 AS start, 10000 * product(1 + position * fwd) AS m, 10000 * product(1 + fwd) AS h FROM pos GROUP BY ticker HAVING count(*) >= 2)") + f"SELECT ticker, {record} FROM c",
+        "portfolio_long_short": bars("walk", f"""{lab20}, {positions(-1)}, {_EXECUTED}, share AS (SELECT 10000.0 / count(DISTINCT ticker) AS share FROM exe),
+run AS (SELECT ticker, CAST(-1 AS BIGINT) AS i, CAST((SELECT share FROM share) AS DOUBLE) AS cap FROM exe GROUP BY ticker
+        UNION ALL SELECT e.ticker, e.i, greatest(cap * (1 + executed * fwd) - 2.0 * turn, 0) FROM run JOIN exe e ON e.ticker = run.ticker AND e.i = run.i + 1),
+c AS (SELECT ticker, arg_max(cap, i) AS m FROM run GROUP BY ticker), hh AS (SELECT ticker, count(*) AS k, product(1 + fwd) * (SELECT share FROM share) AS h FROM exe GROUP BY ticker),
+s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h) AS h FROM c JOIN hh USING (ticker) WHERE k >= 2)""", True) + f"SELECT {record} FROM s",
+        "predictions_aligned": bars("calm", f"{lab20}, {SCORED}") + f"SELECT ticker, date, close, CAST({predicted()} AS INTEGER) AS y_pred FROM sc JOIN bars USING (ticker, date)",
+        "best_thresholds": bars("calm", f"{lab20}, {SCORED}, {thresholds}, {grid_rows.replace('y_true,', 'y_true, ticker,', 1)}, me AS ({measures('gr', 'ticker, buy_threshold, sell_threshold')})") + "SELECT ticker, buy_threshold, sell_threshold, macro_f1, bal_acc FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY macro_f1 DESC, buy_threshold, sell_threshold) AS place FROM me) WHERE place = 1",
         "backtest_long": bars("calm", f"{lab20}, {positions(0)}, {backtest_loop(2.0, 10000.0, 0)}", True) + ends("ticker"),
         "backtest_long_short": bars("calm", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "backtest_bankrupt": bars("brand", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),

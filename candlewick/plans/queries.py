@@ -134,6 +134,10 @@ def queries() -> dict[str, Query]:
         "executed_positions": calm(lambda b: at("executed")(_executed(b))),
         "turnover": calm(lambda b: at("turnover")(_executed(b).withColumn("turnover", backtest.turnover("executed")))),
         "fee_curve": walk(lambda b: at("model_capital")(money(backtest.curves(_labelled(b), short=True, lag=1, fee=2.0)))),
+        "strategy_record": calm(lambda b: money(backtest.results(backtest.curves(_labelled(b))))),
+        "portfolio_long_short": walk(lambda b: money(backtest.portfolio(_labelled(b), short=True, lag=1, fee=2.0))),
+        "predictions_aligned": calm(lambda b: backtest.aligned(b.select("ticker", "date", "close"), tested(b).select("ticker", "date", "y_pred"))),
+        "best_thresholds": calm(lambda b: rounded(grids.best_thresholds(_scored(b), ["ticker"]), 8, "macro_f1", "bal_acc")),
         "backtest_long": calm(lambda b: money(backtest.backtest(_labelled(b), fee=2.0))),
         "backtest_long_short": calm(lambda b: money(backtest.backtest(_labelled(b), fee=2.0, short=True))),
         "backtest_bankrupt": brand(lambda b: money(backtest.backtest(_labelled(b), fee=2.0, short=True))),
