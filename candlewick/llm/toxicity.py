@@ -6,8 +6,8 @@ and a group's name, has a weight of its own, which a linear model lacks.
 
 1. Labels: rows of ``labels`` whose crc32(doc_id as text) mod 5 is not 0; of these a sample fixed by a hash of the id,
    at most ``SAMPLE`` of each class. The sample bounds the fit; class sizes over all such rows set the class weights.
-2. Spark counts terms by class over the sample; the ``TERMS`` most telling ones (log odds ratio over its standard
-   error) are kept. Their presence in the sample is the training matrix, fitted with numpy by AdaGrad.
+2. Spark counts terms by class over the sample; of those whose log odds ratio is ``MIN_Z`` standard errors from zero the
+   ``TERMS`` most telling ones are kept. Their presence in the sample is the training matrix, fitted with numpy by AdaGrad.
 3. All documents are scored where they lie, whole; a task needs only the kept terms' weights.
 
 A text without known terms (also empty or null) gets the score of w0. A null doc_id counts as empty text in the fold
@@ -31,6 +31,7 @@ from candlewick.llm.words import chunks, lower_pieces
 BUCKETS = 1 << 18
 SAMPLE = 12_000
 TERMS = 4096
+MIN_Z = 3.5
 FACTORS = 4
 EPOCHS = 60
 RATE = 0.15
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     used = {k: min(sample, n) for k, n in counts.items()}
     a, b, n1, n0 = F.col("n1") + 0.5, F.col("n0") + 0.5, used[1] + 1.0, used[0] + 1.0
     odds = F.log(a / (n1 - F.least(a, F.lit(n1 - 0.5)))) - F.log(b / (n0 - F.least(b, F.lit(n0 - 0.5))))
-    telling = _term_counts(rows).select("term", (odds / F.sqrt(1 / a + 1 / b)).alias("z"), "n0", "n1").orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
+    telling = _term_counts(rows).select("term", (odds / F.sqrt(1 / a + 1 / b)).alias("z"), "n0", "n1").where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
     buckets = np.array(sorted(r["term"] for r in telling), np.int64)
     place[buckets] = np.arange(len(buckets))
     label, lists, ids = _matrix(rows, place)
