@@ -3,18 +3,20 @@
 A document's set holds its distinct five-word shingles (with fewer words, the whole sequence). Two documents are linked
 where 100 * |A & B| >= 75 * |A | B|; components of links are groups, and a group keeps its smallest doc_id.
 
-1. *Signatures*, where the texts lie: size, a 128-bit key of the set, ``ROWS * BANDS`` MinHash values as band hashes, and
-   an odd sketch: each MinHash value flips one of ``SKETCH_BITS`` bits, so d differing bits estimate the similarity as
-   1 + SKETCH_BITS / (4 * k) * ln(1 - 2 d / SKETCH_BITS), most precisely where it is high.
+1. *Signatures*, where the texts lie: size, a 128-bit key of the set, band hashes of the first ``ROWS * BANDS`` of
+   ``SAMPLES`` MinHash values, and an odd sketch: each value flips one of ``SKETCH_BITS`` bits, so d differing bits
+   estimate the similarity as 1 + SKETCH_BITS / (4 * SAMPLES) * ln(1 - 2 d / SKETCH_BITS), most precisely where it is
+   high.
 2. *Classes*: equal sets are one class, so thousands of exact copies cost one node, named by the smallest doc_id.
 3. *Buckets*: classes with an equal band. At similarity 0.75 a pair shares none of 32 bands of 4 with probability 5e-6.
 4. *Stars*: in each bucket all members are held against one hub, the member with the most bucket mates; sketches sift,
-   full sets confirm, components follow. A second hub does the same for buckets that are not yet one component.
+   full sets confirm, components follow.
 5. *The rest*: in buckets that still hold several components every pair from different components is sifted by
-   sketches, in blocks of ``BLOCK`` members; members of the largest component are never paired with each other. Pairs
-   that pass are confirmed on full sets. So each bucket ends with all its pairs either joined or refuted.
+   sketches, in blocks of ``BLOCK`` members, in the first bucket that the pair shares; members of the largest component
+   are never paired with each other. Pairs that pass are confirmed on full sets. So each bucket ends with all its pairs
+   either joined or refuted.
 
-A true pair passes the sift (at most ``MAX_DIFFERENT`` bits) but with probability under 1e-5. Texts are compared in
+A true pair fails the sift (over ``MAX_DIFFERENT`` bits) with probability under 1e-5. Texts are compared in
 streams: pairs lie sorted by hub, a hub's members dealt to salts, and a task holds one hub's set at a time.
 
 A null or wordless text has an empty set and no links. Documents without a doc_id are linked with nothing. Rows that
@@ -35,31 +37,32 @@ from candlewick.llm.storage import materialize
 from candlewick.llm.words import mix, shingle_sets
 
 ROWS, BANDS = 4, 32
-SKETCH_BITS = 1024
-#: Of differing sketch bits; estimates a similarity of 0.56 and less beyond, 4.9 standard errors under 0.75.
-MAX_DIFFERENT = 101
+SAMPLES = 1024
+SKETCH_BITS = 4096
+#: Of differing sketch bits; beyond lie estimates under 0.68, 4.5 standard errors from 0.75.
+MAX_DIFFERENT = 562
 NEED, OF = 75, 100
 BLOCK = 256
 SALT_MEMBERS = 200
 
 _rng = np.random.Generator(np.random.PCG64(1997))
-_XOR, _MUL = _rng.integers(0, 2**32, (2, ROWS * BANDS, 1), dtype=np.uint32) | np.uint32(1)
+_XOR, _MUL = _rng.integers(0, 2**32, (2, SAMPLES, 1), dtype=np.uint32) | np.uint32(1)
 _SIGNATURE = f"doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """``ROWS * BANDS`` minima of a non-empty set."""
+    """``SAMPLES`` minima of a non-empty set."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 2**32 - 1, np.uint32)
-    for i in range(0, len(low), 2048):
-        h = (low[None, i : i + 2048] ^ _XOR) * _MUL
+    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    for i in range(0, len(low), 256):  # stays in a core's cache
+        h = (low[None, i : i + 256] ^ _XOR) * _MUL
         np.minimum(least, (h ^ (h >> np.uint32(16))).min(1), out=least)
     return least
 
 
 def band_hashes(least: np.ndarray) -> np.ndarray:
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+    for row in least[: ROWS * BANDS].reshape(BANDS, ROWS).T.astype(np.uint64):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + row)
     return out.view(np.int64)
 
@@ -153,17 +156,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose sketches are close, of rows sorted by block pair."""
+    """Pairs of different components whose sketches are close, of rows sorted by block pair; only where no band that both
+    have comes before the group's, so that a pair is met once."""
     for group in _groups(batches, ["band", "x", "y"]):
         node, comp, block = (np.asarray(group[c]) for c in ("node", "comp", "block"))
         sketch = np.asarray(group["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
+        bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(len(node), -1)
+        at = int(np.flatnonzero(bands[0] == group["band"][0].as_py())[0])
         one = block[0] == block[-1] and len(set(block.tolist())) == 1
         left = np.arange(len(node)) if one else np.flatnonzero(block == block.min())
         right = left if one else np.flatnonzero(block != block.min())
         a, b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (not one))]
-            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= MAX_DIFFERENT]
+            other = other[~(bands[other, :at] == bands[i, :at]).any(1)]
+            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64) <= MAX_DIFFERENT]
             a.append(np.minimum(node[i], node[near]))
             b.append(np.maximum(node[i], node[near]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -195,11 +202,11 @@ def _block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     parts = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
     largest = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
     sizes = largest.select("band", "major", F.ceil(F.col("n_major") / BLOCK).cast("int").alias("major_blocks"), F.ceil((F.col("n_all") - F.col("n_major")) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "band").join(classes.select("node", "sketch"), "node")
+    rows = members.join(sizes, "band").join(classes.select("node", "sketch", "bands"), "node")
     own = F.when(F.col("comp") == F.col("major"), F.col("blocks") + F.pmod(F.hash("node"), F.col("major_blocks"))).otherwise(F.pmod(F.hash("node"), F.col("blocks"))).cast("int")
     rows = rows.withColumn("block", own).withColumn("most", F.when(F.col("comp") == F.col("major"), F.col("blocks")).otherwise(F.col("blocks") + F.col("major_blocks")))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
-    dealt = rows.select("band", F.least("block", "mate").alias("x"), F.greatest("block", "mate").alias("y"), "block", "node", "comp", "sketch")
+    dealt = rows.select("band", F.least("block", "mate").alias("x"), F.greatest("block", "mate").alias("y"), "block", "node", "comp", "sketch", "bands")
     return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_sift, "a long, b long").distinct()
 
 
@@ -219,16 +226,10 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     first = materialize(_star_pairs(members.join(central, "node").withColumn("comp", F.col("node")), classes, F.col("central")), "pairs")
     links = materialize(confirmed(first, texts), "links")
     comps = components(links)
-    left = materialize(_unresolved(_labelled(members.where("mates > 2"), comps)), "left")
-    second = _star_pairs(left, classes, F.xxhash64("node"))
+    rest = materialize(_unresolved(_labelled(members.where("mates > 2"), comps)), "rest")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(_untested(second, tested), "pairs")
-    links = links.unionByName(materialize(confirmed(second, texts), "links"))
-    comps = components(links)
-    tested = tested.unionByName(second)
-    rest = _unresolved(_labelled(left.drop("comp"), comps))
-    third = materialize(_untested(_block_pairs(rest, classes), tested), "pairs")
-    more = materialize(confirmed(third, texts), "links")
+    others = materialize(_untested(_block_pairs(rest, classes), tested), "pairs")
+    more = materialize(confirmed(others, texts), "links")
     if more.head(1):
         comps = components(links.unionByName(more))
 
