@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewick.llm.storage import materialize
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LINE_MIN_DOCS = 20
@@ -72,12 +74,14 @@ def _content() -> Column:
 def depleted_documents(docs: DataFrame, min_docs: int = LINE_MIN_DOCS, share_percent: float = LINE_SHARE_PERCENT, keep_percent: float = KEEP_PERCENT) -> DataFrame:
     """For documents (host, content hash) with lines above the limit: the hashes to remove and the verdict.
 
-    Columns: host, content, drop_lines (array of line hashes), depleted.
+    Columns: host, content, drop_lines (array of line hashes), depleted. The texts are read once, for a table of line
+    hashes that all counts come from. Copies of a text count their lines as often as they occur in both sums.
     """
-    texts = docs.select(_host().alias("host"), _content().alias("content"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    own = texts.withColumn("line", F.explode("lines")).select("host", "content", "doc_id", normalised(F.col("line")).alias("norm"))
-    own = own.where("norm <> ''").select("host", "content", "doc_id", F.xxhash64("norm").alias("h"), F.size(F.split("norm", " ")).alias("n"))
-    held = own.groupBy("host", "content", "h").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    norms = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda x: x != "")
+    lines = F.transform(norms, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    texts = materialize(docs.select(_host().alias("host"), _content().alias("content"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")), "lines")
+    own = texts.select("host", "content", "doc_id", F.inline("lines"))
+    held = own.groupBy("host", "content", "h").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
     sizes = texts.groupBy("host", "content").agg(F.count("*").alias("copies"))
     limits = sizes.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * share_percent / 100).alias("most"))
     counts = held.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min_by("content", F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("holder"))
