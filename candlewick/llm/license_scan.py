@@ -7,8 +7,11 @@ similarity is at least m / windows' shingles >= 1/8. ``BANDS`` bands of one MinH
 probability 1 - (1 - 1/8)**BANDS > 0.9998. A retrieved template is held against the exact shingles of the window and
 the two beside it: it counts if ``CONTAINMENT`` of its shingles are there.
 
+A template under five words is one shingle, its whole sequence, with windows of its own length at every word: those of
+its hash are held against its words, and the first that equals them counts, with containment 1.
+
 Texts are searched whole, where they lie; nothing is shuffled. The template list is a parameter of fixed size and goes
-to the tasks. Null and empty texts, and templates under five words, match nothing. Repeated rows give repeated results.
+to the tasks. Null and empty texts, and templates without a word, match nothing. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.words import SHINGLE, SYMBOLS, chunks, ngram_hashes, word_hashes
+from candlewick.llm.words import SHINGLE, SYMBOLS, chunks, ngram_hashes, word_hashes, word_spans
 
 BANDS = 64
 CONTAINMENT = 0.75
@@ -44,6 +47,9 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
 }
 
+# Statements under five words.
+STATEMENTS = {"All rights reserved short": "All rights reserved."}
+
 _SEEDS = np.random.Generator(np.random.PCG64(71)).integers(1, 2**32, (2, BANDS), dtype=np.uint32) | np.uint32(1)
 
 
@@ -57,9 +63,13 @@ class _Templates:
     def __init__(self, templates: Mapping[str, str]):
         self.names, self.sets, self.order = [], [], []
         self.by_class: dict[int, list[int]] = {}
+        self.short: dict[int, list[tuple[str, np.uint64, list[bytes]]]] = {}  # by number of words
         for name, text in templates.items():
-            words, _ = word_hashes(*_one(text), SYMBOLS)
+            data, ends = _one(text)
+            words, _ = word_hashes(data, ends, SYMBOLS)
             grams = ngram_hashes(words, SHINGLE)
+            if 0 < len(words) < SHINGLE:
+                self.short.setdefault(len(words), []).append((name, ngram_hashes(words, len(words))[0], _spelled(data, *word_spans(data, ends, SYMBOLS)[:2])))
             if not len(grams):
                 continue
             size = next((c for c in CLASSES if len(grams) <= c), len(grams))
@@ -100,6 +110,29 @@ class _Templates:
                 yield m, max(int(ends[d]), int(start[w]) - size), min(int(ends[d + 1]), int(stop[w]) + size)
 
 
+    def statements(self, data: np.ndarray, bytes_ends: np.ndarray, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
+        """(document, template's name, first word, words) of the first place of each short template in each document."""
+        spans = None
+        for size, members in self.short.items():
+            grams = ngram_hashes(words, size)
+            for name, value, spelled in members:
+                hits = np.flatnonzero(grams == value)
+                docs = np.searchsorted(at, hits, "right") - 1
+                seen = set()
+                for p, d in zip(hits.tolist(), docs.tolist(), strict=True):
+                    if d in seen or p + size > at[d + 1]:
+                        continue
+                    spans = spans or word_spans(data, bytes_ends, SYMBOLS)
+                    if _spelled(data, spans[0][p : p + size], spans[1][p : p + size]) == spelled:
+                        seen.add(d)
+                        yield d, name, p - int(at[d]), size
+
+
+def _spelled(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """The words of these spans, A-Z lower-cased."""
+    return [data[a:b].tobytes().lower() for a, b in zip(starts, stops, strict=True)]
+
+
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text.encode(), np.uint8)
     return data, np.array([0, len(data)])
@@ -132,6 +165,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) ->
                     if share >= CONTAINMENT and share > best.get((d, m), (0.0,))[0]:
                         best[d, m] = (share, a + x - int(ends[d]), y - x + SHINGLE)
                 out += [(ids[first + d], known.names[m], *v) for (d, m), v in sorted(best.items())]
+                out += [(ids[first + d], name, 1.0, a, n) for d, name, a, n in known.statements(data, bytes_ends, words, at)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])

@@ -8,10 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import quality, url_filter
+from candlewick.llm import license_scan, quality, url_filter
 from candlewick.llm.decontamination import contamination
 from candlewick.llm.html_extract import extract_text
-from candlewick.llm.license_scan import scan_licenses
 from candlewick.llm.near_dup import near_duplicate_groups
 from candlewick.llm.packing import pack
 from candlewick.llm.sharding import kd_shards
@@ -29,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.TEMPLATES | license_scan.STATEMENTS)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,3 +399,23 @@ def test_a_long_notice_with_edits_is_found(spark):
     df = spark.createDataFrame([(1, f"{filler} {notice} {filler}"), (2, filler)], "doc_id long, text string")
     rows = license_scan.scan_licenses(df).collect()
     assert [(r["doc_id"], r["license"], r["first_word"]) for r in rows] == [(1, "MIT grant", 3000)] and 0.75 <= rows[0]["containment"] < 1
+
+
+LICENSE_LINE = re.compile("licen[sc]e|rights reserved|copyright|permission", re.I)
+
+
+def test_every_license_line_of_the_table_is_found(spark, documents):
+    """Lines as the table has them, not as TEMPLATES has them."""
+    _, texts = documents
+    lines = {d: {line.strip() for line in (t or "").split("\n") if LICENSE_LINE.search(line)} for d, t in texts.items()}
+    want = {(d, line) for d, own in lines.items() for line in own}
+    known = license_scan.TEMPLATES | license_scan.STATEMENTS
+    got = {(r["doc_id"], known[r["license"]]) for r in queries.op1_license_scan(spark, SF01).collect()}
+    assert got == want and sum(line == "All rights reserved." for _, line in want) > 5
+
+
+def test_statements_under_five_words(spark):
+    texts = ["All rights reserved.", "x (ALL  rights\nReserved) y all rights reserved", "all rights", "reserved all rights", "all rights not reserved", "overall rights reserved", "GPL", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)  # words of neighbours do not join
+    rows = license_scan.scan_licenses(df, license_scan.STATEMENTS | {"one": "gpl", "none": "--"}).collect()
+    assert sorted(map(tuple, rows)) == [(0, "All rights reserved short", 1.0, 0, 3), (1, "All rights reserved short", 1.0, 1, 3), (6, "one", 1.0, 0, 1)]
