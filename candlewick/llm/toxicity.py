@@ -6,8 +6,12 @@ and a group's name, has a weight of its own, which a linear model lacks.
 
 1. Labels: rows of ``labels`` whose crc32(doc_id as text) mod 5 is not 0; of these a sample fixed by a hash of the id,
    at most ``SAMPLE`` of each class. The sample bounds the fit; class sizes over all such rows set the class weights.
-2. Spark counts terms by class over the sample; of those whose log odds ratio is ``MIN_Z`` standard errors from zero the
-   ``TERMS`` most telling ones are kept. Their presence in the sample is the training matrix, fitted with numpy by AdaGrad.
+2. Spark counts terms by class over the sample. Kept are terms whose class counts depart from the sample's class shares
+   by a signed root likelihood ratio of ``MIN_ROOT``: no smoothing, so a word of one class alone needs a few documents
+   at any sample size (3 where a ninth is toxic, 7 where half is). Kept, too, are both terms of pairs that tell only
+   together: among the ``FREQUENT`` most frequent terms, pairs whose class counts depart by ``PAIR_ROOT`` from the
+   shares of the sample, of either term and of both terms' log odds added. At most ``TERMS`` in all; their presence in
+   the sample is the training matrix, fitted with numpy by AdaGrad.
 3. All documents are scored where they lie, whole; a task needs only the kept terms' weights.
 
 A text without known terms (also empty or null) gets the score of w0. A null doc_id counts as empty text in the fold
@@ -31,7 +35,10 @@ from candlewick.llm.words import chunks, lower_pieces
 BUCKETS = 1 << 18
 SAMPLE = 12_000
 TERMS = 4096
-MIN_Z = 3.5
+MIN_ROOT = 3.0
+FREQUENT = 2048
+PAIR_DOCS = 10
+PAIR_ROOT = 6.0
 FACTORS = 4
 EPOCHS = 60
 RATE = 0.15
@@ -137,6 +144,44 @@ def _matrix(sample: DataFrame, place: np.ndarray) -> list:
     return [np.asarray(got["label"].combine_chunks()), got["terms"].combine_chunks(), np.asarray(got["doc_id"].combine_chunks())]
 
 
+def _root(n1: np.ndarray, n0: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Signed root of the likelihood ratio of class counts against an expected share of class 1."""
+    n = n1 + n0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(n1 > 0, n1 * np.log(n1 / (n * share)), 0) + np.where(n0 > 0, n0 * np.log(n0 / (n * (1 - share))), 0)
+    return np.sign(n1 - n * share) * np.sqrt(2 * np.maximum(ratio, 0))
+
+
+def _joint(flat: np.ndarray, ends: np.ndarray, label: np.ndarray, columns: np.ndarray, width: int, share: float) -> np.ndarray:
+    """Which of ``columns`` are in a pair that tells more than its terms do; those of the most telling pairs first, ``TERMS`` // 4 at most."""
+    k = len(columns)
+    at = np.full(width, -1, np.int64)
+    at[columns] = np.arange(k)
+    both = np.zeros((2, k, k), np.float32)
+    for c in (0, 1):
+        own = np.flatnonzero(label == c)
+        for docs in np.array_split(own, max(1, len(own) // 512)):
+            x = np.zeros((len(docs), k), np.float32)
+            for r, d in enumerate(docs):
+                j = at[flat[ends[d] : ends[d + 1]]]
+                x[r, j[j >= 0]] = 1
+            both[c] += x.T @ x
+    alone = both[:, np.arange(k), np.arange(k)].astype(float)
+    logit = lambda q: np.log(q / (1 - q))
+    odds = logit((alone[1] + 0.5) / (alone.sum(0) + 1))
+    found = []
+    for i in range(k):
+        n0, n1 = both[:, i, i + 1 :].astype(float)
+        least = np.minimum(alone[:, i].sum(), alone[:, i + 1 :].sum(0))
+        j = np.flatnonzero((n0 + n1 >= PAIR_DOCS) & (n0 + n1 <= 0.9 * least))  # a word and its own beginning are no pair
+        n0, n1, other = n0[j], n1[j], odds[i + 1 + j]
+        expected = (logit(share), odds[i], other, odds[i] + other - logit(share))
+        root = np.min([np.abs(_root(n1, n0, 1 / (1 + np.exp(-np.asarray(q))))) for q in expected], axis=0) if len(j) else n0
+        found += [(-float(z), i, i + 1 + int(b)) for z, b in zip(root, j, strict=True) if z >= PAIR_ROOT]
+    first = list(dict.fromkeys(x for _, i, j in sorted(found) for x in (i, j)))
+    return np.array(first[: TERMS // 4], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on the labelled rows outside fold 0."""
     place = np.full(BUCKETS, -1, np.int64)
@@ -145,11 +190,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(counts) < 2:
         return untrained
     used = {k: min(sample, n) for k, n in counts.items()}
-    a, b, n1, n0 = F.col("n1") + 0.5, F.col("n0") + 0.5, used[1] + 1.0, used[0] + 1.0
-    odds = F.log(a / (n1 - F.least(a, F.lit(n1 - 0.5)))) - F.log(b / (n0 - F.least(b, F.lit(n0 - 0.5))))
-    telling = _term_counts(rows).select("term", (odds / F.sqrt(1 / a + 1 / b)).alias("z"), "n0", "n1").where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
-    buckets = np.array(sorted(r["term"] for r in telling), np.int64)
-    place[buckets] = np.arange(len(buckets))
+    seen = np.zeros((2, BUCKETS))
+    got = _term_counts(rows).toArrow()  # at most BUCKETS rows
+    seen[:, np.asarray(got["term"])] = [np.asarray(got["n0"]), np.asarray(got["n1"])]
+    share = used[1] / (used[0] + used[1])
+    single = np.abs(_root(seen[1], seen[0], share))
+    telling = np.argsort(-single, kind="stable")[:TERMS]
+    telling = telling[single[telling] >= MIN_ROOT]
+    often = np.argsort(-seen.sum(0), kind="stable")[:FREQUENT]
+    often = often[seen.sum(0)[often] >= PAIR_DOCS]
+    held = np.union1d(telling, often)
+    place[held] = np.arange(len(held))
     label, lists, ids = _matrix(rows, place)
     if len(set(label.tolist())) < 2:  # labels of documents that are not there
         return untrained
@@ -157,6 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lists, label = lists.take(pa.array(order)), label[order].astype(float)
     flat = np.asarray(lists.flatten()).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+    joint = often[_joint(flat, ends, label, place[often], len(held), share)]
+    buckets = np.sort(np.concatenate([joint, telling[~np.isin(telling, joint)]])[:TERMS])
+    place = np.full(BUCKETS, -1, np.int64)
+    place[buckets] = np.arange(len(buckets))
+    flat = place[held][flat]
+    ends = np.concatenate([[0], np.cumsum(flat >= 0)])[ends]
+    flat = flat[flat >= 0]
     weight = np.where(label == 1, counts[1] / used[1], counts[0] / used[0])
     return _fitted(Model(place, 0.0, np.zeros(len(buckets)), np.random.Generator(np.random.PCG64(5)).normal(0, 0.01, (len(buckets), FACTORS))), flat, ends, label, weight / weight.mean())
 

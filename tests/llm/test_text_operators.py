@@ -266,6 +266,30 @@ def test_a_pair_of_terms_is_learned(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.97
 
 
+def test_a_pair_of_neutral_terms_is_learned(spark):
+    """Toxic where both terms or neither are there: each alone is as frequent in either class."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for k in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append((k, " ".join(["insultword"] * int(a) + ["groupname"] * int(b) + [f"w{rng.integers(300)}" for _ in range(8)])))
+        labels.append((k, int(a == b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, marks).where("held_out").join(marks, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.97
+
+
+@pytest.mark.parametrize("size", [600, 8000])
+def test_rare_words_of_one_class_are_kept_at_any_size(spark, size):
+    """20 documents of a class hold the word, however many there are."""
+    rng = np.random.default_rng(5)
+    own = {0: "kindword", 1: "rareslur"}
+    rows = [(k, " ".join([f"w{rng.integers(300)}" for _ in range(8)] + [own[k % 2]] * (k < 40))) for k in range(size)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(size)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert all(model.place[toxicity._buckets(w)[0]] >= 0 for w in own.values())
+
+
 # near duplicates
 
 
