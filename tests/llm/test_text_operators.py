@@ -168,6 +168,15 @@ def test_frequent_lines_go_and_empty_shells_with_them(spark):
     assert quality.quality_verdicts(other).where("depleted").count() == 0
 
 
+@pytest.mark.parametrize(("size", "gone"), [(20, 0), (100, 29), (1000, 29), (2000, 0)])
+def test_the_line_limit_grows_with_the_host(spark, size, gone):
+    """The README's figures: the same line in 30 documents, or all, of a host of each size."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits count as equal
+    rows = [(k, f"own {letters(k)}" + "\nshare this page" * (k < 30), "h") for k in range(size)]
+    lines = quality.depleted_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert lines.count() == gone
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op6_line_frequency", "op7_kd_sharding"):
         plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
