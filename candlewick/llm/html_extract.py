@@ -2,18 +2,22 @@
 
 Each page is one row, so a task works page by page and nothing is shuffled:
 
-1. ``text_nodes`` walks the markup into blocks of text with their root-to-leaf tag paths. Markup that browsers repair
-   is repaired alike where it matters: unclosed paragraphs and list items, stray end tags, a cut-off last tag.
-2. Text length, punctuation, link text and node counts are summed for each path. A path's ratio is
-   log(1 + characters a node) * log(2 + punctuation marks a node) * share of text outside links.
-3. Ratios are smoothed: a path takes the mean of all paths' ratios, weighted by their nodes and by the part of the
-   path they share. Smoothed and own ratio are fused by their product, with a structure weight of 0 or 1: none for
-   navigation, page headers and footers, asides, forms and elements whose class or id says advert, notice, comment
-   and so on, and on pages with text in ``article`` or ``main`` none outside these.
-4. Paths at or above a share of the best fused value are content. Short nodes next to them, such as headings,
-   are kept too: everything with a structure weight below the content paths' common ancestor.
-
-Null or empty html, or no content, gives the empty text. Repeated rows and other columns make no difference.
+1. ``parsed`` walks the markup into blocks of text with their root-to-leaf tag paths, kept as a tree of paths. Markup
+   that browsers repair is repaired alike where it matters: unclosed paragraphs and list items, stray end tags, a cut-off
+   last tag. Scripts, styles, form controls and hidden elements hold no text.
+2. Text length, punctuation, link text and block counts are summed for each path. A path's ratios (``path_ratios``) are
+   its density, log(1 + characters a block) * log(2 + punctuation marks a block), and the share of its text outside links.
+3. Smoothing: a path takes half of its own subtree's ratio and half of its parent's smoothed one, so that headings and
+   short blocks take part in the text around them. Own and smoothed density are fused by their mean, times the path's
+   share outside links, times a bounded weight: ``HINT`` for each element (``HINTS`` at most) whose tag, role, class or
+   id speaks of page furniture, and up to ``ARTICLE`` in ``article`` and ``main``, by the share of the page's text that
+   lies there. Text in ``nav`` that is mostly links gets no weight: its ratios judge it. A form, or a word in the class of
+   a wrapper, around all of the page's text changes nothing.
+4. Paths at or above ``THRESHOLD`` of the best fused value, and ``FLOOR``, are content: their blocks are the text.
+
+Every step is linear in the markup, so a page of any length or depth costs in proportion. Null or empty html, or no
+content, gives the empty text. Ties need no rule: equal paths are one path. Repeated rows give equal results, an empty
+table an empty one; other columns make no difference.
 """
 
 from __future__ import annotations
@@ -21,77 +25,119 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.3
+THRESHOLD = 0.2
+FLOOR = 0.6
+HINT, HINTS = 0.08, 2
+ARTICLE = 4.0
 
 # Element names of HTML, and class or id words of page furniture.
 _BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe noembed noframes title textarea svg math object audio video canvas xmp".split())
+_RAW = frozenset("script style noscript template iframe noembed noframes title textarea svg math object audio video canvas xmp select button".split())
 _ENDS_P = _BLOCKS - frozenset("body head html button option select legend summary td th tr tbody thead tfoot".split())
 _ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPES = frozenset("article aside body button details dialog div fieldset figure footer form header html main nav section table td th".split())
-_FURNITURE = frozenset("nav footer aside form button select option menu dialog fieldset search".split())
-_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paginate pagination popup privacy promo promoted promotion promotions recommended related replies reply respond responses search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets alert alerts".split())
-_HEADER_WORDS = frozenset({"header", "hdr"})
+_CELLS = frozenset("tr td th".split())
+_SCOPES = frozenset("article aside body button details dialog div dl fieldset figure footer form header html main nav ol section table td th ul".split())
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_FURNITURE = frozenset("footer aside menu dialog header".split())
+_FORMS = frozenset("form fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: A class name with one of these speaks of furniture.
+_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter overlay pager paginate pagination popup promo promoted promotion promotions recommended related shoutbox sidebar sidebars signup sponsor sponsored subscribe subscription tagcloud toolbar topbar".split())
+#: A class name made of these and the words above alone does, too.
+_WEAK = frozenset("alert alerts banner discussion feedback login notice notices notification privacy replies reply respond responses search share sharing skip social widget widgets".split())
+_HEADER_WORDS = frozenset("header hdr".split())
+#: A class name with one of these speaks of the layout around furniture.
+_NEUTRAL = frozenset("has with no without not is layout".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
+_VALUE = re.compile(r"""=\s*+("[^"]*+"|'[^']*+')""")
+_DIGITS = re.compile("[0-9]+")
+_WORD = re.compile("[a-z]+")
+_CAMEL = re.compile("([a-z])([A-Z])")
 
 
 @dataclass(slots=True)
-class Node:
-    path: tuple[str, ...]
-    furniture: bool
-    article: bool
-    text: str
-    links: int
+class _Open:
+    """An open element; ``counts``: open elements by name since the last scope, shared by that scope's elements."""
+
+    name: str
+    path: int
+    hidden: bool
+    counts: Counter
 
 
 @dataclass(slots=True)
-class _Open:
-    name: str
-    label: str
-    furniture: bool
-    article: bool
-
-
-def _opened(name: str, attributes: str, parent: _Open) -> _Open:
-    furniture, article, label = parent.furniture, parent.article or name in ("article", "main"), name
-    if name in _FURNITURE or name == "header" and not parent.article:
-        furniture = True
-    if "=" in attributes or "hidden" in attributes:
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        own = f"{found.get('class', '')} {found.get('id', '')}"
-        label = f"{name}.{re.sub('[0-9]+', '', own).strip()}" if own.strip() else name
-        if found.get("role", "").lower() == "main":
-            article = True
-        if name not in ("html", "body", "article", "main"):
-            words = set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", own).lower()))
-            furniture |= bool(words & _WORDS) or bool(words & _HEADER_WORDS) and not parent.article
-        elif name == "article":  # comments are often articles of their own
-            words = set(re.findall("[a-z]+", own.lower()))
-            furniture |= bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "related"})
-        style = found.get("style", "").replace(" ", "").lower()
-        furniture |= found.get("role", "").lower() in _ROLES or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true"
-        furniture |= bool(_BARE_HIDDEN.search(re.sub(r"""=\s*("[^"]*"|'[^']*')""", "", attributes)))
-    return _Open(name, label, furniture, article)
-
-
-def text_nodes(markup: str) -> list[Node]:
-    """The blocks of a page, in order."""
-    root = _Open("", "", False, False)
-    stack, nodes, text = [root], [], []
+class Page:
+    """Blocks in order as (path, text), and the tree of paths: each path's parent comes before it."""
+
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    hints: list[float] = field(default_factory=lambda: [0])
+    soft: list[float] = field(default_factory=lambda: [0])
+    article: list[bool] = field(default_factory=lambda: [False])
+    nav: list[bool] = field(default_factory=lambda: [False])
+    sums: list[list[int]] = field(default_factory=lambda: [[0, 0, 0, 0]])
+    known: dict[tuple[int, str, bool], int] = field(default_factory=dict)
+
+    def path(self, parent: int, name: str, label: str, soft: bool) -> int:
+        """The path below ``parent``; ``soft``: role, class or id speak of furniture."""
+        at = self.known.get((parent, label, soft))
+        if at is None:
+            at = self.known[parent, label, soft] = len(self.parent)
+            firm = name in _FURNITURE and not (name == "header" and self.article[parent])
+            size = 0.5 if name in _LEAVES else 1
+            self.parent.append(parent)
+            self.hints.append(self.hints[parent] + size * (soft or firm))
+            self.soft.append(self.soft[parent] + size * (soft and not firm))
+            self.article.append(self.article[parent] or name in ("article", "main"))
+            self.nav.append(self.nav[parent] or name == "nav")
+            self.sums.append([0, 0, 0, 0])
+        return at
+
+
+def _speaks_of_furniture(names: str, in_article: bool) -> bool:
+    for name in names.split():
+        words = set(_WORD.findall(_CAMEL.sub(r"\1 \2", name).lower()))
+        strong = words & _WORDS or words & _HEADER_WORDS and not in_article
+        if words and not words & _NEUTRAL and (strong or words <= _WORDS | _WEAK):
+            return True
+    return False
+
+
+def _described(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """(label, furniture by role, class or id, hidden) of a start tag."""
+    furniture = name in _FORMS
+    if "=" not in attributes and "hidden" not in attributes:
+        return name, furniture, False
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    own = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    style = found["style"].replace(" ", "").lower() if "style" in found else ""
+    hidden = "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true"
+    hidden |= "hidden" in attributes and bool(_BARE_HIDDEN.search(_VALUE.sub("", attributes)))
+    furniture |= "role" in found and found["role"].lower() in _ROLES
+    if not own:
+        return name, furniture, hidden
+    furniture |= name not in ("html", "body") and _speaks_of_furniture(own, in_article)
+    return f"{name}.{_DIGITS.sub('', own)}", furniture, hidden
+
+
+def parsed(markup: str) -> Page:
+    """The blocks of a page and its paths."""
+    page, text = Page(), []
+    stack = [_Open("", 0, False, Counter())]
+    everywhere: Counter = Counter()
     links = at = 0
 
     def flush() -> None:
@@ -99,24 +145,39 @@ def text_nodes(markup: str) -> list[Node]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                blocks = [e for e in stack[1:] if e.name in _BLOCKS]
-                top = stack[-1]
-                nodes.append(Node(tuple(e.label for e in blocks), top.furniture, top.article, whole, links))
+                path = stack[-1].path
+                page.blocks.append((path, whole))
+                sums = page.sums[path]
+                for k, x in enumerate((1, len(whole), len(_PUNCTUATION.findall(whole)), min(links, len(whole)))):
+                    sums[k] += x
             text.clear()
         links = 0
 
     def say(piece: str) -> None:
         nonlocal links
-        if piece:
+        if piece and not stack[-1].hidden:
             text.append(piece)
-            if any(e.name == "a" for e in stack):
+            if everywhere["a"]:
                 links += len(piece)
 
     def pop_to(k: int) -> None:
-        if any(e.name in _BLOCKS or e.furniture != stack[k - 1].furniture for e in stack[k:]):
+        if any(e.name in _BLOCKS for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            everywhere[e.name] -= 1
+            stack[k - 1].counts[e.name] -= e.counts is stack[k - 1].counts
         del stack[k:]
 
+    def close(names: set[str], stop: frozenset[str]) -> bool:
+        """Pop to the innermost of ``names`` unless one of ``stop`` comes before it."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                pop_to(k)
+                return True
+            if stack[k].name in stop:
+                break
+        return False
+
     while tag := _TAG.search(markup, at):
         say(markup[at : tag.start()])
         at = tag.end()
@@ -124,73 +185,78 @@ def text_nodes(markup: str) -> list[Node]:
         if not name or tag[0][-1] != ">":
             continue
         if tag[1] or tag[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    pop_to(k)
-                    break
-                if stack[k].name in _SCOPES and name not in _SCOPES:
-                    break
-            continue
-        if name == "br":
+            if name in _SCOPES:
+                if everywhere[name]:
+                    close({name}, frozenset())
+            elif stack[-1].counts[name] or name in _CELLS and everywhere[name]:
+                close({name}, _SCOPES)
+        elif name == "br":
             text.append(" ")
         elif name in _RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(markup, at)
-            at = close.end() if close else len(markup)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(markup, at)
+            at = end.end() if end else len(markup)
+            if name == "button":
+                flush()
         elif name in _VOID:
             if name == "hr":
                 flush()
         else:
-            over = ({"p"} if name in _ENDS_P else set()) | _ENDS_SELF.get(name, set())
-            if over:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in over:
-                        pop_to(k)
-                        if name not in ("tr", "td", "th", "dt", "dd"):
-                            break
-                    elif stack[k].name in (_SCOPES - {"td", "th"} if name in ("tr", "td", "th") else _SCOPES | {"ul", "ol", "dl"}):
-                        break
-            new = _opened(name, tag[3] or tag[6] or "", stack[-1])
-            if name in _BLOCKS or new.furniture != stack[-1].furniture:
+            if name in _ENDS_P and stack[-1].counts["p"]:
+                close({"p"}, _SCOPES)
+            if name in _CELLS:
+                while any(everywhere[x] for x in _ENDS_SELF[name]) and close(_ENDS_SELF[name], _SCOPES - _CELLS):
+                    pass
+            elif name in _ENDS_SELF and any(stack[-1].counts[x] for x in _ENDS_SELF[name]):
+                close(_ENDS_SELF[name], _SCOPES)
+            top = stack[-1]
+            label, furniture, hidden = _described(name, tag[3] or tag[6] or "", page.article[top.path])
+            if name in _BLOCKS:
                 flush()
+                path = page.path(top.path, name, label, furniture)
+            else:
+                path = top.path
+            new = _Open(name, path, top.hidden or hidden, Counter() if name in _SCOPES else top.counts)
+            if new.counts is top.counts:
+                top.counts[name] += 1
+            everywhere[name] += 1
             stack.append(new)
     say(markup[at:])
     flush()
-    return nodes
+    return page
 
 
-def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def path_ratios(blocks: int, chars: int, marks: int, linked: int) -> tuple[float, float]:
+    """A path's density and its share of text outside links."""
+    return math.log1p(chars / blocks) * math.log(2 + marks / blocks), 1 - linked / chars
 
 
 def main_text(markup: str | None) -> str:
-    nodes = text_nodes(markup or "")
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for node in nodes:
-        key = (node.path, node.furniture, node.article)
-        for k, x in enumerate((1, len(node.text), len(_PUNCTUATION.findall(node.text)), min(node.links, len(node.text)))):
-            sums[key][k] += x
-    marked = any(n.article and not n.furniture for n in nodes)
-    ratio = {p: math.log1p(c / n) * math.log(2 + marks / n) * (1 - linked / c) for p, (n, c, marks, linked) in sums.items()}
-    good = [p for p in ratio if not p[1] and p[2] == marked]
-    fused = {}
-    for p in good:
-        near = [(sums[q][0] * _shared(p[0], q[0]) / max(len(p[0]), len(q[0]), 1), ratio[q]) for q in good]
-        total = sum(w for w, _ in near)
-        smooth = sum(w * r for w, r in near) / total if total else ratio[p]
-        fused[p] = smooth * (ratio[p] + smooth) / 2
-    best = max(fused.values(), default=0.0)
-    chosen = [p for p in good if best and fused[p] >= THRESHOLD * best]
-    if not chosen:
+    page = parsed(markup or "")
+    if not page.blocks:
         return ""
-    depth = min(_shared(chosen[0][0], p[0]) for p in chosen)
-    depth = min(depth, max(len(chosen[0][0]) - 1, 0)) if len(chosen) == 1 else depth
-    top = chosen[0][0][:depth]
-    return "\n".join(n.text for n in nodes if not n.furniture and n.article == marked and n.path[:depth] == top)
+    n = len(page.parent)
+    pooled = [list(s) for s in page.sums]
+    for p in range(n - 1, 0, -1):
+        above = pooled[page.parent[p]]
+        for k in range(4):
+            above[k] += pooled[p][k]
+    smooth = [0.0] * n
+    for p in range(n):
+        density, free = path_ratios(*pooled[p]) if pooled[p][0] else (0.0, 0.0)
+        smooth[p] = (density * free + smooth[page.parent[p]]) / 2 if p else density * free
+    own = [p for p in range(n) if page.sums[p][0]]
+    around = min(page.soft[p] for p in own)  # of wrappers around all of the page
+    hints = {p: page.hints[p] - around + (page.nav[p] and 2 * page.sums[p][3] < page.sums[p][1]) for p in own}
+    least = min(hints.values())
+    unlinked = {p: page.sums[p][1] - page.sums[p][3] for p in own if hints[p] == least}
+    share = sum(x for p, x in unlinked.items() if page.article[p]) / max(1, sum(unlinked.values()))
+    fused = {}
+    for p in own:
+        density, free = path_ratios(*page.sums[p])
+        weight = HINT ** min(HINTS, hints[p]) * (1 + (ARTICLE - 1) * share * page.article[p])
+        fused[p] = (density + smooth[p]) / 2 * free * weight
+    least_value = max(FLOOR, THRESHOLD * max(fused.values()))
+    return "\n".join(text for p, text in page.blocks if fused[p] >= least_value)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from oracles import assert_same, connect
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontamination, license_scan, near_dup, packing, quality, queries, sharding, token_files, tokens, toxicity, url_filter, words
+from candlewick.llm import decontamination, html_extract, license_scan, near_dup, packing, quality, queries, sharding, token_files, tokens, toxicity, url_filter, words
 from candlewick.llm.html_extract import extract_text, main_text
 
 SF01 = "/root/testdata/sf0.01"
@@ -240,13 +241,50 @@ PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div cla
 <form>Search, me.</form><div class="cookie-notice">We use cookies, ok? Yes.</div><footer>&copy; me</footer></body></html"""
 
 
+STORY = "<h2>Flood</h2><p>The river rose, and the town moved uphill; nobody was hurt. Later, when it fell, they came back.</p><p>Second, a shorter one.</p>"
+STORY_TEXT = "Flood\nThe river rose, and the town moved uphill; nobody was hurt. Later, when it fell, they came back.\nSecond, a shorter one."
+
+
 def test_pages_of_other_shapes():
     assert main_text(PAGE) == "Title\nFirst para, with link inside. Good.\nSecond para & more, text.\none\ntwo\nSaid, he."
-    assert main_text("<article><p>A.</p><script>x('</p>')</script><p hidden>B</p><aside>C</aside><p>D &lt;b&gt;</p></article><div>E, long text outside. Yes, long, long.</div>") == "A.\nD <b>"
+    page = "<article><p>A.</p><script>x('</p>')</script><p hidden>B</p><aside>C</aside><p>D &lt;b&gt;</p></article><footer>E, long text outside. Yes, long, long.</footer>"
+    assert main_text(page) == "A.\nD <b>"
     assert main_text("<p>one, two.<!-- no --><p>three & four, five.<p cut") == "one, two.\nthree & four, five."
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div class="elementor-widget-container">', '<form id="aspnet">', '<div id="privacy-policy" class="sidebar">'])
+def test_words_of_a_wrapper_decide_nothing(wrapper):
+    inner = f'<div class="menu"><a href=1>Home</a> <a href=2>News</a></div><div>{STORY}<p class="share-price">The share price fell, by two.</p></div><div class="sidebar"><p>Short aside.</p></div>'
+    assert main_text(f"<body>{wrapper}{inner}") == STORY_TEXT + "\nThe share price fell, by two."
+
+
+def test_ratios_decide_where_nothing_is_labelled():
+    links = "<div><a>Home</a> <a>News</a> <a>More</a></div>"
+    assert main_text(f"{links}<div>{STORY}</div><div><h3><a>Other story</a></h3><a>Read, more.</a></div>") == STORY_TEXT
+    assert main_text(f'<main>{STORY}<div class="more-stories"><a>Other, story.</a><a>Third story</a></div></main>') == STORY_TEXT
+    assert main_text(f"<article class=teaser><a>Teaser, for you.</a></article><div id=body>{STORY}</div>") == STORY_TEXT
+    assert main_text(f"<article>{STORY}<ul><li><a>one</a></li><li><a>two</a></li></ul></article>") == STORY_TEXT
+
+
+def test_constant_ratios_change_the_pages(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF01}/pages.parquet").collect()]
+    before = [main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "path_ratios", lambda *_: (1.0, 1.0))
+    assert sum(main_text(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+def test_long_and_deep_pages_cost_in_proportion():
+    n = 20_000
+    classes = "".join(f'<div class="{"".join(chr(97 + k // 26**j % 26) for j in range(4))}">x, y.</div>' for k in range(n))
+    odd = ["<div>x, y." * n, classes, "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<tr></tr>" * n, "<b>" * n + "<p>a" * n, "<ul>" * n + "<li>" * n, "<a" + "b" * n, "<a x=1 " + "b" * n + ">x", "<div>" * n + "</p>" * n, "<table>" + "<td>" * n]
+    began = time.process_time()
+    assert main_text(odd[0]).count("x, y.") == main_text(odd[1]).count("x, y.") == n
+    for page in odd[2:]:
+        main_text(page)
+    assert time.process_time() - began < 20  # about 3; quadratic steps take minutes
+
+
 # toxicity
 
 
