@@ -1,77 +1,103 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased (A-Z). A seed looks at ``MASKS``' fixed positions after a word and ignores the words between
-them, so its hash survives substitutions there; the two masks together meet every run of ``SPAN`` words with up to
-``DIFFERENT`` substituted ones. Items shorter than that take the contiguous mask. Benchmark items hash all their
-positions; each text position is looked up in that table, by a bitmap first. A hit fixes a text and an item position, and
-so a diagonal on which all of the item is compared with the text. Text and item overlap where ``SPAN`` consecutive words
-of the diagonal hold at most ``DIFFERENT`` unequal ones, or where a shorter item occurs word for word; a result spans all
-such runs of the diagonal with the most.
-
-The benchmark is a stated query set against all documents: it is taken in blocks of at most ``BLOCK_WORDS`` words, and
-each block's table goes to the tasks. Documents are never shuffled or cut.
-
-Null or empty texts and items overlap with nothing; items of fewer words than ``MIN_ITEM`` are not searched for.
-Repeated rows and items give repeated hits of their own ids; other columns are ignored.
+Words are lower-cased (A-Z). A seed looks at a mask's fixed positions after a word and ignores the words between them,
+so its hash survives substitutions there. What counts as an overlap, and the masks that meet all of it, follow from an
+item's length (``allowed``, ``masks_for``):
+
+* ``SPAN`` words or more: any ``SPAN`` consecutive words of the item with up to 2 substituted; two spaced masks.
+* 8 to 12 words: the whole item with one word substituted; four words in a row, which one substitution always leaves.
+* under 8 words: the whole item, word for word; one mask of its length.
+
+A hit fixes a text and an item position, and so a diagonal on which all of the item is compared with the text. A result
+spans all runs that count on the diagonal with the most equal words.
+
+Hashes of items and texts are joined. A benchmark of up to ``block_words`` words is a table of bounded size that goes to
+the tasks: texts are searched where they lie, and nothing is shuffled. A larger one is joined by shuffle: a bitmap of its
+hashes (8 MB at any size) drops text positions that cannot meet any, the rest join item hashes, and each pair that is
+met is compared on full texts. Both ways give the same rows.
+
+Null or empty texts and items, and an empty benchmark, overlap with nothing; an empty table gives an empty result. Texts
+of any length are searched whole; the larger overlap wins, the first diagonal where two are equal. Repeated rows and
+items give repeated hits of their own ids; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlewick.llm.storage import materialize
 from candlewick.llm.words import chunks, mix, word_hashes
 
+SPAN, TOLERANT = 13, 8
 MASKS = ((0, 1, 2, 6, 7, 8), (0, 3, 4, 6, 7, 9))
-SHORT_MASK = (0, 1, 2, 3, 4, 5)
-SPAN = 13
-DIFFERENT = 2
-MIN_ITEM = 8
+SHORT_MASK = (0, 1, 2, 3)
 BLOCK_WORDS = 500_000
-_BITS = np.uint64(22)
+#: Overlaps with shorter items are reported, but drop no document.
+DROP_WORDS = 5
+_BITS = 22
+_WIDE_BITS = 26
 _Q = np.uint64(0xD1342543DE82EF95)
 HITS = "doc_id long, item_id long, doc_word long, item_word int, n_words int, n_same int, item_words int"
+Mask = tuple[int, ...]
+
+
+def allowed(n: int) -> int:
+    """Substituted words that an overlap with an item of ``n`` words may hold."""
+    return 2 if n >= SPAN else 1 if n >= TOLERANT else 0
 
 
-def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - mask[-1]), np.uint64)
+def masks_for(n: int) -> tuple[Mask, ...]:
+    return MASKS if n >= SPAN else (SHORT_MASK,) if n >= TOLERANT else (tuple(range(n)),) if n else ()
+
+
+def seeds(words: np.ndarray, mask: Mask) -> np.ndarray:
+    out = np.full(max(0, len(words) - mask[-1]), sum(1 << k for k in mask), np.uint64)
     for offset in mask:
         out = out * _Q + words[offset : offset + len(out)]
     return mix(out)
 
 
+def item_seeds(words: np.ndarray) -> Iterator[tuple[Mask, np.ndarray]]:
+    """Each mask of an item and its seeds from the item's first word on."""
+    for mask in masks_for(len(words)):
+        yield mask, seeds(words, mask)
+
+
 class _Table:
-    """Seeds of a block of items."""
+    """Seeds of the items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
+        by_mask: dict[Mask, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, words) in enumerate(items):
+            for mask, seed in item_seeds(words):
+                by_mask.setdefault(mask, []).append((seed, k))
         self.masks = []
-        short = any(len(w) < SPAN for _, w in items)
-        for mask in (*MASKS, *[SHORT_MASK] * short):
-            found = [seeds(w, mask) if mask != SHORT_MASK or len(w) < SPAN else w[:0] for _, w in items]
-            seed = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            item = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            at = np.concatenate([np.arange(len(f)) for f in found]) if found else item
+        for mask, found in sorted(by_mask.items()):
+            seed = np.concatenate([s for s, _ in found])
+            item = np.repeat([k for _, k in found], [len(s) for s, _ in found])
+            at = np.concatenate([np.arange(len(s)) for s, _ in found])
             order = np.argsort(seed, kind="stable")
-            there = np.zeros(1 << int(_BITS), bool)
-            there[seed >> (np.uint64(64) - _BITS)] = True
+            there = np.zeros(1 << _BITS, bool)
+            there[seed >> np.uint64(64 - _BITS)] = True
             self.masks.append((mask, seed[order], item[order], at[order], there))
 
-    def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, text position of the item's first word) of every hit."""
-        found: set[tuple[int, int]] = set()
+    def diagonals(self, words: np.ndarray) -> dict[int, set[int]]:
+        """Text positions of an item's first word by every hit."""
+        found: dict[int, set[int]] = {}
         for mask, seed, item, at, there in self.masks:
             own = seeds(words, mask)
-            maybe = np.flatnonzero(there[own >> (np.uint64(64) - _BITS)])
+            maybe = np.flatnonzero(there[own >> np.uint64(64 - _BITS)])
             low, high = (np.searchsorted(seed, own[maybe], side) for side in ("left", "right"))
             hit = np.flatnonzero(high > low)
             for p, a, b in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                found.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist(), strict=True))
+                for k, q in zip(item[a:b].tolist(), at[a:b].tolist(), strict=True):
+                    found.setdefault(k, set()).add(p - q)
         return found
 
 
@@ -82,29 +108,92 @@ def overlap_on(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     if b - a < n:
         return None
     same = np.concatenate([[0], np.cumsum(text[a + diagonal : b + diagonal] == item[a:b])])
-    runs = np.flatnonzero(same[n:] - same[:-n] >= n - (DIFFERENT if n == SPAN else 0))
+    runs = np.flatnonzero(same[n:] - same[:-n] >= n - allowed(len(item)))
     if not len(runs):
         return None
     start, stop = int(runs[0]), int(runs[-1]) + n
     return a + start, stop - start, int(same[stop] - same[start])
 
 
-def overlaps(words: np.ndarray, table: _Table) -> Iterator[tuple[int, int, int, int, int]]:
-    """The largest overlap of each item: (item, text word, item word, words, equal words)."""
-    best: dict[int, tuple[int, int, int, int, int]] = {}
-    for k, diagonal in sorted(table.diagonals(words)):
-        found = overlap_on(words, table.items[k][1], diagonal)
-        if found and (k not in best or found[2] > best[k][4]):
-            best[k] = (k, found[0] + diagonal, *found)
-    yield from best.values()
+def largest_overlap(text: np.ndarray, item: np.ndarray, diagonals: Iterable[int]) -> tuple[int, int, int, int, int] | None:
+    """(text word, item word, words, equal words, item's words) of the diagonal with the most equal words."""
+    found = [(d + f[0], *f, len(item)) for d in sorted(diagonals) if (f := overlap_on(text, item, d))]
+    return max(found, key=lambda f: f[3], default=None)
 
 
-def _items(rows: list) -> list[tuple[int, np.ndarray]]:
-    out = []
-    for first, _, data, ends in chunks(pa.array([r["text"] for r in rows], pa.string())):
+def _words_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word hashes of each text."""
+    for _, _, data, ends in chunks(texts):
         words, at = word_hashes(data, ends)
-        out += [(rows[first + k]["item_id"], words[a:b]) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b - a >= MIN_ITEM]
-    return out
+        yield from (words[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def _hits(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
+
+
+def _held_in_tasks(texts: DataFrame, items: DataFrame) -> DataFrame:
+    rows = items.orderBy("item_id", "text").toArrow()  # at most ``block_words`` words
+    known = [(i, w) for i, w in zip(rows["item_id"].to_pylist(), _words_of(rows["text"].combine_chunks()), strict=True)]
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Table(shared.value)
+        for batch in batches:
+            out = []
+            for doc, words in zip(batch.column("doc_id").to_pylist(), _words_of(batch.column("text")), strict=True):
+                for k, diagonals in sorted(table.diagonals(words).items()):
+                    if found := largest_overlap(words, table.items[k][1], diagonals):
+                        out.append((doc, table.items[k][0], *found))
+            yield _hits(out)
+
+    return texts.mapInArrow(search, HITS)
+
+
+def _seed_rows(rows: DataFrame, key: str, masks: tuple[Mask, ...] | None, bitmap: np.ndarray | None) -> DataFrame:
+    """(key, seed, at) of all of a text's positions that ``bitmap`` lets pass, or of an item's own masks."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, words in zip(batch.column(key).to_pylist(), _words_of(batch.column("text")), strict=True):
+                for seed in [s for _, s in item_seeds(words)] if masks is None else [seeds(words, m) for m in masks]:
+                    at = np.arange(len(seed))
+                    if shared.value is not None:
+                        bit = (seed >> np.uint64(64 - _WIDE_BITS)).astype(np.int64)
+                        at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(seed[at].view(np.int64)), pa.array(at)], names=[key, "seed", "at"])
+
+    return rows.select(key, "text").mapInArrow(emit, f"{key} long, seed long, at long")
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    texts = materialize(texts.where("text IS NOT NULL").withColumn("doc", F.monotonically_increasing_id()), "texts")
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    of_items = materialize(_seed_rows(items, "item", None, None).withColumnRenamed("at", "item_at"), "seeds")
+    bit = F.shiftrightunsigned("seed", 64 - _WIDE_BITS)
+    parts = of_items.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    bitmap = np.zeros(1 << (_WIDE_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():  # 2,048 rows of 4 KB at most
+        bitmap[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    masks = tuple(sorted({*MASKS, SHORT_MASK, *(tuple(range(k)) for k in range(1, TOLERANT))}))
+    met = _seed_rows(texts, "doc", masks, bitmap).join(of_items, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    pairs = met.groupBy("doc", "item").agg(F.collect_list("diagonal").alias("diagonals"))  # one text's positions at most
+    rows = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "doc").select("doc_id", "text", "item_id", "item_text", "diagonals")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lot in range(0, whole.num_rows, 500):
+                batch = whole.slice(lot, 500)
+                words, item_words = (_words_of(batch.column(c)) for c in ("text", "item_text"))
+                ids, item_ids, diagonals = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals"))
+                found = ((d, i, largest_overlap(t, w, ds)) for d, i, t, w, ds in zip(ids, item_ids, words, item_words, diagonals, strict=True))
+                yield _hits([(d, i, *f) for d, i, f in found if f])
+
+    return rows.mapInArrow(compare, HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -112,35 +201,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
     ``docs``: doc_id, text. ``benchmark``: item_id, text. Documents without a row are clean.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    n = F.size(F.split("text", r"\s+"))
-    total = items.agg(F.sum(n).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # a block's words
-        shared = spark.sparkContext.broadcast(_items(rows))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = _Table(shared.value)
-            for batch in batches:
-                ids, out = batch.column(0).to_pylist(), []
-                for first, _, data, ends in chunks(batch.column(1)):
-                    words, at = word_hashes(data, ends)
-                    for d, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                        for item, p, q, n, same in overlaps(words[a:b], table):
-                            out.append((ids[first + d], table.items[item][0], p, q, n, same, len(table.items[item][1])))
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
-
-        found.append(texts.mapInArrow(search, HITS))
-    return reduce(DataFrame.unionByName, found)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap with no benchmark item. Rows without a doc_id stay."""
-    dirty = contamination(docs, benchmark).select("doc_id").distinct()
+    total = items.agg(F.sum(F.size(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 0
+    return _held_in_tasks(texts, items) if total <= block_words else _joined(texts, items)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_words: int = DROP_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that overlap with no benchmark item of ``drop_words`` words or more: a shorter
+    item (a name, a number) is part of many clean texts. Rows without a doc_id stay."""
+    dirty = contamination(docs, benchmark).where(F.col("item_words") >= drop_words).select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)

@@ -58,6 +58,10 @@ def test_results_on_odd_rows(spark, docs, labels, bench):
     near = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dup.near_duplicate_groups(docs).collect()}
     assert near[7, 66] == (6, False) and near[None, 66] == (None, True) and near[None, 0] == (None, True) and near[2, 0] == (2, True) and near[4, 1] == (4, True)
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs, bench).collect()} == {(6, 3), (7, 3), (None, 3)}
+    for words in (0, 500_000):  # by shuffle, in the tasks
+        assert decontamination.contamination(docs, bench.limit(0), words).collect() == []
+    shuffled, held = (sorted(map(str, decontamination.contamination(docs, bench, words).collect())) for words in (0, 500_000))
+    assert shuffled == held
     packed = packing.pack(docs).collect()
     assert sum(r["length"] for r in packed if r["doc_id"] == 2) == 1 and max(r["length"] for r in packed if r["doc_id"] == 5) == 4096
     read = token_files.token_file_digest(docs).orderBy("start").collect()

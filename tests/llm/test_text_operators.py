@@ -407,9 +407,9 @@ def naive_contamination(texts, items):
         seen = set(t)
         for k, item in items.items():
             w = folded(item)
-            n = min(decontamination.SPAN, len(w))
-            need = n - (decontamination.DIFFERENT if n == decontamination.SPAN else 0)
-            if len(w) < decontamination.MIN_ITEM or sum(x in seen for x in w) < need:
+            n = min(13, len(w))
+            need = n - (2 if len(w) >= 13 else 1 if len(w) >= 8 else 0)
+            if not w or sum(x in seen for x in w) < need:
                 continue
             for p in range(len(t) - n + 1):
                 if any(sum(x == y for x, y in zip(t[p : p + n], w[q : q + n], strict=True)) >= need for q in range(len(w) - n + 1)):
@@ -422,12 +422,36 @@ def test_contamination_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r["text"]) < 4000}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    rng = np.random.default_rng(8)
+    for n in range(1, 16):  # items of every short length, cut from texts, the longer ones with a word changed
+        for k in range(3):
+            words = next(w for d in rng.permutation(sorted(texts)) if len(w := folded(texts[d])) >= n)
+            at = int(rng.integers(0, len(words) - n + 1))
+            item = words[at : at + n]
+            if k:
+                item[int(rng.integers(0, n))] = "changed"
+            items[100_000 + 10 * n + k] = " ".join(item)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs, bench).collect()}
-    assert got == naive_contamination(texts, items)
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs, bench, block_words=300).collect()}
-    assert blocks == got
+    rows = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    assert {r[:2] for r in rows} == naive_contamination(texts, items)
+    assert {len(folded(items[r[1]])) for r in rows} >= {1, 7, 8, 12}
+    assert sorted(map(tuple, decontamination.contamination(docs, bench, block_words=300).collect())) == rows  # joined by shuffle
+
+
+def test_every_length_has_its_tolerance(spark):
+    """An item in full, then with one and two substitutions, at every place."""
+    for n, most in ((1, 0), (2, 0), (7, 0), (8, 1), (12, 1), (13, 2), (20, 2)):
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        table = decontamination._Table([(0, item)])
+        for i in range(n):
+            for j in range(i, n):
+                for changed in {(), (i,), (i, j)}:
+                    text = np.concatenate([item[:0], np.array([7], np.uint64), item, np.array([8], np.uint64)])
+                    text[[1 + c for c in changed]] = 5
+                    got = decontamination.largest_overlap(text, item, table.diagonals(text).get(0, ()))
+                    if n <= 13 or len(set(changed)) <= most:
+                        assert bool(got) == (len(set(changed)) <= most), (n, changed)
 
 
 def test_substitutions_are_tolerated_and_clean_texts_left(spark):
@@ -442,7 +466,7 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     got = {r["doc_id"] for r in decontamination.contamination(docs, bench).collect()}
     assert got == set(texts)
-    kept = {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()}
+    kept = {r["doc_id"] for r in decontamination.decontaminate(docs, bench.unionByName(spark.createDataFrame([(2, "the of")], bench.schema))).collect()}
     assert kept == {900, 901}
 
 
