@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -154,27 +155,45 @@ def test_quality_equals_sql(spark):
     assert_same(queries.op6_line_frequency(spark, SF01), connect(SF01), quality.ORACLE)
 
 
-def test_frequent_lines_go_and_empty_shells_with_them(spark):
-    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits count as equal
+def letters(k):
+    return "".join(chr(97 + int(c)) for c in str(k))  # digits count as equal
+
+
+def shop_pages():
     body = lambda k: " ".join(f"w{letters(k)}x{letters(i)}" for i in range(60))
     rows = [(k, f"{body(k)}\nShare  this PAGE {k % 10}", "h") for k in range(40)]
     rows += [(100 + k, "\n".join([f"own {k}", *[" ".join(f"menu{j}_{i}" for i in range(20)) for j in range(4)]]), "h") for k in range(30)]
     rows += [(200 + k, body(999), "h") for k in range(50)]  # copies alone are no boilerplate
+    rows += [(300, body(300)[:300] + "\nshare this page 1\nand more words to make fifty of them in all", None), (301, None, "h"), (302, "", "h")]
+    return rows, body
+
+
+def test_frequent_lines_go_and_empty_shells_with_them(spark):
+    rows, body = shop_pages()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
-    kept = {r["doc_id"] for r in quality.quality_verdicts(df).where("kept").collect()}
-    assert kept == {*range(40), 100, *range(200, 250)}
+    verdicts = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
+    kept = {d for d, r in verdicts.items() if r["kept"]}
+    assert kept == {*range(40), *range(200, 250), 300}
+    assert all(not verdicts[d]["base_failed"] and verdicts[d]["depleted"] for d in range(100, 130))  # the line rule alone
+    assert (verdicts[0]["lines_removed"], verdicts[0]["words_removed"], verdicts[100]["words_removed"], verdicts[200]["lines_removed"]) == (1, 4, 82, 0)
     out = {r["doc_id"]: r for r in quality.clean_documents(df).collect()}
-    assert set(out) == kept and out[0]["text"].endswith("PAGE 0") and out[7]["text"] == body(7) and out[7]["n_chars"] == len(body(7))
-    other = df.withColumn("source", F.concat(F.lit("h"), F.col("doc_id") % 9))  # no host has enough of them
+    assert set(out) == kept and out[0]["text"] == body(0) and out[7]["n_chars"] == len(body(7)) and out[200]["text"] == body(999)
+    other = df.withColumn("source", F.concat(F.lit("h"), F.col("doc_id") % 30))  # no host has enough of them
     assert quality.quality_verdicts(other).where("depleted").count() == 0
 
 
-@pytest.mark.parametrize(("size", "gone"), [(20, 0), (100, 29), (1000, 29), (2000, 0)])
+def test_verdicts_of_the_line_rule_equal_sql(spark):
+    df = spark.createDataFrame(shop_pages()[0], "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in df.collect()]))
+    assert_same(quality.quality_verdicts(df), con, quality.ORACLE)
+
+
+@pytest.mark.parametrize(("size", "gone"), [(5, 0), (6, 6), (1000, 30), (2000, 0)])
 def test_the_line_limit_grows_with_the_host(spark, size, gone):
     """The README's figures: the same line in 30 documents, or all, of a host of each size."""
-    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits count as equal
     rows = [(k, f"own {letters(k)}" + "\nshare this page" * (k < 30), "h") for k in range(size)]
-    lines = quality.depleted_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    lines = quality.removals(quality.described(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     assert lines.count() == gone
 
 
