@@ -16,11 +16,13 @@ where 100 * |A & B| >= 75 * |A | B|; components of links are groups, and a group
    are never paired with each other. Pairs that pass are confirmed on full sets. So each bucket ends with all its pairs
    either joined or refuted.
 
-A true pair fails the sift (over ``MAX_DIFFERENT`` bits) with probability under 1e-5. Texts are compared in
-streams: pairs lie sorted by hub, a hub's members dealt to salts, and a task holds one hub's set at a time.
+A true pair fails the sift (over ``MAX_DIFFERENT`` bits) with probability under 1e-5; a pair whose smaller set has under
+0.75 of the larger one's shingles is refuted by that alone. A band's rows are dealt to salts before they meet what is
+known of the band. Tables that no later step reads are removed. Texts are compared in streams: pairs lie sorted by hub, a hub's members dealt to salts, and a task holds one hub's set at a time.
 
 A null or wordless text has an empty set and no links. Documents without a doc_id are linked with nothing. Rows that
-repeat a doc_id are one document, with the links of each of its texts. An empty table gives an empty result.
+repeat a doc_id are one document, with the links of each of its texts. Ties among hubs go to the larger id. A text of any
+length is read whole, in memory for its own row. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
-from candlewick.llm.storage import materialize
+from candlewick.llm.storage import materialize, remove
 from candlewick.llm.words import mix, shingle_sets
 
 ROWS, BANDS = 4, 32
-SAMPLES = 1024
+SAMPLE_BITS = 10
+SAMPLES = 1 << SAMPLE_BITS
 SKETCH_BITS = 4096
 #: Of differing sketch bits; beyond lie estimates under 0.68, 4.5 standard errors from 0.75.
 MAX_DIFFERENT = 562
@@ -45,19 +48,30 @@ NEED, OF = 75, 100
 BLOCK = 256
 SALT_MEMBERS = 200
 
-_rng = np.random.Generator(np.random.PCG64(1997))
-_XOR, _MUL = _rng.integers(0, 2**32, (2, SAMPLES, 1), dtype=np.uint32) | np.uint32(1)
-_SIGNATURE = f"doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+SALT_BAND = 20_000
+_THROWS = 8 * SAMPLES
+_ROUNDS = np.random.Generator(np.random.PCG64(1997)).integers(0, 2**64, (2 * SAMPLES, 1), dtype=np.uint64)
+_SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """``SAMPLES`` minima of a non-empty set."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
-    for i in range(0, len(low), 256):  # stays in a core's cache
-        h = (low[None, i : i + 256] ^ _XOR) * _MUL
-        np.minimum(least, (h ^ (h >> np.uint32(16))).min(1), out=least)
-    return least
+    """``SAMPLES`` MinHash samples of a non-empty set, by throws in rounds (fast similarity sketching): in each round every
+    shingle is thrown at one sample, which keeps its first round's least value; round ``SAMPLES`` + k throws all shingles
+    at sample k. Two sets agree in a sample with their similarity as probability, and the number of samples in which they
+    agree spreads no wider than for independent hashes; but a set of n costs n + SAMPLES * log(SAMPLES) throws, not n * SAMPLES."""
+    held = np.full(SAMPLES, 2**64 - 1, np.uint64)
+    first = 0
+    while first < SAMPLES and (held == 2**64 - 1).any():
+        last = min(SAMPLES, first + -(-_THROWS // len(shingles)))
+        for a in range(0, len(shingles), _THROWS):  # stays in a core's cache
+            h = mix(shingles[None, a : a + _THROWS] ^ _ROUNDS[first:last])
+            value = (h & np.uint64(2**32 - 1)) | (np.arange(first, last, dtype=np.uint64)[:, None] << np.uint64(32))
+            np.minimum.at(held, (h >> np.uint64(64 - SAMPLE_BITS)).astype(np.int64).ravel(), value.ravel())
+        first = last
+    empty = np.flatnonzero(held == 2**64 - 1)
+    for lot in np.array_split(empty, -(-len(empty) * len(shingles) // (1 << 20)) or 1):
+        held[lot] = (mix(shingles ^ _ROUNDS[SAMPLES + lot]) >> np.uint64(1)).min(1) | np.uint64(1 << 63)
+    return (mix(held) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_hashes(least: np.ndarray) -> np.ndarray:
@@ -156,10 +170,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose sketches are close, of rows sorted by block pair; only where no band that both
-    have comes before the group's, so that a pair is met once."""
+    """Pairs of different components whose sizes and sketches are close, of rows sorted by block pair; only where no band
+    that both have comes before the group's, so that a pair is met once."""
     for group in _groups(batches, ["band", "x", "y"]):
-        node, comp, block = (np.asarray(group[c]) for c in ("node", "comp", "block"))
+        node, comp, block, n = (np.asarray(group[c]) for c in ("node", "comp", "block", "n"))
         sketch = np.asarray(group["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
         bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(len(node), -1)
         at = int(np.flatnonzero(bands[0] == group["band"][0].as_py())[0])
@@ -169,6 +183,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (not one))]
+            other = other[OF * np.minimum(n[other], n[i]) >= NEED * np.maximum(n[other], n[i])]
             other = other[~(bands[other, :at] == bands[i, :at]).any(1)]
             near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64) <= MAX_DIFFERENT]
             a.append(np.minimum(node[i], node[near]))
@@ -182,38 +197,47 @@ def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _with_band(members: DataFrame, of_bands: DataFrame) -> DataFrame:
+    """Join ``members`` with one row a band (``band``, ``mates``, ...); a band's members are dealt to salts of ``SALT_BAND``."""
+    salts = F.ceil(F.col("mates") / SALT_BAND).cast("int")
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    spread = of_bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("mates")
+    return dealt.join(spread, ["band", "_salt"]).drop("_salt")
+
+
 def _unresolved(members: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component."""
-    mixed = members.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("band")
-    return members.join(mixed, "band", "left_semi")
+    mixed = members.groupBy("band", "mates").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high")
+    return _with_band(members, mixed).select(members.columns)
 
 
 def _star_pairs(members: DataFrame, classes: DataFrame, rank: Column) -> DataFrame:
-    """Pairs of each bucket's hub with its members of other components, sketches close."""
-    hubs = members.groupBy("band").agg(F.max_by(F.struct("node", "comp"), F.struct(rank, "node")).alias("hub"))
-    pairs = members.join(hubs, "band").where("comp <> hub.comp").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    sketches = classes.select("node", "sketch")
-    pairs = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-    return pairs.where(_different("sa", "sb") <= MAX_DIFFERENT).select("a", "b").distinct()
+    """Pairs of each bucket's hub with its members of other components, sizes and sketches close."""
+    hubs = members.groupBy("band", "mates").agg(F.max_by(F.struct("node", "comp"), F.struct(rank, "node")).alias("hub"))
+    pairs = _with_band(members, hubs).where("comp <> hub.comp").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    sketches = classes.select("node", "n", "sketch")
+    pairs = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa", "n": "na"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb", "n": "nb"}), "b")
+    alike = OF * F.least("na", "nb") >= NEED * F.greatest("na", "nb")
+    return pairs.where(alike & (_different("sa", "sb") <= MAX_DIFFERENT)).select("a", "b").distinct()
 
 
 def _block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of different components in each bucket, sketches close; see the module's text."""
-    parts = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
-    sizes = largest.select("band", "major", F.ceil(F.col("n_major") / BLOCK).cast("int").alias("major_blocks"), F.ceil((F.col("n_all") - F.col("n_major")) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "band").join(classes.select("node", "sketch", "bands"), "node")
+    """All pairs of different components in each bucket, sizes and sketches close; see the module's text."""
+    parts = members.groupBy("band", "mates", "comp").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("band", "mates").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
+    sizes = largest.select("band", "mates", "major", F.ceil(F.col("n_major") / BLOCK).cast("int").alias("major_blocks"), F.ceil((F.col("n_all") - F.col("n_major")) / BLOCK).cast("int").alias("blocks"))
+    rows = _with_band(members, sizes).join(classes.select("node", "n", "sketch", "bands"), "node")
     own = F.when(F.col("comp") == F.col("major"), F.col("blocks") + F.pmod(F.hash("node"), F.col("major_blocks"))).otherwise(F.pmod(F.hash("node"), F.col("blocks"))).cast("int")
     rows = rows.withColumn("block", own).withColumn("most", F.when(F.col("comp") == F.col("major"), F.col("blocks")).otherwise(F.col("blocks") + F.col("major_blocks")))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
-    dealt = rows.select("band", F.least("block", "mate").alias("x"), F.greatest("block", "mate").alias("y"), "block", "node", "comp", "sketch", "bands")
+    dealt = rows.select("band", F.least("block", "mate").alias("x"), F.greatest("block", "mate").alias("y"), "block", "node", "comp", "n", "sketch", "bands")
     return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_sift, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text); see the module's text."""
     signed = materialize(signatures(docs), "signatures")
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.where("node IS NOT NULL"), "classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
@@ -230,8 +254,12 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     others = materialize(_untested(_block_pairs(rest, classes), tested), "pairs")
     more = materialize(confirmed(others, texts), "links")
+    used = [members, texts, first, links, rest, others, more]
     if more.head(1):
+        used.append(comps)
         comps = components(links.unionByName(more))
+    for done in used:
+        remove(done)
 
     by_class = classes.select("set_key", "node").join(comps, "node", "left").select("set_key", "node", F.coalesce("comp", "node").alias("component"))
     found = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
