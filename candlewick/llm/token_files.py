@@ -1,6 +1,6 @@
 """Token ids as files of fixed-width bit-packed ids.
 
-A file holds documents in ascending doc_id order. Layout, little-endian::
+Documents go to files in ascending doc_id order. A file's layout, little-endian::
 
     8 bytes  b"CWBITS01"
     6 x u64  part, documents, ids, bits an id, ids a block, blocks
@@ -11,16 +11,19 @@ A file holds documents in ascending doc_id order. Layout, little-endian::
     payload  blocks; id k of a block lies in bits k * bits up to (k + 1) * bits, lowest bit first
 
 An id takes the fewest bits that hold the vocabulary, and each block starts at a byte, so any range of ids is read
-from its own blocks alone. Files are written by the tasks under a temporary name and renamed, so a repeated or
-speculative attempt leaves one whole file. Null text counts as empty (the end id alone); documents without an id
-come first; repeated rows are written as often as they occur; an empty table writes no file.
+from its own blocks alone. Spark's own writer stores the files, as the ``content`` of one Parquet row a file (``part``,
+``n_docs``, ``n_ids`` beside it): any storage that Spark opens serves, and a lost or repeated attempt leaves one whole
+file. Rows with the same id are spread over files by a hash of their text, so a hot id (or null) fills many tasks.
+
+Null text counts as empty (the end id alone); documents without an id come first; documents of one id lie in the order
+of their texts' hash, then text; repeated rows are written as often as they occur; a text of any length is one document,
+in the memory of its own file; an empty table writes no file and reads as an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.packing import document_ids
-from candlewick.llm.storage import materialize, new_path
+from candlewick.llm.storage import new_path
 from candlewick.llm.tokens import END_ID, encoder, vocabulary_path
 
 MAGIC = b"CWBITS01"
 BLOCK = 4096
 FILE_TEXT_BYTES = 24 << 20
+LOT = 1000
 _WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
@@ -91,15 +95,13 @@ class TokenFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
-    """Tokenize ``docs`` (doc_id, text), write files to the folder ``path`` (any URI pyarrow opens), and return
-    one row a file: part, n_docs, n_ids. Parts ascend with doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, file_text_bytes: int = FILE_TEXT_BYTES) -> None:
+    """Tokenize ``docs`` (doc_id, text) and write files to the new folder ``path``. Parts ascend with doc_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // file_text_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
         from pyspark import TaskContext
 
         part, doc_ids, lengths, ids = TaskContext.get().partitionId(), [], [], []
@@ -114,42 +116,42 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, file_text_byt
                 lengths += (np.diff(ends) + 1).tolist()
         if doc_ids:
             whole = encode_file(part, doc_ids, lengths, np.concatenate(ids), bits)
-            store, folder = pafs.FileSystem.from_uri(path)
-            store.create_dir(folder)
-            name = f"{folder}/part-{part:06d}.tokens"
-            with store.open_output_stream(own := f"{folder}/.{uuid.uuid4().hex}") as out:
-                out.write(whole)
-            store.move(own, name)
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]})
+            columns = [pa.array([part]), pa.array([len(doc_ids)]), pa.array([sum(lengths)]), pa.array([whole], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_docs", "n_ids", "content"])
+
+    ordered = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    ordered.mapInArrow(write, "part long, n_docs long, n_ids long, content binary").write.option("compression", "none").parquet(path)
+
 
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, "part long, n_docs long, n_ids long"), "token-files")
+def _starts(files: DataFrame) -> DataFrame:
+    """part, base: ids of all parts before it. Parts are summed in lots of ``LOT``, then lots, so no task orders all."""
+    rows = files.select("part", "n_ids", F.expr(f"part div {LOT}").alias("lot"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    lots = rows.groupBy("lot").agg(F.sum("n_ids").alias("n")).withColumn("lot_base", F.coalesce(F.sum("n").over(before(Window.orderBy("lot"))), F.lit(0)))
+    own = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("lot").orderBy("part"))), F.lit(0))
+    return rows.withColumn("own", own).join(lots, "lot").select("part", (F.col("lot_base") + F.col("own")).alias("base"))
 
 
-def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files in ``path``: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    starts = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)\.tokens$", 1).cast("long").alias("part"), "content")
+    files = spark.read.schema("part long, n_docs long, n_ids long, content binary").parquet(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, base in zip(batch.column("content"), batch.column("base").to_pylist(), strict=True):
+            for part, content in zip(batch.column("part").to_pylist(), batch.column("content"), strict=True):
                 file = TokenFile(content.as_buffer().to_pybytes())
                 n = np.diff(file.ends, prepend=0)
                 crc = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(n))]
-                columns = [pa.array(file.doc_ids, pa.int64()), pa.array(base + file.ends - n), pa.array(n), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array(np.full(len(n), part)), pa.array(file.doc_ids, pa.int64()), pa.array(file.ends - n), pa.array(n), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    return files.join(starts, "part").select("content", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = files.select("part", "content").mapInArrow(read, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(_starts(files), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")  # contents do not move
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``docs`` as token files and read them back."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    manifest = write_token_files(docs, path, vocabulary or vocabulary_path())
-    if not manifest.head(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(spark, path, manifest)
+    write_token_files(docs, path, vocabulary or vocabulary_path())
+    return read_token_files(spark, path)

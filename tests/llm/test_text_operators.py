@@ -140,14 +140,24 @@ def test_token_files_round_trip(spark, documents, encode):
     assert sorted(map(tuple, queries.op10_token_files(spark, SF01).collect())) == want
 
 
-def test_several_files_keep_the_order(spark, tmp_path):
+def test_several_files_keep_the_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "LOT", 3)
     df = spark.createDataFrame([(k, "word " * (k % 7 + 1)) for k in range(60)], "doc_id long, text string")
-    manifest = token_files.write_token_files(df, str(tmp_path / "t"), tokens.vocabulary_path(), file_text_bytes=200)
-    assert manifest.count() > 3
-    rows = token_files.read_token_files(spark, str(tmp_path / "t"), manifest).orderBy("doc_id").collect()
+    token_files.write_token_files(df, str(tmp_path / "t"), tokens.vocabulary_path(), file_text_bytes=200)
+    assert spark.read.parquet(str(tmp_path / "t")).count() > 3
+    rows = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
     assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(60)]
 
 
+def test_a_hot_id_fills_several_files(spark, tmp_path):
+    df = spark.createDataFrame([(None, f"word {k}") for k in range(400)] + [(7, "x")] * 3, "doc_id long, text string")
+    token_files.write_token_files(df, str(tmp_path / "t"), tokens.vocabulary_path(), file_text_bytes=500)
+    assert spark.read.parquet(str(tmp_path / "t")).where("n_docs > 150").count() == 0
+    rows = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 400 + [7] * 3
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+
+
 # quality and sharding
 
 
