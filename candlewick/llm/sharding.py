@@ -1,34 +1,43 @@
 """Sharding by a k-d tree: weighted medians along the widest metadata dimension, until leaves reach their bytes.
 
-A row's weight is its size (UTF-8 bytes of the text plus 8). Dimensions are the source, the language and the
-logarithm of the size, each scaled to ``2**20`` places. A node of k leaves splits at the weight share of its left
-``k // 2`` leaves, along the dimension in which its rows spread widest. Rows on the same place of that dimension are
-ordered by a hash of the id and the text's checksum, so a source with a third of all rows splits as finely as any.
+A row's weight is its size (UTF-8 bytes of the text plus 8). Dimensions are the source, the language and the size. Each is
+mapped to the share of all bytes that lies before the row's value (sources and languages in the order of a hash, since
+they have none of their own), so a width of 0.3 means the same in each: 30 % of all bytes lie from a node's first value to
+its last. The shares come from one job over ``BINS`` bins a dimension; a source or language lies in the bin of its hash.
 
-A median comes from histograms over all rows: a first one over the node's range of keys, then over the bin that
-holds the median, until that bin weighs under ``TOLERANCE`` of a leaf. All nodes of a level share each job, and only
-bins (``BINS`` a node) reach the driver. DataFrame operations alone.
+A node of k leaves splits at the weight share of its left ``k // 2`` leaves, along its widest dimension (of equal ones
+the first). Within a bin rows lie in the order of a hash of the text, then of the id: a source with a third of all rows
+splits as finely as any, and equal texts (the groups) of one source and language lie side by side, in one shard unless a
+median falls between them, which it must where a group outweighs a shard.
+
+A level takes two jobs over the narrow table: the nodes' weights and ends, then histograms of ``CUTS`` bins between those
+ends, for all nodes at once; a bin that weighs over ``TOLERANCE`` of a leaf takes another. Only bins reach the driver.
+DataFrame operations alone.
 
 Null text has size 8 and the checksum of no bytes; null source, lang or doc_id are values of their own. Rows that are
-equal in id and text stay together. An empty table gives an empty result; other columns are ignored.
+equal in id and text tie on every dimension and stay together. A text of any length is one row, in one shard. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.ranks import rank_within
-from candlewick.llm.storage import materialize
+from candlewick.llm.storage import materialize, remove
 
 SHARDS = 24
-BINS = 2048
-TOLERANCE = 0.001
-_PLACES = 1 << 20
-_TIE_BITS = 40
-DIMENSIONS = ("d_source", "d_lang", "d_size")
+BINS = 1024
+CUTS = 8192
+TOLERANCE = 0.002
+_TEXT_BITS, _ID_BITS = 16, 14
+_TIES = 1 << (_TEXT_BITS + _ID_BITS)
+_PLACES = _TIES << 30
+DIMENSIONS = ("source", "lang", "size")
 
 
 @dataclass
@@ -41,58 +50,62 @@ class _Node:
     right: _Node | None = None
 
 
-def _key(dimension: str) -> Column:
-    return F.shiftleft(F.col(dimension).cast("long"), _TIE_BITS) + F.col("tie")
-
-
 def _label(node: _Node) -> Column:
     """The first shard of the leaf, or unsplit node, that a row falls in."""
     if node.left is None:
         return F.lit(node.first)
-    return F.when(_key(node.dimension) < node.at, _label(node.left)).otherwise(_label(node.right))
+    return F.when(F.col(f"k_{node.dimension}") < node.at, _label(node.left)).otherwise(_label(node.right))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the tree's dimensions of every row."""
+def described(docs: DataFrame) -> tuple[DataFrame, dict[str, list[int]]]:
+    """doc_id, size, text_crc32 and each dimension's b_ (bin) and k_ (place) of every row; and the places where bins begin."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    place = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), F.lit(_PLACES)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), place("source").alias("d_source"), place("lang").alias("d_lang"))
-    return rows.withColumns({
-        "d_size": F.least(F.lit(_PLACES - 1), F.floor(F.log2(F.col("size").cast("double")) * (_PLACES // 40))).cast("int"),
-        "tie": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << _TIE_BITS)),
-    })
-
-
-def _split(rows: DataFrame, root: _Node, open_nodes: list[_Node]) -> None:
+    hashed = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), F.lit(BINS)).cast("int")
+    size = (F.octet_length(body) + 8).cast("long")
+    tie = F.pmod(F.xxhash64(body), F.lit(1 << _TEXT_BITS)) * (1 << _ID_BITS) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), body), F.lit(1 << _ID_BITS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), tie.alias("tie"), hashed("source").alias("b_source"), hashed("lang").alias("b_lang"))
+    bare = materialize(rows.withColumn("b_size", F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("size").cast("double")) * (BINS // 40))).cast("int")), "described")
+    of_bins = bare.select("size", F.posexplode(F.array(*[f"b_{d}" for d in DIMENSIONS])).alias("dim", "bin")).groupBy("dim", "bin").agg(F.sum("size").alias("size"))
+    weight = {(DIMENSIONS[r["dim"]], r["bin"]): r["size"] for r in of_bins.collect()}  # at most BINS rows a dimension
+    places, keys = {}, {}
+    for d in DIMENSIONS:
+        ends = [0, *accumulate(weight.get((d, k), 0) for k in range(BINS))]
+        places[d] = [x * (_PLACES // _TIES) // max(1, ends[-1]) * _TIES for x in ends]
+        begin = "array({})".format(", ".join(f"{x}L" for x in places[d]))
+        keys[f"k_{d}"] = F.expr(f"{begin}[b_{d}] + ({begin}[b_{d} + 1] - {begin}[b_{d}]) div {_TIES} * tie")
+    rows = materialize(bare.withColumns(keys).drop("tie"), "placed")  # so that no plan spells the places out again
+    remove(bare)
+    return rows, places
+
+
+def _split(rows: DataFrame, places: dict[str, list[int]], root: _Node, open_nodes: list[_Node]) -> None:
     """Set dimension and place of the split of each open node."""
-    ends = [f(d).alias(f"{f.__name__}_{d}") for d in (*DIMENSIONS, "tie") for f in (F.min, F.max)]
+    ends = [f(f"{k}_{d}").alias(f"{f.__name__}_{k}_{d}") for d in DIMENSIONS for k in "bk" for f in (F.min, F.max)]
     found = {r["node"]: r for r in rows.groupBy(_label(root).alias("node")).agg(F.sum("size").alias("size"), *ends).collect()}
     wanted: dict[int, float] = {}
-    window: dict[int, tuple[int, int, float]] = {}  # node: first key, keys, weight before them
+    window: dict[int, tuple[int, int, float]] = {}  # node: first place, places, weight before them
     for node in open_nodes:
         r = found.get(node.first)
         if r is None:
             node.dimension = DIMENSIONS[0]
             continue
-        node.dimension = max(DIMENSIONS, key=lambda d: r[f"max_{d}"] - r[f"min_{d}"])
-        low = (r[f"min_{node.dimension}"] << _TIE_BITS) + (r["min_tie"] if r[f"min_{node.dimension}"] == r[f"max_{node.dimension}"] else 0)
-        high = (r[f"max_{node.dimension}"] << _TIE_BITS) + r["max_tie"]
+        node.dimension = max(DIMENSIONS, key=lambda d: places[d][r[f"max_b_{d}"]] - places[d][r[f"min_b_{d}"]])
+        low, high = (r[f"{f}_k_{node.dimension}"] for f in ("min", "max"))
         wanted[node.first] = r["size"] * (node.leaves // 2) / node.leaves
         window[node.first] = (low, high - low + 1, 0.0)
     by_first = {node.first: node for node in open_nodes}
     while window:
         bins = None
-        for first, (low, keys, _) in window.items():
-            width = -(-keys // BINS)
-            offset = _key(by_first[first].dimension) - F.lit(low)
-            bin_of = F.when((F.col("node") == first) & (offset >= 0) & (offset < keys), F.floor(offset / F.lit(width)) if width > 1 else offset)
+        for first, (low, n, _) in window.items():
+            offset = F.col(f"k_{by_first[first].dimension}") - F.lit(low)
+            bin_of = F.when((F.col("node") == first) & (offset >= 0) & (offset < n), F.call_function("div", offset, F.lit(-(-n // CUTS))))
             bins = bin_of if bins is None else F.coalesce(bins, bin_of)
         counted = rows.withColumn("node", _label(root)).withColumn("bin", bins).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("size").alias("size"))
         weights: dict[int, list[tuple[int, int]]] = {}
-        for r in counted.collect():  # at most BINS rows for each node of the level
+        for r in counted.collect():  # at most CUTS rows for each node of the level
             weights.setdefault(r["node"], []).append((r["bin"], r["size"]))
-        for first, (low, keys, before) in list(window.items()):
-            width, node, target = -(-keys // BINS), by_first[first], wanted[first]
+        for first, (low, n, before) in list(window.items()):
+            width, node, target = -(-n // CUTS), by_first[first], wanted[first]
             for k, weight in sorted(weights[first]):
                 if before + weight >= target:
                     break
@@ -106,11 +119,11 @@ def _split(rows: DataFrame, root: _Node, open_nodes: list[_Node]) -> None:
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null) of every row of ``docs``."""
-    rows = materialize(described(docs), "described")
+    rows, places = described(docs)
     root = _Node(shards, 0)
     level = [root]
     while level := [n for n in level if n.leaves > 1]:
-        _split(rows, root, level)
+        _split(rows, places, root, level)
         for n in level:
             n.left, n.right = _Node(n.leaves // 2, n.first), _Node(n.leaves - n.leaves // 2, n.first + n.leaves // 2)
         level = [x for n in level for x in (n.left, n.right)]

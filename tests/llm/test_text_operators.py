@@ -229,7 +229,46 @@ def test_shards_are_even_and_whole(spark, documents):
 def test_one_source_splits_evenly(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
     counts = [r["count"] for r in sharding.kd_shards(df).groupBy("shard").count().collect()]
-    assert len(counts) == 24 and max(counts) - min(counts) <= 3
+    assert len(counts) == 24 and max(counts) - min(counts) <= 15
+
+
+def naive_tree(rows, places, leaves, first):
+    """Shards by a k-d tree that sorts each node's rows; ``rows``: (key, size, bins, places)."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    at = max(range(3), key=lambda d: places[d][max(r[2][d] for r in rows)] - places[d][min(r[2][d] for r in rows)])
+    rows = sorted(rows, key=lambda r: r[3][at])
+    target, before, cut = sum(r[1] for r in rows) * (leaves // 2) / leaves, 0, 0
+    while before + rows[cut][1] < target:
+        before += rows[cut][1]
+        cut += 1
+    cut += before + rows[cut][1] - target < target - before
+    half = leaves // 2
+    return naive_tree(rows[:cut], places, half, first) | naive_tree(rows[cut:], places, leaves - half, first + half)
+
+
+def test_shards_equal_a_naive_tree(spark, documents):
+    df, texts = documents
+    rows, places = sharding.described(df)
+    dims = sharding.DIMENSIONS
+    given = [(r["doc_id"], r["size"], [r[f"b_{d}"] for d in dims], [r[f"k_{d}"] for d in dims]) for r in rows.collect()]
+    want = naive_tree(given, [places[d] for d in dims], 24, 0)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(df).collect()}
+    assert sum(got[d] == s for d, s in want.items()) >= 0.98 * len(want)  # medians lie within TOLERANCE of a leaf
+    # groups: equal texts of a source and language are parted by a median alone
+    groups = defaultdict(set)
+    for r in df.collect():
+        groups[r["text"], r["source"], r["lang"]].add(got[r["doc_id"]])
+    assert sum(len(s) > 1 for s in groups.values()) <= 2
+
+
+def test_groups_lie_together(spark):
+    rows = [(k, f"text {k // 10} " + "word " * (k // 10 % 40), f"s{k // 10 % 3}", "en") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shards = defaultdict(set)
+    for r in sharding.kd_shards(df).collect():
+        shards[r["doc_id"] // 10].add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) <= 23  # a median each
 
 
 # URLs and pages
