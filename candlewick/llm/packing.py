@@ -9,8 +9,9 @@
    left they open new sequences. The gaps that were met become shorter runs before the next superstep.
 4. The matched runs (a few for each size) go to the tasks, which look up each piece's run by size and rank.
 
-Only longer documents than the capacity are cut. Null text counts as empty: its one piece is the end id. Repeated
-rows are packed as often as they occur; an empty table gives an empty result; other columns are ignored.
+Only longer documents than the capacity are cut, a text of any length into as many pieces as it takes. Null text counts
+as empty: its one piece is the end id. Pieces of equal size go in the order of a hash, then of their ids. Repeated rows
+are packed as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ and a group's name, has a weight of its own, which a linear model lacks.
 3. All documents are scored where they lie, whole; a task needs only the kept terms' weights.
 
 A text without known terms (also empty or null) gets the score of w0. A null doc_id counts as empty text in the fold
-rule. Several labels of one document count as toxic if one is. Unless documents of both classes are labelled all scores are 0. Columns other
-than the text are never inputs of a score; repeated rows get equal scores.
+rule. Several labels of one document count as toxic if one is. Unless documents of both classes are labelled (so with an
+empty ``labels``, too) all scores are 0. Terms that tell equally much go by their bucket. Texts of any length are read
+whole, in runs of some megabytes of whole documents. Columns other than the text are never inputs of a score; repeated
+rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations

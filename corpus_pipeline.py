@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
 of ``documents``; the last returns the packed pieces. ``run`` writes each stage's result to the shared folder and
 rereads it, so a lost executor never reaches back over a stage.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and extra columns of
+any name: a null text counts as empty (the base rules drop it, later stages keep it, packing gives it the end id alone); a
+null doc_id is linked with nothing and never dropped for another document's sake; repeated rows fare alike; an empty table
+gives an empty result; other columns pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from candlewick.llm import decontamination, license_scan, near_dup, packing, quality, sharding, token_files, toxicity, url_filter
+from candlewick.llm import decontamination, license_scan, near_dup, packing, quality, sharding, storage, token_files, toxicity, url_filter
 from candlewick.llm.html_extract import extract_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,3 +90,22 @@ def test_pages_with_nulls(spark):
     urls = url_filter.filter_urls(pages).orderBy("page_id").collect()
     assert [(r["host"], r["path"]) for r in urls[:4]] == [("", "")] * 4 and urls[4]["rule"] == "com/de/" and urls[4]["verdict"] == "block"
     assert extract_text(pages.limit(0)).collect() == url_filter.filter_urls(pages.limit(0)).collect() == []
+
+
+def test_empty_labels_and_benchmark(spark, docs, labels, bench):
+    assert max(r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()) < 1e-9
+    assert decontamination.contamination(docs, bench.limit(0)).collect() == []
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert storage.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "s3a://bucket/shared/"}
+    assert storage.shared_dir(Session) == "s3a://bucket/shared"

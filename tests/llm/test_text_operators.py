@@ -421,6 +421,32 @@ def test_a_pair_of_neutral_terms_is_learned(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.97
 
 
+def test_exactly_one_of_two_words_is_learned(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for k in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append((k, " ".join(["alpha"] * int(a) + ["bravo"] * int(b) + [f"w{rng.integers(300)}" for _ in range(12)])))
+        labels.append((k, int(a != b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, marks).where("held_out").join(marks, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.95
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    texts = ["one two three four", "", None, "two two Two. five", "unknown", " ".join(f"w{i}" for i in range(30))]
+    buckets = np.unique(np.concatenate([toxicity._buckets(w) for t in texts if t for w in t.lower().split() if w != "unknown"]))
+    place = np.full(toxicity.BUCKETS, -1, np.int64)
+    place[buckets] = np.arange(len(buckets))
+    m = toxicity.Model(place, -0.3, rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 4)))
+    got = m.scores(*toxicity.terms_of(pa.array(texts), place))
+    for text, score in zip(texts, got, strict=True):
+        own = sorted({place[b] for w in (text or "").lower().split() for b in toxicity._buckets(w) if place[b] >= 0})
+        total = m.w0 + sum(m.w[i] for i in own) + sum(m.v[i] @ m.v[j] for n, i in enumerate(own) for j in own[n + 1 :])
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 @pytest.mark.parametrize("size", [600, 8000])
 def test_rare_words_of_one_class_are_kept_at_any_size(spark, size):
     """20 documents of a class hold the word, however many there are."""
