@@ -12,13 +12,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.operators.context import class_weights, feature_moments, standardized
 from candlewick.operators.grids import DEFAULT_THRESHOLDS, best_thresholds
 from candlewick.operators.metrics import evaluate
-from candlewick.operators.score import Net, forward_pass, matrix, threshold_predict
+from candlewick.operators.score import Net, forward_pass, forward_passes, matrix, threshold_predict
 
 SLOTS = 16
 # The settings searched by default.
@@ -33,6 +33,10 @@ TRIALS = {
 }
 
 
+#: A row of the trial grid.
+ROW = "grid_index int, alpha double, hidden int, do_dropout boolean, dropout_percent double, batch_size int, context_len int, window int, model_pnl double, buy_hold_pnl double, outperformance double, score double, macro_f1 double, label_buy long, label_hold long, label_sell long"
+
+
 @dataclass(frozen=True)
 class Settings:
     alpha: float = 1e-3
@@ -41,6 +45,10 @@ class Settings:
     batch_size: int = 32
     seed: int = 42
 
+    def __post_init__(self) -> None:
+        if self.alpha <= 0 or self.hidden < 1 or self.batch_size < 1 or not 0 <= self.dropout < 1:
+            raise ValueError("alpha, hidden and batch_size are positive, a dropout share lies in [0, 1)")
+
 
 @dataclass
 class Fitted:
@@ -135,6 +143,8 @@ def better(new: dict, best: Fitted, min_delta: float) -> bool:
 
 def fit(train: DataFrame, val: DataFrame, settings: Sequence[Settings], epochs: int = 500, patience: int = 50, min_delta: float = 1e-4) -> list[Fitted]:
     """The best epoch of each trial by validation macro F1. ``train`` and ``val`` hold scaled ``context`` and ``Label_id``."""
+    if epochs < 1 or patience < 1 or min_delta < 0:
+        raise ValueError("epochs and patience are 1 at least, min_delta is not negative")
     weights = np.array([r["weight"] for r in class_weights(train).orderBy("Label_id").collect()])
     first = train.select(F.size("context").alias("n")).first()
     if first is None:
@@ -146,11 +156,9 @@ def fit(train: DataFrame, val: DataFrame, settings: Sequence[Settings], epochs:
         if not live:
             break
         moved, losses = epoch(train, [nets[k] for k in live], [settings[k] for k in live], weights, number)
-        scored = None
         for k, net in zip(live, moved, strict=True):
             nets[k] = net
-            one = forward_pass(val.select("context", F.col("Label_id").alias("y_true")), net).drop("context").withColumn("trial", F.lit(k))
-            scored = one if scored is None else scored.unionByName(one)
+        scored = forward_passes(val, {k: nets[k] for k in live})
         found = {r["trial"]: r for r in best_thresholds(scored, ["trial"]).collect()}  # a row a trial
         for k, loss in zip(live, losses, strict=True):
             b, r = best[k], found.get(k)
@@ -166,10 +174,24 @@ def fit(train: DataFrame, val: DataFrame, settings: Sequence[Settings], epochs:
 
 
 def scaled_parts(contexts: DataFrame) -> dict[str, DataFrame]:
-    """``train``, ``val`` and ``test`` rows, scaled by the training rows' moments."""
-    contexts = contexts.persist()  # read once an epoch
+    """``train``, ``val`` and ``test`` rows, scaled by the training rows' moments, and ``all`` of them as they were. These
+    are persisted, since every epoch reads them; ``release`` ends that."""
+    contexts = contexts.persist()
     scaled = standardized(contexts, feature_moments(contexts.where("split = 'train'")))
-    return {name: scaled.where(F.col("split") == name).persist() for name in ("train", "val", "test")}
+    return {"all": contexts} | {name: scaled.where(F.col("split") == name).persist() for name in ("train", "val", "test")}
+
+
+def release(parts: dict[str, DataFrame]) -> None:
+    for part in parts.values():
+        part.unpersist()
+
+
+def evaluated(parts: dict[str, DataFrame], net: Net) -> tuple[Fitted, DataFrame, DataFrame]:
+    """A given net with the thresholds that suit the validation rows best, its test predictions and their measures."""
+    found = best_thresholds(forward_passes(parts["val"], {0: net}).drop("trial")).first()
+    pair = (found["buy_threshold"], found["sell_threshold"]) if found else DEFAULT_THRESHOLDS
+    model = Fitted(net, pair, found["macro_f1"] if found else 0.0, found["bal_acc"] if found else 0.0)
+    return model, *test_results(parts, model)
 
 
 def test_results(parts: dict[str, DataFrame], model: Fitted) -> tuple[DataFrame, DataFrame]:
@@ -182,21 +204,19 @@ def trial_grid(variant: Callable[[int, int], DataFrame], record: Callable[[DataF
     """Fit every combination of ``grid``; a row for each, with its settings, test measures, profit and label counts.
 
     ``variant(window, context_len)`` gives the labelled context rows with ``split``; ``record(predictions)`` the
-    strategy record. Trials on the same variant share rows and jobs.
+    strategy record. Trials on the same variant share rows and jobs; a trial gives one row of figures.
     """
     names = list(grid)
     combos = [dict(zip(names, v, strict=True)) for v in product(*grid.values())]
-    out = None
+    rows = []
     for window, length in product(grid["window"], grid["context_len"]):
         own = [(k, c) for k, c in enumerate(combos) if c["window"] == window and c["context_len"] == length]
-        contexts = variant(window, length)
-        parts = scaled_parts(contexts)
+        parts = scaled_parts(variant(window, length))
         settings = [Settings(c["alpha"], c["hidden"], c["dropout_percent"] if c["do_dropout"] else 0.0, c["batch_size"]) for _, c in own]
-        stats = contexts.agg(*[F.count_if(F.col("Label_id") == k).alias(f"label_{n}") for k, n in ((2, "buy"), (1, "hold"), (0, "sell"))])
+        stats = parts["all"].agg(*[F.count_if(F.col("Label_id") == k).alias(f"label_{n}") for k, n in ((2, "buy"), (1, "hold"), (0, "sell"))]).first().asDict()
         for (k, c), model in zip(own, fit(parts["train"], parts["val"], settings, epochs, patience), strict=True):
             predicted, measures = test_results(parts, model)
-            row = record(predicted).select("model_pnl", "buy_hold_pnl", "outperformance", F.col("outperformance").alias("score"))
-            row = row.join(F.broadcast(measures.select("macro_f1"))).join(F.broadcast(stats))  # one row each
-            row = row.select(F.lit(k).alias("grid_index"), *[F.lit(v).alias(n) for n, v in c.items()], "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+            money = record(predicted).select("model_pnl", "buy_hold_pnl", "outperformance").first().asDict()
+            rows.append({"grid_index": k, **c, **money, "score": money["outperformance"], "macro_f1": measures.first()["macro_f1"], **stats})
+        release(parts)
+    return SparkSession.active().createDataFrame(rows, ROW)

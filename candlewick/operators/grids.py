@@ -14,7 +14,7 @@ from candlewick.operators.labels import raw_label
 from candlewick.operators.metrics import evaluate
 from candlewick.operators.recurrences import capital_after_fees
 from candlewick.operators.score import threshold_predict
-from candlewick.operators.series import full, series, up_to
+from candlewick.operators.series import series, up_to
 
 # The grids searched by default.
 WINDOWS_LONG = range(5, 61)
@@ -45,7 +45,12 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     })
     now = F.struct("l", "s", "kl", "ks")
     bars = bars.withColumn("end", F.max_by(now, "date").over(whole))
-    extrema = [F.struct(F.lit(n).alias("window"), full(F.min(x), w.rowsBetween(-n, -1), x, n).alias("low"), full(F.max(x), w.rowsBetween(-n, -1), x, n).alias("high")) for n in windows]
+    # a window is full where the last null lies before it: one count serves all windows
+    bars = bars.withColumn("_at", F.row_number().over(w))
+    bars = bars.withColumn("_valid", F.col("_at") - 1 - F.coalesce(F.max(F.when(x.isNull(), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bars = bars.withColumns({f"_{f.__name__}{n}": f(x).over(w.rowsBetween(-n, -1)) for n in windows for f in (F.min, F.max)})
+    gate = lambda n, c: F.when(F.col("_valid") >= n, F.col(c))
+    extrema = [F.struct(F.lit(n).alias("window"), gate(n, f"_min{n}").alias("low"), gate(n, f"_max{n}").alias("high")) for n in windows]
     bars = bars.withColumn("extrema", F.array(*extrema)).select("ticker", "date", price, now.alias("now"), "end", F.inline("extrema"))
     # nothing is a signal under any buffers that is none under the smallest ones
     least = min(buffers)
@@ -82,8 +87,10 @@ def _moved(held: Column, since: Column, now: Column) -> Column:
 
 
 def best_of(grid: DataFrame, by: Sequence[str] = ("ticker",), score: str = "score", index: str = "grid_index", n: int = 1) -> DataFrame:
-    """The ``n`` best rows of each group; of equal scores the earlier in loop order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), index)) if by else F.row_number().over(Window.orderBy(F.desc(score), index))
+    """The ``n`` best rows of each group, or of all; of equal scores the earlier in loop order."""
+    if not by:
+        return grid.orderBy(F.desc(score), index, *[c for c in ("ticker",) if c in grid.columns]).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), index))
     return grid.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 

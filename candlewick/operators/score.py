@@ -60,6 +60,20 @@ def forward_pass(df: DataFrame, net: Net, vector: str = "context") -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
+def forward_passes(df: DataFrame, nets: dict[int, Net], label: str = "Label_id", vector: str = "context") -> DataFrame:
+    """trial, y_true and p_sell, p_hold, p_buy of every row under every net, in one pass over the rows."""
+    shared = df.sparkSession.sparkContext.broadcast(nets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0))
+            for trial, net in shared.value.items() if len(x) else ():
+                p = net.output(net.hidden(x))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), trial)), batch.column(1), *[pa.array(p[:, k]) for k in range(3)]], names=["trial", "y_true", "p_sell", "p_hold", "p_buy"])
+
+    return df.select(vector, F.col(label).cast("int")).mapInArrow(run, "trial long, y_true int, p_sell double, p_hold double, p_buy double")
+
+
 def threshold_predict(scored: DataFrame, buy: float = 0.75, sell: float = 0.75) -> DataFrame:
     """``y_pred``: Buy or Sell where it is the most likely class and at or over its threshold, else Hold."""
     best = first_largest([F.col("p_sell"), F.col("p_hold"), F.col("p_buy")])

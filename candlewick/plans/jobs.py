@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.functions.scalars import label_id  # noqa: F401  part of the jobs' vocabulary
 from candlewick.operators import backtest, grids
 from candlewick.operators.context import context_windows
 from candlewick.operators.features import FEATURES, complete, feature_table
-from candlewick.operators.fit import TRIALS, Fitted, Settings, fit, scaled_parts, test_results, trial_grid
+from candlewick.operators.fit import TRIALS, Fitted, Settings, evaluated, fit, scaled_parts, test_results, trial_grid
 from candlewick.operators.labels import add_labels, last_signals
+from candlewick.operators.score import Net
 from candlewick.operators.split import chronological
-from candlewick.sources.bars import constituents, date_range, normalised, ordered_by_key, require, save, summary, wide_to_long
+from candlewick.sources.bars import coerced_dates, constituents, date_range, normalised, ordered_by_key, require, save, summary, wide_to_long
 
 
 def ingest(spark: SparkSession, wide: DataFrame, base: str, start: str = "2000-01-01", end: str | None = None, kind: str = "auto", dimension: DataFrame | None = None) -> DataFrame:
@@ -24,20 +24,22 @@ def ingest(spark: SparkSession, wide: DataFrame, base: str, start: str = "2000-0
     return summary(spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path))
 
 
-def label_portfolio(bars: DataFrame, window: int = 20, capital: float = 10_000.0) -> DataFrame:
-    """Profit of the labels themselves against buy-and-hold, equal capital a ticker."""
-    require(bars, "ticker", "date", "adj_close")
-    return backtest.portfolio(add_labels(bars.where("ticker IS NOT NULL"), window), capital=capital)
+def checked(bars: DataFrame) -> DataFrame:
+    """Bars that all jobs start from: the columns are there, rows without a ticker go, text dates become timestamps (one
+    that cannot be read is an error), and a (ticker, date) occurs once."""
+    bars = require(bars, "ticker", "date", "adj_close").where("ticker IS NOT NULL")
+    return ordered_by_key(coerced_dates(bars) if dict(bars.dtypes)["date"] == "string" else bars)
 
 
-def checked_label_portfolio(bars: DataFrame, window: int = 20, capital: float = 10_000.0) -> DataFrame:
-    return label_portfolio(ordered_by_key(bars), window, capital)
+def label_portfolio(bars: DataFrame, window: int = 20, capital: float = 10_000.0) -> DataFrame:
+    """Profit of the labels themselves against buy-and-hold, equal capital a ticker."""
+    return backtest.portfolio(add_labels(checked(bars), window), capital=capital)
 
 
 def contexts(bars: DataFrame, window: int = 60, length: int = 20, train: float = 0.7, val: float = 0.15, features: Sequence[str] = FEATURES) -> DataFrame:
     """Labelled context rows of each ticker with their part. Features and windows run over whole series, so later parts
     see the rows before them and no part sees later ones."""
-    rows = chronological(complete(feature_table(add_labels(bars.where("ticker IS NOT NULL"), window))), train, val)
+    rows = chronological(complete(feature_table(add_labels(checked(bars), window))), train, val)
     return context_windows(rows, length, features).select("ticker", "date", "adj_close", "Label_id", "split", "context")
 
 
@@ -46,8 +48,17 @@ def train_and_evaluate(bars: DataFrame, window: int = 60, length: int = 20, sett
     parts = scaled_parts(contexts(bars, window, length))
     model = fit(parts["train"], parts["val"], [settings], epochs, patience)[0]
     predicted, measures = test_results(parts, model)
-    record = backtest.portfolio(predicted, capital=capital, capital_mode=capital_mode, short=short, lag=int(short), fee=fee)
-    return model, measures, record
+    return model, measures, _profit(predicted, short, fee, capital, capital_mode)
+
+
+def evaluate_net(bars: DataFrame, net: Net, window: int = 60, length: int = 20, short: bool = False, fee: float = 0.0, capital: float = 10_000.0, capital_mode: str = "split") -> tuple[Fitted, DataFrame, DataFrame]:
+    """``train_and_evaluate`` with a net that is there already: its thresholds come from the validation rows."""
+    model, predicted, measures = evaluated(scaled_parts(contexts(bars, window, length)), net)
+    return model, measures, _profit(predicted, short, fee, capital, capital_mode)
+
+
+def _profit(predicted: DataFrame, short: bool, fee: float, capital: float, capital_mode: str) -> DataFrame:
+    return backtest.portfolio(predicted, capital=capital, capital_mode=capital_mode, short=short, lag=int(short), fee=fee)
 
 
 def single_series(bars: DataFrame, ticker: str) -> DataFrame:
@@ -62,9 +73,10 @@ def search_models(bars: DataFrame, grid: dict[str, Sequence] = TRIALS, fee: floa
 
 def search_labels(bars: DataFrame, short: bool = False, fee: float = 2.0, capital: float = 10_000.0, part: str | None = "val", **grid) -> DataFrame:
     """Label parameter grid on one part of each series."""
+    bars = checked(bars)
     rows = chronological(bars).where(F.col("split") == part) if part else bars
     return grids.label_grid(rows, short, fee=fee, capital=capital, **grid)
 
 
 def signal_table(bars: DataFrame, window: int = 20, n: int = 160) -> DataFrame:
-    return last_signals(add_labels(bars, window), n)
+    return last_signals(add_labels(checked(bars), window), n)

@@ -20,9 +20,9 @@ BARS = {"walk": _WALK, "brand": _lines("l_extendedprice / l_quantity"), "calm":
 _S = "PARTITION BY ticker ORDER BY date"
 
 
-def bars(kind: str, more: str = "", recursive: bool = False) -> str:
+def bars(kind: str, more: str = "", recursive: bool = False, where: str = "true") -> str:
     """WITH clause that ends in ``bars``, its rows numbered from 0."""
-    tail = f", bars AS MATERIALIZED (SELECT *, close AS adj_close, row_number() OVER ({_S}) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars0)"
+    tail = f", bars AS MATERIALIZED (SELECT *, close AS adj_close, row_number() OVER ({_S}) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM bars0 WHERE {where})"
     return f"WITH {'RECURSIVE ' if recursive else ''}{BARS[kind]}{tail}{', ' + more if more else ''} "
 
 
@@ -106,13 +106,13 @@ run AS (SELECT {cell}, CAST(-1 AS BIGINT) AS i, CAST({cap} AS DOUBLE) AS cap, 0
         FROM run JOIN {source} q ON {on} AND q.i = run.i + 1)"""
 
 
-def grid_cells(windows: tuple, buffers: tuple) -> str:
+def grid_cells(windows: tuple, buffers: tuple, source: str = "bars") -> str:
     """``lab`` for every window and buffer pair, by the same rule as ``labels``."""
     f = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     parts = []
     for n in windows:
         g = f.format(n=n)
-        parts.append(f"SELECT *, {n} AS \"window\", CASE WHEN count(adj_close) OVER {g} = {n} THEN min(adj_close) OVER {g} END AS lo, CASE WHEN count(adj_close) OVER {g} = {n} THEN max(adj_close) OVER {g} END AS hi FROM bars")
+        parts.append(f"SELECT *, {n} AS \"window\", CASE WHEN count(adj_close) OVER {g} = {n} THEN min(adj_close) OVER {g} END AS lo, CASE WHEN count(adj_close) OVER {g} = {n} THEN max(adj_close) OVER {g} END AS hi FROM {source}")
     own = "PARTITION BY ticker, \"window\", buy_buffer, sell_buffer ORDER BY date"
     values = ", ".join(f"({b!r})" for b in buffers)
     return f"""
@@ -146,7 +146,47 @@ def measures(source: str, by: str = "") -> str:
 FROM (SELECT {by + ', ' if by else ''}count(*) AS n, count(*) FILTER (y_true = y_pred) AS r, {sums} FROM {source}{group})"""
 
 
-def oracle_sql(grid_windows: tuple, grid_buffers: tuple) -> dict[str, str]:
+def context_rows(length: int) -> str:
+    """``cw``: labelled context rows with their part, windows over whole series."""
+    frame = f"({_S} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
+    return f"""{labels(20)}, {ALL_FEATURES},
+ok AS (SELECT ft.ticker, ft.date, ft.adj_close, {', '.join(FEATURES)}, lab.Label_id FROM ft JOIN lab ON ft.ticker = lab.ticker AND ft.date = lab.date WHERE {' AND '.join(f'{x} IS NOT NULL' for x in FEATURES)}),
+{split('ok')}, cx AS (SELECT ticker, date, adj_close, Label_id, split, flatten(list([{', '.join(FEATURES)}]) OVER {frame}) AS context FROM sp),
+cw AS MATERIALIZED (SELECT * FROM cx WHERE len(context) = {length * len(FEATURES)})"""
+
+
+def net_rows(net, length: int) -> str:
+    """``ns``: scaled context rows with the net's probabilities."""
+    n = length * len(FEATURES)
+    vector = lambda v: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in v) + "]"
+    hidden = ", ".join(f"greatest(0, list_dot_product(z, {vector(w)}) + {float(b)!r}::DOUBLE)" for w, b in zip(net.w0.T, net.b0, strict=True))
+    logits = ", ".join(f"list_dot_product(h, {vector(w)}) + {float(b)!r}::DOUBLE AS {name}" for w, b, name in zip(net.w1.T, net.b1, "abc", strict=True))
+    return f"""
+mo AS (SELECT pos, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM (SELECT unnest(context) AS x, generate_subscripts(context, 1) AS pos FROM cw WHERE split = 'train') GROUP BY pos),
+ml AS (SELECT list(mean ORDER BY pos) AS means, list(std ORDER BY pos) AS stds FROM mo),
+nz AS (SELECT cw.*, list_transform(range(1, {n + 1}), lambda j: (context[j] - means[j]) / stds[j]) AS z FROM cw, ml),
+nh AS (SELECT *, [{hidden}] AS h FROM nz), nl AS (SELECT *, {logits} FROM nh),
+ne AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM nl),
+ns AS MATERIALIZED (SELECT ticker, date, adj_close, split, Label_id AS y_true, ea / (ea + eb + ec) AS p_sell, eb / (ea + eb + ec) AS p_hold, ec / (ea + eb + ec) AS p_buy FROM ne)"""
+
+
+def net_job(kind: str, net, length: int, thresholds: str, record: str, short: bool, fee: float, where: str = "true") -> str:
+    """Test measures and portfolio of a net whose thresholds are the best on the validation rows."""
+    rows = f"gr AS (SELECT CAST(buy_threshold AS DOUBLE) AS buy_threshold, CAST(sell_threshold AS DOUBLE) AS sell_threshold, y_true, {predicted('buy_threshold', 'sell_threshold')} AS y_pred FROM ns, bt, st WHERE split = 'val')"
+    chosen = f"me AS ({measures('gr', 'buy_threshold, sell_threshold')}), be AS (SELECT buy_threshold, sell_threshold FROM me ORDER BY macro_f1 DESC, buy_threshold, sell_threshold LIMIT 1)"
+    te = f"te AS MATERIALIZED (SELECT ticker, date, adj_close, y_true, {predicted('buy_threshold', 'sell_threshold')} AS y_pred, y_pred AS Label_id, row_number() OVER ({_S}) - 1 AS i FROM ns, be WHERE split = 'test')"
+    pos = positions(-1 if short else 0).replace("FROM lab", "FROM te")
+    executed = _EXECUTED if short else _EXECUTED.replace(f"coalesce(lag(position) OVER ({_S}), 0) AS executed", "position AS executed")
+    loop = f"""share AS (SELECT 10000.0 / count(DISTINCT ticker) AS share FROM exe),
+run AS (SELECT ticker, CAST(-1 AS BIGINT) AS i, CAST((SELECT share FROM share) AS DOUBLE) AS cap FROM exe GROUP BY ticker
+        UNION ALL SELECT e.ticker, e.i, greatest(cap * (1 + executed * fwd) - {fee} * turn, 0) FROM run JOIN exe e ON e.ticker = run.ticker AND e.i = run.i + 1),
+c AS (SELECT ticker, arg_max(cap, i) AS m FROM run GROUP BY ticker), hh AS (SELECT ticker, count(*) AS k, product(1 + fwd) * (SELECT share FROM share) AS h FROM exe GROUP BY ticker),
+s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h) AS h FROM c JOIN hh USING (ticker) WHERE k >= 2)"""
+    more = f"{context_rows(length)}, {net_rows(net, length)}, {thresholds}, {rows}, {chosen}, {te}, {pos}, {executed}, {loop}, mt AS ({measures('te')}), rc AS (SELECT {record} FROM s)"
+    return bars(kind, more, True, where) + "SELECT mt.*, rc.*, be.* FROM mt, rc, be"
+
+
+def oracle_sql(grid_windows: tuple, grid_buffers: tuple, net, length: int, single: str, brand: str) -> dict[str, str]:
     ohlc = "SELECT ticker, date, open, high, low, close, volume FROM bars"
     two = lambda x: f"round({x}, 2)"
     record = f"{two('start')} AS initial_capital, {two('m')} AS model_final_capital, {two('h')} AS buy_hold_final_capital, {two('m - start')} AS model_pnl, {two('h - start')} AS buy_hold_pnl, {two('m - h')} AS outperformance"
@@ -156,10 +196,14 @@ def oracle_sql(grid_windows: tuple, grid_buffers: tuple) -> dict[str, str]:
     raw_ends = lambda cell: f"SELECT {cell}, {last} AS final_capital, arg_max(trades, i) AS n_trades FROM run GROUP BY {cell}"
     cellq = 'ticker, "window", buy_buffer, sell_buffer'
     hold = "hold AS (SELECT ticker, 10000 * product(1 + ret) AS h FROM (SELECT ticker, coalesce(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1, 0) AS ret FROM bars) GROUP BY ticker)"
-    index = f"(list_position([{', '.join(map(str, grid_windows))}], \"window\") - 1) * {len(grid_buffers) ** 2} + (list_position([{', '.join(f'CAST({b!r} AS DOUBLE)' for b in grid_buffers)}], buy_buffer) - 1) * {len(grid_buffers)} + list_position([{', '.join(f'CAST({b!r} AS DOUBLE)' for b in grid_buffers)}], sell_buffer) - 1"
 
-    def grid(sell: int) -> str:
-        more = f"{grid_cells(grid_windows, grid_buffers)}, {hold}, {backtest_loop(2.0, 10000.0, sell, cellq)}, g AS ({raw_ends(cellq)})"
+    def grid(sell: int, windows: tuple = grid_windows, buffers: tuple = grid_buffers, part: str = "") -> str:
+        """Every cell of the grid; with ``part`` on that part of each series."""
+        source = "own" if part else "bars"
+        own = f"{split('bars')}, own AS MATERIALIZED (SELECT * EXCLUDE (i), row_number() OVER ({_S}) - 1 AS i FROM sp WHERE split = '{part}'), " if part else ""
+        more = f"{own}{grid_cells(windows, buffers, source)}, {hold.replace('FROM bars', f'FROM {source}')}, {backtest_loop(2.0, 10000.0, sell, cellq)}, g AS ({raw_ends(cellq)})"
+        listed = lambda values: "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]"
+        index = f"(list_position([{', '.join(map(str, windows))}], \"window\") - 1) * {len(buffers) ** 2} + (list_position({listed(buffers)}, buy_buffer) - 1) * {len(buffers)} + list_position({listed(buffers)}, sell_buffer) - 1"
         return bars("walk", more, True) + f"SELECT g.ticker, CAST({index} AS INTEGER) AS grid_index, \"window\", buy_buffer, sell_buffer, round(final_capital - h, 2) AS score, round(final_capital, 2) AS final_capital, round(final_capital - 10000, 2) AS pnl, n_trades FROM g JOIN hold USING (ticker)"
 
     port = lambda n: f"""{labels(n)}, {positions(0)}, c AS (SELECT ticker, count(*) AS k, product(1 + position * fwd) AS m, product(1 + fwd) AS h FROM pos GROUP BY ticker),
@@ -231,5 +275,24 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "wide_to_long": bars("walk") + "SELECT date, ticker, open, high, low, close, adj_close, CAST(volume AS DOUBLE) AS volume FROM bars",
         "constituents_join": bars("calm") + "SELECT ticker, date, 'Co ' || ticker AS company FROM bars",
         "dataset_summary": bars("calm") + "SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers FROM bars",
+        "label_grid_full": grid(-1, tuple(range(2, 61)), (0.0, 0.001, 0.002, 0.005), "val"),
+        "label_grid_long_full": grid(0, tuple(range(5, 61)), (0.0, 0.001, 0.002, 0.005), "val"),
+        "top_cells": f"SELECT * FROM ({grid(-1)}) ORDER BY score DESC, grid_index, ticker LIMIT 20",
+        "train_single_long": net_job("walk", net, length, thresholds, record, False, 0.0, f"ticker = '{single}'"),
+        "train_single_long_short": net_job("walk", net, length, thresholds, record, True, 0.0, f"ticker = '{single}'"),
+        "train_multi_long": net_job("calm", net, length, thresholds, record, False, 0.0),
+        "train_multi_long_short": net_job("calm", net, length, thresholds, record, True, 1.0),
+        "model_score": bars("calm", f"{context_rows(length)}, {net_rows(net, length)}", True) + "SELECT ticker, date, round(p_sell, 6) AS p_sell, round(p_hold, 6) AS p_hold, round(p_buy, 6) AS p_buy FROM ns WHERE split = 'test'",
+        "history_contexts": bars("calm", context_rows(length), True) + "SELECT ticker, date, split, CAST(Label_id AS INTEGER) AS Label_id, round(list_sum(list_transform(context, lambda x, k: x * k)), 2) AS weighted FROM cw",
+        "ticker_filter": bars("calm") + f"{ohlc} WHERE ticker = '{brand}'",
+        "null_tickers_dropped": bars("calm", port(20), where=f"ticker <> '{brand}'") + f"SELECT {record} FROM s",
+        "text_dates": bars("calm", port(20)) + f"SELECT {record} FROM s",
+        "scalars": bars("calm", lab20) + """SELECT ticker, date, CAST(Label_id AS INTEGER) AS label_code, CAST(Label_id = 0 AS INTEGER) AS hot_0, CAST(Label_id = 1 AS INTEGER) AS hot_1, CAST(Label_id = 2 AS INTEGER) AS hot_2,
+  round(greatest(close / open - 1, 0), 8) AS gain, CASE WHEN close / open - 1 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS slope, abs(close - open) <= 5.0 + 0.00001 * abs(open) AS near,
+  CAST(date AS DATE) AS day, CAST(date AS DATE) + 1 AS day_after, CAST(NULL AS DATE) AS no_day FROM lab""",
+        "ingest": bars("walk") + "SELECT ticker, date, 'Co ' || ticker AS company, open, high, low, close, adj_close, CAST(volume AS DOUBLE) AS volume FROM bars",
+        "csv_round_trip": bars("calm") + ohlc,
+        "partitioned_scan": bars("calm") + f"SELECT ticker, date, close, volume FROM bars WHERE ticker = '{brand}'",
+        "save_auto": bars("calm") + "SELECT ticker, count(*) AS n_rows, CAST(sum(volume) AS BIGINT) AS volume, max(close) AS top FROM bars GROUP BY ticker",
         "date_range": bars("calm") + "SELECT ticker, date, close FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1997-01-01'",
     }

@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import numpy as np
+
+from candlewick.functions import scalars
 from candlewick.functions.scalars import softmax
 from candlewick.operators import backtest, context, features, grids, labels, metrics, score, split
 from candlewick.operators.fit import Settings, epoch, scaled_parts
 from candlewick.plans import jobs, oracle
 from candlewick.sources import bars as sources
 from candlewick.sources.derived import bars_brand, bars_calm, bars_walk
+from candlewick.sources.scratch import new_path
 
 WINDOW = 20
 GRID_WINDOWS, GRID_BUFFERS = (5, 20, 60), (0.0, 0.002)
 CONTEXT, CONTEXT_FEATURES = 5, ("body_log", "volume_relatif", "williams")
+NET_CONTEXT, NET_HIDDEN = 3, 4
+TICKER, BRAND = "click", "Brand#11"
 RECORD = ("initial_capital", "model_final_capital", "buy_hold_final_capital", "model_pnl", "buy_hold_pnl", "outperformance")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +83,6 @@ def _model_fit(bars: DataFrame) -> DataFrame:
     """Losses of the first epochs of one net on all training rows."""
     parts = scaled_parts(jobs.contexts(bars, WINDOW, 10))
     weights = [r["weight"] for r in context.class_weights(parts["train"]).orderBy("Label_id").collect()]
-    import numpy as np
-
     settings, nets, out = [Settings(1e-2, 16)], [score.Net.start(150, 16)], []
     for number in range(1, 4):
         nets, loss = epoch(parts["train"], nets, settings, np.array(weights), number)
@@ -86,9 +90,69 @@ def _model_fit(bars: DataFrame) -> DataFrame:
     return bars.sparkSession.createDataFrame(out, "epoch int, loss double")
 
 
+def fixed_net() -> score.Net:
+    """Weights by a formula, so that scores can be compared."""
+    n, h = NET_CONTEXT * len(features.FEATURES), NET_HIDDEN
+    wave = lambda *shape: np.sin(1.0 + 3 * np.arange(np.prod(shape))).reshape(shape)
+    return score.Net(wave(n, h) / 2, wave(h) / 4, wave(h, 3), np.array([0.1, 0.3, -0.1]))
+
+
 def _model_score(bars: DataFrame) -> DataFrame:
-    rows = jobs.contexts(bars, WINDOW, 10)
-    return score.forward_pass(rows, score.Net.start(150, 16)).select("ticker", "date", "p_sell", "p_hold", "p_buy")
+    parts = scaled_parts(jobs.contexts(bars, WINDOW, NET_CONTEXT))
+    names = ("p_sell", "p_hold", "p_buy")
+    return rounded(score.forward_pass(parts["test"], fixed_net()), 6, *names).select("ticker", "date", *names)
+
+
+def _net_job(bars: DataFrame, **how) -> DataFrame:
+    """Measures and record of a job with the fixed net, in one row."""
+    model, measured, record = jobs.evaluate_net(bars, fixed_net(), WINDOW, NET_CONTEXT, **how)
+    row = rounded(measured, 8, *measured.columns).crossJoin(rounded(record, 2, *record.columns))  # a row each
+    return row.withColumns({"buy_threshold": F.lit(model.thresholds[0]), "sell_threshold": F.lit(model.thresholds[1])})
+
+
+def _history(bars: DataFrame) -> DataFrame:
+    rows = jobs.contexts(bars, WINDOW, NET_CONTEXT)
+    return rows.select("ticker", "date", "split", "Label_id", F.round(_weighted("context"), 2).alias("weighted"))
+
+
+def _ingested(bars: DataFrame) -> DataFrame:
+    base = new_path(bars.sparkSession, "ingest")
+    jobs.ingest(bars.sparkSession, _wide(bars), base, "1970-01-01", kind="parquet", dimension=bars.select("ticker", "company").distinct())
+    return sources.read_bars(bars.sparkSession, f"{base}.parquet").select("ticker", "date", "company", "open", "high", "low", "close", "adj_close", "volume")
+
+
+def _through_csv(bars: DataFrame) -> DataFrame:
+    rows = bars.select("ticker", "date", "open", "high", "low", "close", "volume")
+    path = new_path(bars.sparkSession, "csv")
+    sources.write_csv(rows, path)
+    return bars.sparkSession.read.option("header", True).schema(rows.schema).csv(path)
+
+
+def _partitioned(bars: DataFrame) -> DataFrame:
+    path = new_path(bars.sparkSession, "by-ticker")
+    sources.write_parquet(bars, path, by_ticker=True)
+    return sources.read_bars(bars.sparkSession, path, ["ticker", "date", "close", "volume"], f"ticker = '{BRAND}'")
+
+
+def _saved(bars: DataFrame) -> DataFrame:
+    path = sources.save(bars, new_path(bars.sparkSession, "bars"))
+    kept = bars.sparkSession.read.parquet(path) if path.endswith(".parquet") else bars.sparkSession.read.option("header", True).schema(bars.schema).csv(path)
+    return kept.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.sum("volume").alias("volume"), F.max("close").alias("top"))
+
+
+def _scalars(bars: DataFrame) -> DataFrame:
+    """Label codes, one-hot codes, rectified returns, tolerance tests and dates from text of each bar."""
+    df = _labelled(bars).withColumn("change", F.col("close") / F.col("open") - 1)
+    text = F.date_format("date", "yyyy-MM-dd")
+    return df.select(
+        "ticker", "date", scalars.label_id(F.col("Label")).alias("label_code"), *[scalars.one_hot(F.col("Label_id"))[k].alias(f"hot_{k}") for k in range(3)],
+        F.round(scalars.relu(F.col("change")), 8).alias("gain"), scalars.relu_slope(F.col("change")).alias("slope"), scalars.close_to(F.col("close"), F.col("open"), 5.0).alias("near"),
+        scalars.iso_date(text).alias("day"), F.date_add(scalars.iso_date(text), 1).alias("day_after"), scalars.iso_date(F.concat(F.lit("x"), text)).alias("no_day"),
+    )
+
+
+def _some_tickers(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("ticker", F.when(F.col("ticker") != BRAND, F.col("ticker")))
 
 
 def _trial_grid(bars: DataFrame) -> DataFrame:
@@ -163,8 +227,23 @@ def queries() -> dict[str, Query]:
         "model_score": calm(_model_score),
         "trial_grid": walk(_trial_grid),
         "label_grid_full": walk(lambda b: rounded(jobs.search_labels(b, True), 2, "score", "final_capital", "pnl")),
+        "label_grid_long_full": walk(lambda b: rounded(jobs.search_labels(b, False), 2, "score", "final_capital", "pnl")),
+        "top_cells": walk(lambda b: grids.best_of(_grid(b, True), [], n=20)),
+        "train_single_long": walk(lambda b: _net_job(jobs.single_series(b, TICKER))),
+        "train_single_long_short": walk(lambda b: _net_job(jobs.single_series(b, TICKER), short=True)),
+        "train_multi_long": calm(_net_job),
+        "train_multi_long_short": calm(lambda b: _net_job(b, short=True, fee=1.0)),
+        "history_contexts": calm(_history),
+        "ticker_filter": calm(lambda b: ohlc(jobs.single_series(b, BRAND))),
+        "null_tickers_dropped": calm(lambda b: money(jobs.label_portfolio(_some_tickers(b), WINDOW))),
+        "text_dates": calm(lambda b: money(jobs.label_portfolio(b.withColumn("date", F.col("date").cast("string")), WINDOW))),
+        "scalars": calm(_scalars),
+        "ingest": walk(_ingested),
+        "csv_round_trip": calm(_through_csv),
+        "partitioned_scan": calm(_partitioned),
+        "save_auto": calm(_saved),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql(GRID_WINDOWS, GRID_BUFFERS)
+    return oracle.oracle_sql(GRID_WINDOWS, GRID_BUFFERS, fixed_net(), NET_CONTEXT, TICKER, BRAND)

@@ -29,49 +29,49 @@ VENDOR_FIELDS = {
 }
 BAR_COLUMNS = ["date", "ticker", "company", *VENDOR_FIELDS.values()]
 
-# The default constituents.
-CONSTITUENTS = """
-Accor|AC.PA
-Air Liquide|AI.PA
-Airbus|AIR.PA
-ArcelorMittal|MT.AS
-AXA|CS.PA
-BNP Paribas|BNP.PA
-Bouygues|EN.PA
-Bureau Veritas|BVI.PA
-Capgemini|CAP.PA
-Carrefour|CA.PA
-Credit Agricole|ACA.PA
-Danone|BN.PA
-Dassault Systemes|DSY.PA
-Eiffage|FGR.PA
-Engie|ENGI.PA
-EssilorLuxottica|EL.PA
-Eurofins Scientific|ERF.PA
-Euronext|ENX.PA
-Hermes|RMS.PA
-Kering|KER.PA
-Legrand|LR.PA
-L'Oreal|OR.PA
-LVMH|MC.PA
-Michelin|ML.PA
-Orange|ORA.PA
-Pernod Ricard|RI.PA
-Publicis Groupe|PUB.PA
-Renault|RNO.PA
-Safran|SAF.PA
-Saint-Gobain|SGO.PA
-Sanofi|SAN.PA
-Schneider Electric|SU.PA
-Societe Generale|GLE.PA
-Stellantis|STLAP.PA
-STMicroelectronics|STMPA.PA
-Thales|HO.PA
-TotalEnergies|TTE.PA
-Unibail-Rodamco-Westfield|URW.PA
-Veolia Environnement|VIE.PA
-Vinci|DG.PA
-"""
+# The default constituents, as (ticker, company).
+CONSTITUENTS = [
+    ("AC.PA", "Accor"),
+    ("AI.PA", "Air Liquide"),
+    ("AIR.PA", "Airbus"),
+    ("MT.AS", "ArcelorMittal"),
+    ("CS.PA", "AXA"),
+    ("BNP.PA", "BNP Paribas"),
+    ("EN.PA", "Bouygues"),
+    ("BVI.PA", "Bureau Veritas"),
+    ("CAP.PA", "Capgemini"),
+    ("CA.PA", "Carrefour"),
+    ("ACA.PA", "Credit Agricole"),
+    ("BN.PA", "Danone"),
+    ("DSY.PA", "Dassault Systemes"),
+    ("FGR.PA", "Eiffage"),
+    ("ENGI.PA", "Engie"),
+    ("EL.PA", "EssilorLuxottica"),
+    ("ERF.PA", "Eurofins Scientific"),
+    ("ENX.PA", "Euronext"),
+    ("RMS.PA", "Hermes"),
+    ("KER.PA", "Kering"),
+    ("LR.PA", "Legrand"),
+    ("OR.PA", "L'Oreal"),
+    ("MC.PA", "LVMH"),
+    ("ML.PA", "Michelin"),
+    ("ORA.PA", "Orange"),
+    ("RI.PA", "Pernod Ricard"),
+    ("PUB.PA", "Publicis Groupe"),
+    ("RNO.PA", "Renault"),
+    ("SAF.PA", "Safran"),
+    ("SGO.PA", "Saint-Gobain"),
+    ("SAN.PA", "Sanofi"),
+    ("SU.PA", "Schneider Electric"),
+    ("GLE.PA", "Societe Generale"),
+    ("STLAP.PA", "Stellantis"),
+    ("STMPA.PA", "STMicroelectronics"),
+    ("HO.PA", "Thales"),
+    ("TTE.PA", "TotalEnergies"),
+    ("URW.PA", "Unibail-Rodamco-Westfield"),
+    ("VIE.PA", "Veolia Environnement"),
+    ("DG.PA", "Vinci"),
+]
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -97,8 +97,7 @@ def constituents(spark: SparkSession, path: str | None = None) -> DataFrame:
     """ticker and company, sorted by ticker: the default list, or a headed CSV."""
     if path:
         return spark.read.option("header", True).schema("ticker string, company string").csv(path).orderBy("ticker")
-    rows = [tuple(reversed(line.split("|"))) for line in CONSTITUENTS.strip().splitlines()]
-    return spark.createDataFrame(rows, "ticker string, company string").orderBy("ticker")
+    return spark.createDataFrame(CONSTITUENTS, "ticker string, company string").orderBy("ticker")
 
 
 def with_company(bars: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -142,8 +141,8 @@ def date_range(bars: DataFrame, start: str, end: str | None = None) -> DataFrame
 
 def coerced_dates(df: DataFrame) -> DataFrame:
     """Text dates as timestamps; one that cannot be read is an error when the plan runs."""
-    parsed = F.try_to_timestamp(F.col("date").cast("string"))
-    return df.withColumn("date", F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("a date is null or cannot be read")).cast("timestamp")))
+    parsed = F.col("date").cast("string").try_cast("timestamp_ntz")
+    return df.withColumn("date", F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("a date is null or cannot be read")).cast("timestamp_ntz")))
 
 
 def summary(bars: DataFrame) -> DataFrame:
@@ -162,9 +161,10 @@ def quality_report(bars: DataFrame) -> DataFrame:
 
 
 def ordered_by_key(bars: DataFrame) -> DataFrame:
-    """``bars``, or an error when the plan runs over a null or repeated (ticker, date)."""
-    n = F.count("*").over(Window.partitionBy("ticker", "date"))
-    bad = F.col("ticker").isNull() | F.col("date").isNull() | (n > 1)
+    """``bars``, or an error when the plan runs over a null or repeated (ticker, date). Repeats are neighbours in the order
+    that all window operators sort by, so the check shares their shuffle and sort."""
+    repeated = F.col("date").eqNullSafe(F.lag("date").over(Window.partitionBy("ticker").orderBy("date")))
+    bad = F.col("ticker").isNull() | F.col("date").isNull() | repeated
     return bars.withColumn("_ok", F.when(bad, F.raise_error(F.lit("null or repeated (ticker, date)")).cast("boolean")).otherwise(True)).where("_ok").drop("_ok")
 
 

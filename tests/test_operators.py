@@ -269,3 +269,64 @@ def test_one_shuffle_for_all_rolling_features(spark, tmp_path):
     rolled = features.volatility(features.relative_volume(features.williams(features.candles(features.log_prices(features.log_returns(df))))))
     plan = rolled._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_jobs_refuse_repeated_keys_and_unreadable_dates(spark):
+    df = frame(spark, walk(1, 30))
+    twice = df.unionByName(df.limit(1))
+    for job in (jobs.label_portfolio, jobs.signal_table, jobs.search_labels, jobs.contexts):
+        with pytest.raises(Exception, match="repeated"):
+            job(twice).collect()
+        with pytest.raises(ValueError, match="missing columns: adj_close"):
+            job(df.drop("adj_close"))
+    text = df.withColumn("date", F.col("date").cast("string"))
+    assert jobs.label_portfolio(text).collect() == jobs.label_portfolio(df).collect()
+    with pytest.raises(Exception, match="cannot be read"):
+        jobs.label_portfolio(text.withColumn("date", F.lit("soon"))).collect()
+    plan = sources.ordered_by_key(df).withColumn("x", backtest.simple_return("close"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_settings_are_checked(spark):
+    for bad in ({"alpha": 0.0}, {"hidden": 0}, {"batch_size": 0}, {"dropout": 1.0}):
+        with pytest.raises(ValueError):
+            fit.Settings(**bad)
+    for bad in ({"epochs": 0}, {"patience": 0}, {"min_delta": -1.0}):
+        with pytest.raises(ValueError):
+            fit.fit(None, None, [fit.Settings()], **bad)
+
+
+def test_early_stop_matches_a_loop(spark, monkeypatch):
+    """The kept epoch and the stop, from given measures an epoch."""
+    series = [(0.30, 0.40), (0.50, 0.40), (0.50, 0.45), (0.50004, 0.45), (0.40, 0.90), (0.49, 0.10), (0.60, 0.10), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.90, 0.90)]
+    calls = iter(series)
+    one = spark.createDataFrame([([0.0, 1.0], 1)], "context array<double>, Label_id int")
+    monkeypatch.setattr(fit, "epoch", lambda train, nets, *_: (list(nets), [0.0] * len(nets)))
+
+    def scores(*_):
+        macro, balanced = next(calls)
+        return spark.createDataFrame([(0, 0.75, 0.75, macro, balanced)], "trial int, buy_threshold double, sell_threshold double, macro_f1 double, bal_acc double")
+
+    monkeypatch.setattr(fit, "best_thresholds", scores)
+    got = fit.fit(one, one, [fit.Settings(hidden=2)], epochs=50, patience=3)[0]
+    best, kept, waited, ended = None, 0, 0, 0
+    for number, (macro, balanced) in enumerate(series, 1):
+        tie = best is not None and abs(macro - best[0]) <= 1e-4 + 1e-5 * abs(best[0])
+        if best is None or macro > best[0] + 1e-4 or tie and balanced > best[1] + 1e-12:
+            best, kept, waited = (macro, balanced), number, 0
+        else:
+            waited += 1
+        ended = number
+        if waited == 3:
+            break
+    assert (got.epoch, got.macro_f1, len(got.history), got.stopped) == (kept, best[0], ended, True) and kept == 7
+
+
+def test_one_pass_scores_like_single_ones(spark):
+    rows = [([float(i), 1.0 - i], i % 3) for i in range(10)]
+    df = spark.createDataFrame(rows, "context array<double>, Label_id int")
+    nets = {k: score.Net.start(2, 4, k) for k in (0, 3)}
+    many = score.forward_passes(df, nets)
+    for k, net in nets.items():
+        got = [r["p_buy"] for r in many.where(F.col("trial") == k).orderBy("p_buy").collect()]
+        assert got == pytest.approx([r["p_buy"] for r in score.forward_pass(df, net).orderBy("p_buy").collect()])
