@@ -1,31 +1,10 @@
-"""Tables that cut lineage, written to the folder the cluster shares.
-
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local master (tests, a laptop) uses a
-temporary folder of this machine; a cluster, whose executors would each write to their own disk, is refused.
-"""
+"""Tables that cut lineage, written to the folder the cluster shares (``sources.scratch``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables, without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="candlewick-"))
-    return base.rstrip("/")
-
+from pyspark.sql import DataFrame
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/candlewick/{name}-{uuid.uuid4().hex}"
+from candlewick.sources.scratch import new_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from candlewick.llm import decontamination, license_scan, near_dup, packing, quality, sharding, storage, token_files, toxicity, url_filter
+from candlewick.llm import decontamination, license_scan, near_dup, packing, quality, sharding, token_files, toxicity, url_filter
 from candlewick.llm.html_extract import extract_text
+from candlewick.sources import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word another " * 40_000
@@ -104,8 +105,8 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
         sparkContext = type("Context", (), {"master": "spark://host:7077"})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        storage.shared_dir(Session)
+        scratch.shared_dir(Session)
     Session.sparkContext.master = "local[2]"
-    assert storage.shared_dir(Session)
+    assert scratch.shared_dir(Session)
     Session.conf = {"spark.checkpoint.dir": "s3a://bucket/shared/"}
-    assert storage.shared_dir(Session) == "s3a://bucket/shared"
+    assert scratch.shared_dir(Session) == "s3a://bucket/shared"
