@@ -298,7 +298,7 @@ def test_settings_are_checked(spark):
 
 def test_early_stop_matches_a_loop(spark, monkeypatch):
     """The kept epoch and the stop, from given measures an epoch."""
-    series = [(0.30, 0.40), (0.50, 0.40), (0.50, 0.45), (0.50004, 0.45), (0.40, 0.90), (0.49, 0.10), (0.60, 0.10), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.90, 0.90)]
+    series = [(0.30, 0.40), (0.50, 0.40), (0.50, 0.45), (0.50004, 0.45), (0.40, 0.90), (0.49, 0.10), (0.60, 0.10), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.90, 0.90)]
     calls = iter(series)
     one = spark.createDataFrame([([0.0, 1.0], 1)], "context array<double>, Label_id int")
     monkeypatch.setattr(fit, "epoch", lambda train, nets, *_: (list(nets), [0.0] * len(nets)))
@@ -308,7 +308,7 @@ def test_early_stop_matches_a_loop(spark, monkeypatch):
         return spark.createDataFrame([(0, 0.75, 0.75, macro, balanced)], "trial int, buy_threshold double, sell_threshold double, macro_f1 double, bal_acc double")
 
     monkeypatch.setattr(fit, "best_thresholds", scores)
-    got = fit.fit(one, one, [fit.Settings(hidden=2)], epochs=50, patience=3)[0]
+    got = fit.fit(one, one, [fit.Settings(hidden=2)], epochs=50, patience=4)[0]
     best, kept, waited, ended = None, 0, 0, 0
     for number, (macro, balanced) in enumerate(series, 1):
         tie = best is not None and abs(macro - best[0]) <= 1e-4 + 1e-5 * abs(best[0])
@@ -317,7 +317,7 @@ def test_early_stop_matches_a_loop(spark, monkeypatch):
         else:
             waited += 1
         ended = number
-        if waited == 3:
+        if waited == 4:
             break
     assert (got.epoch, got.macro_f1, len(got.history), got.stopped) == (kept, best[0], ended, True) and kept == 7
 
