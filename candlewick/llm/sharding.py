@@ -11,7 +11,7 @@ splits as finely as any, and equal texts (the groups) of one source and language
 median falls between them, which it must where a group outweighs a shard.
 
 A level takes two jobs over the narrow table: the nodes' weights and ends, then histograms of ``CUTS`` bins between those
-ends, for all nodes at once; a bin that weighs over ``TOLERANCE`` of a leaf takes another. Only bins reach the driver.
+ends, for all nodes at once; a bin of several rows that weighs over ``TOLERANCE`` of a leaf takes another. Only bins reach the driver.
 DataFrame operations alone.
 
 Null text has size 8 and the checksum of no bytes; null source, lang or doc_id are values of their own. Rows that are
@@ -100,17 +100,17 @@ def _split(rows: DataFrame, places: dict[str, list[int]], root: _Node, open_node
             offset = F.col(f"k_{by_first[first].dimension}") - F.lit(low)
             bin_of = F.when((F.col("node") == first) & (offset >= 0) & (offset < n), F.call_function("div", offset, F.lit(-(-n // CUTS))))
             bins = bin_of if bins is None else F.coalesce(bins, bin_of)
-        counted = rows.withColumn("node", _label(root)).withColumn("bin", bins).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("size").alias("size"))
-        weights: dict[int, list[tuple[int, int]]] = {}
+        counted = rows.withColumn("node", _label(root)).withColumn("bin", bins).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        weights: dict[int, list[tuple[int, int, int]]] = {}
         for r in counted.collect():  # at most CUTS rows for each node of the level
-            weights.setdefault(r["node"], []).append((r["bin"], r["size"]))
+            weights.setdefault(r["node"], []).append((r["bin"], r["size"], r["n"]))
         for first, (low, n, before) in list(window.items()):
             width, node, target = -(-n // CUTS), by_first[first], wanted[first]
-            for k, weight in sorted(weights[first]):
+            for k, weight, held in sorted(weights[first]):
                 if before + weight >= target:
                     break
                 before += weight
-            if weight <= TOLERANCE * target / (node.leaves // 2) or width == 1:
+            if weight <= TOLERANCE * target / (node.leaves // 2) or held == 1 or width == 1:
                 node.at = low + k * width + (width if before + weight - target < target - before else 0)
                 del window[first]
             else:
