@@ -329,4 +329,5 @@ def test_one_pass_scores_like_single_ones(spark):
     many = score.forward_passes(df, nets)
     for k, net in nets.items():
         got = [r["p_buy"] for r in many.where(F.col("trial") == k).orderBy("p_buy").collect()]
+        assert many.where("abs(p_sell + p_hold + p_buy - 1) > 1e-9").count() == 0
         assert got == pytest.approx([r["p_buy"] for r in score.forward_pass(df, net).orderBy("p_buy").collect()])
