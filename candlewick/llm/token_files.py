@@ -38,7 +38,7 @@ from candlewick.llm.tokens import END_ID, encoder, vocabulary_path
 
 MAGIC = b"CWBITS01"
 BLOCK = 4096
-FILE_TEXT_BYTES = 24 << 20
+FILE_TEXT_BYTES = 16 << 20
 LOT = 1000
 _WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
@@ -115,7 +115,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, file_text_byt
                 doc_ids += rows.column(0).to_pylist()
                 lengths += (np.diff(ends) + 1).tolist()
         if doc_ids:
-            whole = encode_file(part, doc_ids, lengths, np.concatenate(ids), bits)
+            joined = np.concatenate(ids)
+            ids.clear()  # the file's parts are not held twice
+            whole = encode_file(part, doc_ids, lengths, joined, bits)
             columns = [pa.array([part]), pa.array([len(doc_ids)]), pa.array([sum(lengths)]), pa.array([whole], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "n_docs", "n_ids", "content"])
 
