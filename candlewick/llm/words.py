@@ -126,9 +126,10 @@ def lower_pieces(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarr
     at = np.arange(len(data), dtype=np.int32)
     solid = np.maximum.accumulate(np.where(_punctuation[data], np.int32(-1), at))[stops - 1].astype(np.int64) if len(stops) else stops
     cut = (solid >= starts) & (solid < stops - 1)
-    where = np.minimum(solid, len(data) - 2)
+    where = np.clip(solid, 0, max(len(data) - 2, 0))
+    after = np.minimum(where + 1, len(data) - 1)
     latin = (data[where] >= 0x80) & (data[where] != 0x97) & (data[where] != 0xB7) & (data[where - 1] == 0xC3) & (where > starts)
-    cut &= (_alnum[data[where]] | latin) & (data[where + 1] != 0x7C)
+    cut &= (_alnum[data[where]] | latin) & (data[after] != 0x7C)
     sizes = np.zeros(len(starts) + int(cut.sum()), np.int64)
     place = np.arange(len(starts)) + np.cumsum(cut) - cut
     sizes[place] = np.where(cut, solid + 1, stops) - starts

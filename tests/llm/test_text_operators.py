@@ -60,6 +60,13 @@ def test_ids_equal_the_library(texts):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("text", ["0", ".", "a", "é", " ", "|", "a.", ".a"])
+def test_a_batch_of_one_short_text(encode, text):
+    ids, ends = tokens.encoder(tokens.vocabulary_path()).encode_texts(pa.array([text]))
+    assert [ids.tolist()] == encode([text]) and ends.tolist() == [0, len(ids)]
+    assert len(toxicity.terms_of(pa.array([text]))[1]) == 2
+
+
 def test_special_strings_and_nulls(encode):
     texts = ["a <|endoftext|>b", "x<|endoftext|>.", None, "", "'s don't, it's' \x01 \x01b"]
     ids, ends = tokens.encoder(tokens.vocabulary_path()).encode_texts(pa.array(texts))
