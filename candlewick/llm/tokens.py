@@ -4,13 +4,14 @@ A text's ids are its words' ids in order, and a word that ends in ASCII punctuat
 two pre-tokens at least. A batch therefore encodes each distinct piece once and gathers ids with numpy; a
 worker keeps the pieces it has met, up to a bound. Pieces of lower-case Latin letters are one pre-token each
 and go straight to the vocabulary's merges; all others take the library's whole way, many joined into one call.
+A vocabulary file that normalises or splits in another way (``goes_by_words``) takes whole texts to the library.
 ``encode_texts`` equals ``Tokenizer.encode`` on the texts; tests compare them.
 """
 
 from __future__ import annotations
 
+import json
 import os
-
 import re
 
 import numpy as np
@@ -25,6 +26,20 @@ _KNOWN_MOST = 300_000
 _CHUNK = 1 << 22
 #: Letters that neither NFC nor lower-casing changes.
 _SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+# The steps of a vocabulary file under which words can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARK = re.compile(r"<\|[a-z]+\|>")
+
+
+def goes_by_words(steps: dict) -> bool:
+    """Whether a vocabulary file (its JSON) lower-cases, ends pre-tokens at white space and has no other rule across words."""
+    split, *level = (steps["pre_tokenizer"] or {}).get("pretokenizers", [None])
+    kind = {"type": "Split", "pattern": {"Regex": _WORD}, "behavior": "Removed", "invert": True}
+    bytes_only = len(level) == 1 and level[0]["type"] == "ByteLevel" and not level[0]["add_prefix_space"] and not level[0]["use_regex"]
+    marks = all(_MARK.fullmatch(t["content"]) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in steps["added_tokens"])
+    plain = not any(steps[k] for k in ("post_processor", "truncation", "padding")) and not steps["model"].get("dropout")
+    return steps["normalizer"] == _NORMALIZER and split == kind and bytes_only and marks and plain
 
 
 class WordEncoder:
@@ -35,6 +50,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = goes_by_words(json.load(file))
+        if not self.by_words:
+            return
         self.merger = Tokenizer.from_file(path)
         self.merger.normalizer = normalizers.Sequence([])
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([])
@@ -93,11 +112,16 @@ class WordEncoder:
         """Ids of all texts in one array, and ``len + 1`` offsets; a null counts as empty."""
         parts, ends = [], [np.zeros(1, np.int64)]
         for _, _, data, docs in chunks(texts, _CHUNK):
+            if not self.by_words:
+                whole = self._ids([data[a:b].tobytes().decode() for a, b in zip(docs[:-1], docs[1:], strict=True)])
+                parts.append(np.fromiter((i for ids in whole for i in ids), np.int32))
+                ends.append(np.cumsum(list(map(len, whole))) + ends[-1][-1])
+                continue
             pieces, first = lower_pieces(data, docs)
             ids, offsets = self._encode_pieces(pieces)
             parts.append(ids)
             ends.append(offsets[first[1:]] + ends[-1][-1])
-        return np.concatenate(parts) if parts else self.ids[:0], np.concatenate(ends)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(ends)
 
     def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = pieces.dictionary_encode()

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, exact round trips, SQL and held-out accuracy."""
 
 import html
+import json
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -67,6 +69,22 @@ def test_a_batch_of_one_short_text(encode, text):
     assert len(toxicity.terms_of(pa.array([text]))[1]) == 2
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(ODD, max_size=6))
+def test_another_vocabulary_takes_whole_texts(texts):
+    encoder = tokens.encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    assert not encoder.by_words and tokens.encoder(tokens.vocabulary_path()).by_words
+    ids, ends = encoder.encode_texts(pa.array([*texts, None, "It's  A\n<|endoftext|> B."]))
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "", "It's  A\n<|endoftext|> B."]]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "ByteLevel"}}, {"padding": {"strategy": "BatchLongest"}}, {"truncation": {"max_length": 9}}, {"added_tokens": [{"content": "new york"}]}])
+def test_other_steps_than_the_words_ones_are_seen(change):
+    steps = json.loads(Path(tokens.vocabulary_path()).read_text())
+    assert tokens.goes_by_words(steps) and tokens.goes_by_words(steps | change) == (change == {"padding": {"strategy": "BatchLongest"}})
+
+
 def test_special_strings_and_nulls(encode):
     texts = ["a <|endoftext|>b", "x<|endoftext|>.", None, "", "'s don't, it's' \x01 \x01b"]
     ids, ends = tokens.encoder(tokens.vocabulary_path()).encode_texts(pa.array(texts))
