@@ -82,7 +82,7 @@ def test_another_vocabulary_takes_whole_texts(texts):
 @pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "ByteLevel"}}, {"padding": {"strategy": "BatchLongest"}}, {"truncation": {"max_length": 9}}, {"added_tokens": [{"content": "new york"}]}])
 def test_other_steps_than_the_words_ones_are_seen(change):
     steps = json.loads(Path(tokens.vocabulary_path()).read_text())
-    assert tokens.goes_by_words(steps) and tokens.goes_by_words(steps | change) == (change == {"padding": {"strategy": "BatchLongest"}})
+    assert tokens.goes_by_words(steps) and not tokens.goes_by_words(steps | change)
 
 
 def test_special_strings_and_nulls(encode):
