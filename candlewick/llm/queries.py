@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import quality, url_filter
+from candlewick.llm import conversations, quality, top_k, url_filter, whitening
 from candlewick.llm.decontamination import contamination
 from candlewick.llm.html_extract import extract_text
 from candlewick.llm.license_scan import scan_licenses
@@ -68,6 +68,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -80,8 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
         "op10_token_files": op10_token_files,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_top_k": op12_top_k,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.ORACLE, "op6_line_frequency": quality.ORACLE}
+    return {"op3_url_filters": url_filter.ORACLE, "op6_line_frequency": quality.ORACLE, "op12_top_k": top_k.ORACLE}
