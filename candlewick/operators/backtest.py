@@ -75,20 +75,22 @@ def _record(ends: DataFrame) -> DataFrame:
     return ends.withColumns({"model_pnl": model - start, "buy_hold_pnl": hold - start, "outperformance": model - hold})
 
 
-def portfolio(df: DataFrame, signal: str = "Label_id", price: str = "adj_close", capital: float = 10_000.0, capital_mode: str = "split", **how) -> DataFrame:
-    """One record for all tickers. Each gets an equal share of ``capital``, counted over all tickers; those with one
-    bar stay out of all totals. ``capital_mode="full"`` runs every ticker on the whole capital but counts the shares."""
+def portfolio(df: DataFrame, signal: str = "Label_id", price: str = "adj_close", capital: float = 10_000.0, capital_mode: str = "split", by: Sequence[str] = (), **how) -> DataFrame:
+    """One record for all tickers, or for each value of ``by`` (each over the same tickers). Each ticker gets an equal share
+    of ``capital``, counted over all tickers; those with one bar stay out of all totals. ``capital_mode="full"`` runs every
+    ticker on the whole capital but counts the shares."""
     if capital_mode not in ("split", "full"):
         raise ValueError(f"unknown capital mode: {capital_mode}")
     df, unit = df.where("ticker IS NOT NULL"), 1.0
     if how.get("fee"):  # a fee does not scale with capital, so the share must be known before the curve
         unit = float(capital) / (1 if capital_mode == "full" else max(1, df.agg(F.countDistinct("ticker").alias("n")).first()["n"]))
-    ends = _ends(curves(df, signal, price, unit, **how), unit, KEYS)
+    keys = (*by, *KEYS)
+    ends = _ends(curves(df, signal, price, unit, keys=keys, **how), unit, keys)
     used = F.col("n_bars") >= 2
-    totals = ends.agg(F.count("*").alias("_tickers"), F.count_if(used).alias("_used"), *[F.sum(F.when(used, F.col(c)) / unit).alias(c) for c in ("model_final_capital", "buy_hold_final_capital")])
+    totals = ends.groupBy(*by).agg(F.count("*").alias("_tickers"), F.count_if(used).alias("_used"), *[F.sum(F.when(used, F.col(c)) / unit).alias(c) for c in ("model_final_capital", "buy_hold_final_capital")])
     share = F.try_divide(F.lit(float(capital)), F.col("_tickers"))
     each = F.lit(float(capital)) if capital_mode == "full" else share
-    return _record(totals.select((share * F.col("_used")).alias("initial_capital"), (each * F.col("model_final_capital")).alias("model_final_capital"), (each * F.col("buy_hold_final_capital")).alias("buy_hold_final_capital")))
+    return _record(totals.select(*by, (share * F.col("_used")).alias("initial_capital"), (each * F.col("model_final_capital")).alias("model_final_capital"), (each * F.col("buy_hold_final_capital")).alias("buy_hold_final_capital")))
 
 
 def aligned(rows: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:

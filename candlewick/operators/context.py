@@ -28,13 +28,6 @@ def class_weights(df: DataFrame, label: str = "Label_id", classes: int = 3) -> D
     return counts.select(F.inline(rows))
 
 
-def feature_moments(df: DataFrame, vector: str = "context") -> DataFrame:
-    """mean and population std of each vector position; std 0 becomes 1."""
-    cells = df.select(F.posexplode(vector).alias("pos", "x"))
-    found = cells.groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return found.withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
-
-
 def standardized(df: DataFrame, moments: DataFrame, vector: str = "context") -> DataFrame:
     """``vector`` scaled by ``moments``: a row a position, so as short as a vector."""
     packed = moments.agg(F.sort_array(F.collect_list(F.struct("pos", "mean", "std"))).alias("_m"))

@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.operators.series import KEYS, series, up_to
 
-BLOCK = 128
-
-
 @dataclass(frozen=True)
 class Smoothing:
     """y[seed] is the mean of the ``length`` values up to row ``seed``; then y = alpha * x + (1 - alpha) * y before."""
@@ -27,32 +24,24 @@ class Smoothing:
 def smooth(df: DataFrame, specs: Sequence[Smoothing], keys: Sequence[str] = KEYS) -> DataFrame:
     """A column for each smoothing; null before its seed and from a null value on.
 
-    Rows go in blocks of ``BLOCK``. Within a block the average is beta**j * sum(v_i * beta**-i), a running sum; what the
-    blocks before hand on is folded over their last values alone. So powers stay small and a series of n rows needs no
-    frame longer than n / BLOCK.
+    A row is the map y -> beta * y + v, and maps compose: round k joins each row's map of the last 2**k rows with the one
+    that many rows before, so all rounds look back in the same shuffle and sort. They end where beta**(2**k) is 0 in a
+    double, as it is in a row loop.
     """
-    own, j = series(keys), F.col("_j")
+    own = series(keys)
     df = df.withColumn("_i", F.row_number().over(own) - 1)
-    made = {"_block": F.floor(F.col("_i") / BLOCK), "_j": F.col("_i") % BLOCK}
+    made = {}
     for s in specs:
         x = F.col(s.value)
         mean = F.avg(x).over(own.rowsBetween(-(s.length - 1), 0))
-        made[f"_v_{s.name}"] = F.when(F.col("_i") < s.seed, 0.0).when(F.col("_i") == s.seed, mean).otherwise(s.alpha * x)
+        made[s.name] = F.coalesce(F.when(F.col("_i") < s.seed, 0.0).when(F.col("_i") == s.seed, mean).otherwise(s.alpha * x), F.lit(0.0))
         # warm-up rows before the seed's own may be null (a first difference is)
         made[f"_bad_{s.name}"] = F.coalesce(F.bool_or(x.isNull() & (F.col("_i") > s.seed - s.length)).over(up_to(keys)), F.lit(False))
-    df = df.withColumns(made)
-    inner = Window.partitionBy(*keys, "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_l_{s.name}": F.pow(F.lit(1 - s.alpha), j) * F.sum(F.coalesce(f"_v_{s.name}", F.lit(0.0)) * F.pow(F.lit(1 - s.alpha), -j)).over(inner) for s in specs})
-    blocks = df.groupBy(*keys, "_block").agg(*[F.max_by(f"_l_{s.name}", "_j").alias(f"_e_{s.name}") for s in specs])
-    past = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_block", *[_folded(F.collect_list(f"_e_{s.name}").over(past), (1 - s.alpha) ** BLOCK).alias(f"_c_{s.name}") for s in specs])
-    out = df.join(carried, [*keys, "_block"])
-    values = {s.name: F.when((F.col("_i") >= s.seed) & ~F.col(f"_bad_{s.name}"), F.col(f"_l_{s.name}") + F.col(f"_c_{s.name}") * F.pow(F.lit(1 - s.alpha), j + 1)) for s in specs}
-    return out.withColumns(values).drop("_block", "_j", *[f"_{k}_{s.name}" for s in specs for k in ("v", "bad", "l", "c")])
-
-
-def _folded(lasts: Column, decay: float) -> Column:
-    return F.aggregate(lasts, F.lit(0.0), lambda a, x: a * decay + x)
+    df, back = df.withColumns(made), 1
+    while factors := {s.name: (1 - s.alpha) ** back for s in specs if (1 - s.alpha) ** back > 0}:
+        df = df.withColumns({name: F.col(name) + F.lit(f) * F.lag(name, back, 0.0).over(own) for name, f in factors.items()})
+        back *= 2
+    return df.withColumns({s.name: F.when((F.col("_i") >= s.seed) & ~F.col(f"_bad_{s.name}"), F.col(s.name)) for s in specs}).drop(*[f"_bad_{s.name}" for s in specs])
 
 
 def capital_after_fees(df: DataFrame, growth: Column, cost: Column, capital: float | Column, keys: Sequence[str] = KEYS, order: str = "date") -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.functions.scalars import first_largest
+from candlewick.operators.views import View, read_contexts
+
+PROBABILITIES = ("p_sell", "p_hold", "p_buy")
+_FIELDS = [T.StructField(n, T.DoubleType()) for n in PROBABILITIES]
 
 
 @dataclass
@@ -46,35 +50,37 @@ def matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def forward_pass(df: DataFrame, net: Net, vector: str = "context") -> DataFrame:
-    """Add p_sell, p_hold, p_buy."""
-    shared = df.sparkSession.sparkContext.broadcast(net)  # as large as the net
+    """Add p_sell, p_hold, p_buy to a table that holds the vectors."""
     at = df.columns.index(vector)
-    names = ("p_sell", "p_hold", "p_buy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(at))
-            p = shared.value.output(shared.value.hidden(x)) if len(x) else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(3)]], names=[*batch.schema.names, *names])
+            p = net.output(net.hidden(x)) if len(x) else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(p)], names=[*batch.schema.names, *PROBABILITIES])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *_FIELDS]))
 
 
-def forward_passes(df: DataFrame, nets: dict[int, Net], label: str = "Label_id", vector: str = "context") -> DataFrame:
-    """trial, y_true and p_sell, p_hold, p_buy of every row under every net, in one pass over the rows."""
-    shared = df.sparkSession.sparkContext.broadcast(nets)
+def score_view(view: View, nets: dict[int, Net], part: str, carried: Sequence[str] = ("ticker", "date", "adj_close", "Label_id")) -> DataFrame:
+    """trial, the carried columns and p_sell, p_hold, p_buy of each context of ``part`` under every net, in one pass. The nets
+    travel with the task: each is as small as its weights."""
+    contexts = read_contexts(view, carried, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(0))
-            for trial, net in shared.value.items() if len(x) else ():
+        for x, rows in contexts(batches):
+            for trial, net in nets.items():
                 p = net.output(net.hidden(x))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), trial)), batch.column(1), *[pa.array(p[:, k]) for k in range(3)]], names=["trial", "y_true", "p_sell", "p_hold", "p_buy"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), trial)), *rows.columns, *_columns(p)], names=["trial", *carried, *PROBABILITIES])
+
+    return view.rows.mapInArrow(run, T.StructType([T.StructField("trial", T.LongType()), *[view.rows.schema[c] for c in carried], *_FIELDS]))
+
 
-    return df.select(vector, F.col(label).cast("int")).mapInArrow(run, "trial long, y_true int, p_sell double, p_hold double, p_buy double")
+def _columns(p: np.ndarray) -> list[pa.Array]:
+    return [pa.array(p[:, k]) for k in range(3)]
 
 
-def threshold_predict(scored: DataFrame, buy: float = 0.75, sell: float = 0.75) -> DataFrame:
+def threshold_predict(scored: DataFrame, buy: float | Column = 0.75, sell: float | Column = 0.75) -> DataFrame:
     """``y_pred``: Buy or Sell where it is the most likely class and at or over its threshold, else Hold."""
     best = first_largest([F.col("p_sell"), F.col("p_hold"), F.col("p_buy")])
     return scored.withColumn("y_pred", F.when((best == 2) & (F.col("p_buy") >= buy), 2).when((best == 0) & (F.col("p_sell") >= sell), 0).otherwise(1))

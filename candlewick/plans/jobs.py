@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from candlewick.operators import backtest, grids
 from candlewick.operators.context import context_windows
 from candlewick.operators.features import FEATURES, complete, feature_table
-from candlewick.operators.fit import TRIALS, Fitted, Settings, evaluated, fit, scaled_parts, test_results, trial_grid
+from candlewick.operators.fit import TRIALS, WIDTH, Fitted, Settings, evaluated, fit, test_results, trial_grid
 from candlewick.operators.labels import add_labels, last_signals
 from candlewick.operators.score import Net
 from candlewick.operators.split import chronological
+from candlewick.operators.views import View, context_view, position_moments, scaled
 from candlewick.sources.bars import coerced_dates, constituents, date_range, normalised, ordered_by_key, require, save, summary, wide_to_long
 
 
@@ -36,39 +37,64 @@ def label_portfolio(bars: DataFrame, window: int = 20, capital: float = 10_000.0
     return backtest.portfolio(add_labels(checked(bars), window), capital=capital)
 
 
-def contexts(bars: DataFrame, window: int = 60, length: int = 20, train: float = 0.7, val: float = 0.15, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Labelled context rows of each ticker with their part. Features and windows run over whole series, so later parts
-    see the rows before them and no part sees later ones."""
-    rows = chronological(complete(feature_table(add_labels(checked(bars), window))), train, val)
-    return context_windows(rows, length, features).select("ticker", "date", "adj_close", "Label_id", "split", "context")
+def feature_rows(bars: DataFrame, window: int = 60, train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """Labelled rows of each ticker with all features and their part. Features run over whole series."""
+    return chronological(complete(feature_table(add_labels(checked(bars), window))), train, val)
 
 
-def train_and_evaluate(bars: DataFrame, window: int = 60, length: int = 20, settings: Settings = Settings(), epochs: int = 500, patience: int = 50, short: bool = False, fee: float = 0.0, capital: float = 10_000.0, capital_mode: str = "split") -> tuple[Fitted, DataFrame, DataFrame]:
+def contexts(bars: DataFrame, window: int = 60, length: int = 20, train: float = 0.7, val: float = 0.15, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Labelled context rows of each ticker with their part. Windows run over whole series, so later parts see the rows
+    before them and no part sees later ones."""
+    return context_windows(feature_rows(bars, window, train, val), length, features).select("ticker", "date", "adj_close", "Label_id", "split", "context")
+
+
+def model_view(bars: DataFrame, window: int = 60, length: int = 20, train: float = 0.7, val: float = 0.15, keep: bool = True) -> View:
+    """The same contexts as a view, scaled by the moments of the training ones. With ``keep`` it is persisted, since every
+    step reads it; ``release`` ends that."""
+    rows = feature_rows(bars, window, train, val).select("ticker", "date", "adj_close", "Label_id", "split", *FEATURES)
+    rows = rows.persist() if keep else rows
+    view = context_view(rows, length)
+    view = View(view.rows.persist() if keep else view.rows, view.length, view.width)
+    view = scaled(view, position_moments(rows, length, part="train"))
+    if keep:
+        view.rows.count()  # the view is held from here on, so the rows that it came from can go
+        rows.unpersist()
+    return view
+
+
+def train_and_evaluate(bars: DataFrame, window: int = 60, length: int = 20, settings: Settings = Settings(), epochs: int = 500, patience: int = 50, short: bool = False, fee: float = 0.0, capital: float = 10_000.0, capital_mode: str = "split", width: int = WIDTH, state: str | None = None) -> tuple[Fitted, DataFrame, DataFrame]:
     """The fitted model, its test measures, and its portfolio record. Long/short runs execute signals a bar later."""
-    parts = scaled_parts(contexts(bars, window, length))
-    model = fit(parts["train"], parts["val"], [settings], epochs, patience)[0]
-    predicted, measures = test_results(parts, model)
-    return model, measures, _profit(predicted, short, fee, capital, capital_mode)
+    view = model_view(bars, window, length)
+    return _results(view, fit(view, [settings], epochs, patience, width=width, state=state)[0], short, fee, capital, capital_mode)
 
 
 def evaluate_net(bars: DataFrame, net: Net, window: int = 60, length: int = 20, short: bool = False, fee: float = 0.0, capital: float = 10_000.0, capital_mode: str = "split") -> tuple[Fitted, DataFrame, DataFrame]:
     """``train_and_evaluate`` with a net that is there already: its thresholds come from the validation rows."""
-    model, predicted, measures = evaluated(scaled_parts(contexts(bars, window, length)), net)
-    return model, measures, _profit(predicted, short, fee, capital, capital_mode)
+    view = model_view(bars, window, length)
+    return _results(view, evaluated(view, net)[0], short, fee, capital, capital_mode)
+
+
+def _results(view: View, model: Fitted, short: bool, fee: float, capital: float, capital_mode: str) -> tuple[Fitted, DataFrame, DataFrame]:
+    """A row each for measures and record; with them in hand nothing stays persisted."""
+    predicted, measures = test_results(view, [model])
+    own = lambda df: df.sparkSession.createDataFrame(df.drop("trial").collect(), df.drop("trial").schema)  # noqa: E731  one row
+    found = own(measures), own(_profit(predicted, short, fee, capital, capital_mode, ("trial",)))
+    view.release()
+    return model, *found
 
 
-def _profit(predicted: DataFrame, short: bool, fee: float, capital: float, capital_mode: str) -> DataFrame:
-    return backtest.portfolio(predicted, capital=capital, capital_mode=capital_mode, short=short, lag=int(short), fee=fee)
+def _profit(predicted: DataFrame, short: bool, fee: float, capital: float, capital_mode: str, by: Sequence[str]) -> DataFrame:
+    return backtest.portfolio(predicted, capital=capital, capital_mode=capital_mode, by=by, short=short, lag=int(short), fee=fee)
 
 
 def single_series(bars: DataFrame, ticker: str) -> DataFrame:
     return bars.where(F.col("ticker") == ticker)
 
 
-def search_models(bars: DataFrame, grid: dict[str, Sequence] = TRIALS, fee: float = 0.0, epochs: int = 500, patience: int = 50) -> DataFrame:
+def search_models(bars: DataFrame, grid: dict[str, Sequence] = TRIALS, fee: float = 0.0, epochs: int = 500, patience: int = 50, width: int = WIDTH, state: str | None = None) -> DataFrame:
     """All trials of ``grid``, long/short, best profit first among equals by loop order."""
-    record = lambda predicted: backtest.portfolio(predicted, short=True, lag=1, fee=fee)
-    return trial_grid(lambda window, length: contexts(bars, window, length), record, grid, epochs, patience).orderBy(F.desc("score"), "grid_index")
+    record = lambda predicted: _profit(predicted, True, fee, 10_000.0, "split", ("trial",))
+    return trial_grid(lambda window, length: model_view(bars, window, length), record, grid, epochs, patience, width, state).orderBy(F.desc("score"), "grid_index")
 
 
 def search_labels(bars: DataFrame, short: bool = False, fee: float = 2.0, capital: float = 10_000.0, part: str | None = "val", **grid) -> DataFrame:

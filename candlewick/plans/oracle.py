@@ -170,6 +170,37 @@ ne AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS
 ns AS MATERIALIZED (SELECT ticker, date, adj_close, split, Label_id AS y_true, ea / (ea + eb + ec) AS p_sell, eb / (ea + eb + ec) AS p_hold, ec / (ea + eb + ec) AS p_buy FROM ne)"""
 
 
+def fit_epochs(net, alpha: float, epochs: int) -> str:
+    """``losses`` and weights of full gradient steps from ``net`` on the scaled training rows ``nz``: the chain rule written
+    out, sums of products row by row."""
+    vector = lambda v: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in v) + "]"
+    matrix = lambda m: "[" + ", ".join(vector(v) for v in m) + "]"
+    hidden = f"range(1, {net.w0.shape[1] + 1})"
+    parts = [f"""
+tc AS (SELECT Label_id AS y, count(*) AS c FROM nz WHERE split = 'train' GROUP BY 1),
+tw AS MATERIALIZED (SELECT row_number() OVER () AS r, z, Label_id AS y, (SELECT sum(c) FROM tc) / (3.0 * c) AS w FROM nz JOIN tc ON y = Label_id WHERE split = 'train'),
+q0 AS (SELECT {matrix(net.w0.T)} AS w0, {vector(net.b0)} AS b0, {matrix(net.w1)} AS w1, {vector(net.b1)} AS b1)"""]
+    for e in range(1, epochs + 1):
+        q, f = f"q{e - 1}", f"f{e}"
+        parts.append(f"""
+{f}h AS (SELECT r, z, y, w, w1, b1, list_transform({hidden}, lambda j: greatest(0, list_dot_product(z, w0[j]) + b0[j])) AS h FROM tw, {q}),
+{f}l AS (SELECT *, list_transform([1, 2, 3], lambda c: b1[c] + list_sum(list_transform({hidden}, lambda j: h[j] * w1[j][c]))) AS l FROM {f}h),
+{f}e AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS x FROM {f}l),
+{f}p AS (SELECT *, list_transform(x, lambda v: v / list_sum(x)) AS p FROM {f}e),
+{f}d AS (SELECT *, list_transform([1, 2, 3], lambda c: (p[c] - CASE WHEN c = y + 1 THEN 1 ELSE 0 END) * w) AS dz FROM {f}p),
+{f} AS MATERIALIZED (SELECT *, list_transform({hidden}, lambda j: CASE WHEN h[j] > 0 THEN list_dot_product(dz, w1[j]) ELSE 0 END) AS da FROM {f}d),
+t{e} AS (SELECT sum(w) AS t, -sum(w * ln(p[y + 1] + 1e-12)) / sum(w) AS loss FROM {f}),
+u{e} AS (SELECT r, z, h, dz, j, da[j] AS da, h[j] AS hj FROM (SELECT r, z, h, dz, da, unnest({hidden}) AS j FROM {f})),
+a{e} AS (SELECT j, i, sum(z[i] * da) AS g FROM (SELECT z, da, j, unnest(range(1, {net.w0.shape[0] + 1})) AS i FROM u{e}) GROUP BY j, i),
+b{e} AS (SELECT j, list(g ORDER BY i) AS g FROM a{e} GROUP BY j),
+c{e} AS (SELECT j, sum(da) AS gb, [sum(hj * dz[1]), sum(hj * dz[2]), sum(hj * dz[3])] AS gw FROM u{e} GROUP BY j),
+q{e} AS MATERIALIZED (SELECT list_transform({hidden}, lambda j: list_transform(range(1, {net.w0.shape[0] + 1}), lambda i: w0[j][i] - {alpha!r} * g0[j][i] / t)) AS w0,
+  list_transform({hidden}, lambda j: b0[j] - {alpha!r} * gb[j] / t) AS b0, list_transform({hidden}, lambda j: list_transform([1, 2, 3], lambda c: w1[j][c] - {alpha!r} * g1[j][c] / t)) AS w1,
+  list_transform([1, 2, 3], lambda c: b1[c] - {alpha!r} * gz[c] / t) AS b1
+  FROM {q}, t{e}, (SELECT list(g ORDER BY j) AS g0 FROM b{e}), (SELECT list(gb ORDER BY j) AS gb, list(gw ORDER BY j) AS g1 FROM c{e}), (SELECT [sum(dz[1]), sum(dz[2]), sum(dz[3])] AS gz FROM {f}))""")
+    return ",".join(parts)
+
+
 def net_job(kind: str, net, length: int, thresholds: str, record: str, short: bool, fee: float, where: str = "true") -> str:
     """Test measures and portfolio of a net whose thresholds are the best on the validation rows."""
     rows = f"gr AS (SELECT CAST(buy_threshold AS DOUBLE) AS buy_threshold, CAST(sell_threshold AS DOUBLE) AS sell_threshold, y_true, {predicted('buy_threshold', 'sell_threshold')} AS y_pred FROM ns, bt, st WHERE split = 'val')"
@@ -186,7 +217,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
     return bars(kind, more, True, where) + "SELECT mt.*, rc.*, be.* FROM mt, rc, be"
 
 
-def oracle_sql(grid_windows: tuple, grid_buffers: tuple, net, length: int, single: str, brand: str) -> dict[str, str]:
+def oracle_sql(grid_windows: tuple, grid_buffers: tuple, net, length: int, single: str, brand: str, alpha: float) -> dict[str, str]:
     ohlc = "SELECT ticker, date, open, high, low, close, volume FROM bars"
     two = lambda x: f"round({x}, 2)"
     record = f"{two('start')} AS initial_capital, {two('m')} AS model_final_capital, {two('h')} AS buy_hold_final_capital, {two('m - start')} AS model_pnl, {two('h - start')} AS buy_hold_pnl, {two('m - h')} AS outperformance"
@@ -283,6 +314,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "train_multi_long": net_job("calm", net, length, thresholds, record, False, 0.0),
         "train_multi_long_short": net_job("calm", net, length, thresholds, record, True, 1.0),
         "model_score": bars("calm", f"{context_rows(length)}, {net_rows(net, length)}", True) + "SELECT ticker, date, round(p_sell, 6) AS p_sell, round(p_hold, 6) AS p_hold, round(p_buy, 6) AS p_buy FROM ns WHERE split = 'test'",
+        "model_fit": bars("calm", f"{context_rows(length)}, {net_rows(net, length)}, {fit_epochs(net, alpha, 3)}", True) + " UNION ALL ".join(f"SELECT CAST({e} AS INTEGER) AS epoch, round(loss, 6) AS loss, round(list_sum(flatten(w0)), 6) AS w0, round(list_sum(b0), 6) AS b0, round(w1[1][1], 6) AS w1, round(b1[3], 6) AS b1 FROM t{e}, q{e}" for e in (1, 2, 3)),
         "history_contexts": bars("calm", context_rows(length), True) + "SELECT ticker, date, split, CAST(Label_id AS INTEGER) AS Label_id, round(list_sum(list_transform(context, lambda x, k: x * k)), 2) AS weighted FROM cw",
         "ticker_filter": bars("calm") + f"{ohlc} WHERE ticker = '{brand}'",
         "null_tickers_dropped": bars("calm", port(20), where=f"ticker <> '{brand}'") + f"SELECT {record} FROM s",

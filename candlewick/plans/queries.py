@@ -12,7 +12,8 @@ import numpy as np
 from candlewick.functions import scalars
 from candlewick.functions.scalars import softmax
 from candlewick.operators import backtest, context, features, grids, labels, metrics, score, split
-from candlewick.operators.fit import Settings, epoch, scaled_parts
+from candlewick.operators.fit import Settings, class_counts, epoch
+from candlewick.operators.views import position_moments
 from candlewick.plans import jobs, oracle
 from candlewick.sources import bars as sources
 from candlewick.sources.derived import bars_brand, bars_calm, bars_walk
@@ -21,7 +22,7 @@ from candlewick.sources.scratch import new_path
 WINDOW = 20
 GRID_WINDOWS, GRID_BUFFERS = (5, 20, 60), (0.0, 0.002)
 CONTEXT, CONTEXT_FEATURES = 5, ("body_log", "volume_relatif", "williams")
-NET_CONTEXT, NET_HIDDEN = 3, 4
+NET_CONTEXT, NET_HIDDEN, FIT_ALPHA = 3, 4, 0.5
 TICKER, BRAND = "click", "Brand#11"
 RECORD = ("initial_capital", "model_final_capital", "buy_hold_final_capital", "model_pnl", "buy_hold_pnl", "outperformance")
 
@@ -40,9 +41,16 @@ def _logs(bars: DataFrame) -> DataFrame:
     return features.log_prices(features.log_returns(bars))
 
 
+def _few_features(bars: DataFrame) -> DataFrame:
+    return features.candles(features.williams(features.relative_volume(_logs(bars)))).dropna(subset=list(CONTEXT_FEATURES))
+
+
 def _contexts(bars: DataFrame) -> DataFrame:
-    rows = features.candles(features.williams(features.relative_volume(_logs(bars)))).dropna(subset=list(CONTEXT_FEATURES))
-    return context.context_windows(rows, CONTEXT, CONTEXT_FEATURES).select("ticker", "date", "context")
+    return context.context_windows(_few_features(bars), CONTEXT, CONTEXT_FEATURES).select("ticker", "date", "context")
+
+
+def _moments(bars: DataFrame) -> DataFrame:
+    return position_moments(_few_features(bars), CONTEXT, CONTEXT_FEATURES)
 
 
 def _weighted(vector: Column | str) -> Column:
@@ -80,14 +88,15 @@ def _grid(bars: DataFrame, short: bool) -> DataFrame:
 
 
 def _model_fit(bars: DataFrame) -> DataFrame:
-    """Losses of the first epochs of one net on all training rows."""
-    parts = scaled_parts(jobs.contexts(bars, WINDOW, 10))
-    weights = [r["weight"] for r in context.class_weights(parts["train"]).orderBy("Label_id").collect()]
-    settings, nets, out = [Settings(1e-2, 16)], [score.Net.start(150, 16)], []
+    """Losses of three epochs from the fixed net, a step each over all training contexts, and a part of the fitted weights."""
+    view = jobs.model_view(bars, WINDOW, NET_CONTEXT)
+    counts = class_counts(view)
+    nets, settings, out = {0: fixed_net()}, {0: Settings(FIT_ALPHA, NET_HIDDEN)}, []
     for number in range(1, 4):
-        nets, loss = epoch(parts["train"], nets, settings, np.array(weights), number)
-        out.append((number, float(loss[0])))
-    return bars.sparkSession.createDataFrame(out, "epoch int, loss double")
+        nets, loss = epoch(view, nets, settings, counts.sum() / (3 * np.maximum(counts, 1)), number, {0: 1})
+        out.append((number, round(loss[0], 6), *[round(float(w), 6) for w in (nets[0].w0.sum(), nets[0].b0.sum(), nets[0].w1[0, 0], nets[0].b1[2])]))
+    view.release()
+    return bars.sparkSession.createDataFrame(out, "epoch int, loss double, w0 double, b0 double, w1 double, b1 double")
 
 
 def fixed_net() -> score.Net:
@@ -98,9 +107,8 @@ def fixed_net() -> score.Net:
 
 
 def _model_score(bars: DataFrame) -> DataFrame:
-    parts = scaled_parts(jobs.contexts(bars, WINDOW, NET_CONTEXT))
-    names = ("p_sell", "p_hold", "p_buy")
-    return rounded(score.forward_pass(parts["test"], fixed_net()), 6, *names).select("ticker", "date", *names)
+    view, names = jobs.model_view(bars, WINDOW, NET_CONTEXT, keep=False), score.PROBABILITIES
+    return rounded(score.score_view(view, {0: fixed_net()}, "test"), 6, *names).select("ticker", "date", *names)
 
 
 def _net_job(bars: DataFrame, **how) -> DataFrame:
@@ -209,8 +217,8 @@ def queries() -> dict[str, Query]:
         "label_grid_long_short": walk(lambda b: _grid(b, True)),
         "label_grid_best": walk(lambda b: grids.best_of(_grid(b, True))),
         "context_windows": calm(lambda b: _contexts(b).select("ticker", "date", F.size("context").alias("size"), F.round(_weighted("context"), 4).alias("weighted"))),
-        "feature_moments": calm(lambda b: rounded(context.feature_moments(_contexts(b)), 6, "mean", "std")),
-        "standardized": calm(lambda b: context.standardized(_contexts(b), context.feature_moments(_contexts(b))).select("ticker", "date", F.round(_weighted("context"), 4).alias("weighted"))),
+        "feature_moments": calm(lambda b: rounded(_moments(b), 6, "mean", "std")),
+        "standardized": calm(lambda b: context.standardized(_contexts(b), _moments(b)).select("ticker", "date", F.round(_weighted("context"), 4).alias("weighted"))),
         "class_weights": calm(lambda b: rounded(weights(b), 8, "weight")),
         "scored_rows": calm(_scored),
         "threshold_predict": calm(lambda b: at("y_pred")(tested(b))),
@@ -246,4 +254,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql(GRID_WINDOWS, GRID_BUFFERS, fixed_net(), NET_CONTEXT, TICKER, BRAND)
+    return oracle.oracle_sql(GRID_WINDOWS, GRID_BUFFERS, fixed_net(), NET_CONTEXT, TICKER, BRAND, FIT_ALPHA)

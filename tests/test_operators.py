@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions import scalars
-from candlewick.operators import backtest, context, features, fit, grids, labels, metrics, score, split
+from candlewick.operators import backtest, context, features, fit, grids, labels, metrics, score, split, views
 from candlewick.plans import jobs
 from candlewick.sources import bars as sources
 
@@ -180,7 +180,7 @@ def test_context_windows_and_scaling(spark):
     assert got.count() == 5
     assert column(got, "context")[0] == [1.0, -1.0, 2.0, -2.0, 3.0, -3.0]
     assert context.context_windows(df, 8, ("a", "b")).count() == 0
-    scaled = context.standardized(got, context.feature_moments(got))
+    scaled = context.standardized(got, views.position_moments(df, 3, ("a", "b")))
     values = np.array(column(scaled, "context"))
     assert np.allclose(values.mean(0), 0) and np.allclose(values.std(0), 1)
 
@@ -291,24 +291,25 @@ def test_settings_are_checked(spark):
     for bad in ({"alpha": 0.0}, {"hidden": 0}, {"batch_size": 0}, {"dropout": 1.0}):
         with pytest.raises(ValueError):
             fit.Settings(**bad)
-    for bad in ({"epochs": 0}, {"patience": 0}, {"min_delta": -1.0}):
+    for bad in ({"epochs": 0}, {"patience": 0}, {"min_delta": -1.0}, {"width": 0}, {"every": 0}):
         with pytest.raises(ValueError):
-            fit.fit(None, None, [fit.Settings()], **bad)
+            fit.fit(None, [fit.Settings()], **bad)
 
 
 def test_early_stop_matches_a_loop(spark, monkeypatch):
     """The kept epoch and the stop, from given measures an epoch."""
     series = [(0.30, 0.40), (0.50, 0.40), (0.50, 0.45), (0.50004, 0.45), (0.40, 0.90), (0.49, 0.10), (0.60, 0.10), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.20, 0.20), (0.90, 0.90)]
     calls = iter(series)
-    one = spark.createDataFrame([([0.0, 1.0], 1)], "context array<double>, Label_id int")
-    monkeypatch.setattr(fit, "epoch", lambda train, nets, *_: (list(nets), [0.0] * len(nets)))
+    one = spark.createDataFrame([("A", DAY, 1.0, 1, "train", 0.0, 1.0)], "ticker string, date timestamp_ntz, adj_close double, Label_id int, split string, a double, b double")
+    view = views.context_view(one, 1, ("a", "b"))
+    monkeypatch.setattr(fit, "epoch", lambda view, nets, *_: (nets, dict.fromkeys(nets, 0.0)))
 
     def scores(*_):
         macro, balanced = next(calls)
         return spark.createDataFrame([(0, 0.75, 0.75, macro, balanced)], "trial int, buy_threshold double, sell_threshold double, macro_f1 double, bal_acc double")
 
     monkeypatch.setattr(fit, "best_thresholds", scores)
-    got = fit.fit(one, one, [fit.Settings(hidden=2)], epochs=50, patience=4)[0]
+    got = fit.fit(view, [fit.Settings(hidden=2)], epochs=50, patience=4)[0]
     best, kept, waited, ended = None, 0, 0, 0
     for number, (macro, balanced) in enumerate(series, 1):
         tie = best is not None and abs(macro - best[0]) <= 1e-4 + 1e-5 * abs(best[0])
@@ -320,14 +321,3 @@ def test_early_stop_matches_a_loop(spark, monkeypatch):
         if waited == 4:
             break
     assert (got.epoch, got.macro_f1, len(got.history), got.stopped) == (kept, best[0], ended, True) and kept == 7
-
-
-def test_one_pass_scores_like_single_ones(spark):
-    rows = [([float(i), 1.0 - i], i % 3) for i in range(10)]
-    df = spark.createDataFrame(rows, "context array<double>, Label_id int")
-    nets = {k: score.Net.start(2, 4, k) for k in (0, 3)}
-    many = score.forward_passes(df, nets)
-    for k, net in nets.items():
-        got = [r["p_buy"] for r in many.where(F.col("trial") == k).orderBy("p_buy").collect()]
-        assert many.where("abs(p_sell + p_hold + p_buy - 1) > 1e-9").count() == 0
-        assert got == pytest.approx([r["p_buy"] for r in score.forward_pass(df, net).orderBy("p_buy").collect()])

@@ -24,7 +24,5 @@ def test_every_sql_has_a_query():
 
 
 def test_rows_only_queries(spark, sf):
-    losses = [r["loss"] for r in QUERIES["model_fit"](spark, sf).orderBy("epoch").collect()]
-    assert losses[-1] < losses[0]
     assert QUERIES["model_score"](spark, sf).where("abs(p_sell + p_hold + p_buy - 1) > 2e-6").count() == 0
     assert QUERIES["trial_grid"](spark, sf).count() == 4
