@@ -29,7 +29,8 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     """Backtest every (window, buy buffer, sell buffer) on every ticker: final_capital, pnl, n_trades, score against
     buy-and-hold, and ``grid_index``, the place in loop order.
 
-    All windows' extrema come from one sort. Only bars with a raw signal are blown up to the grid, and after
+    All windows' extrema come from one frame of the bars before: a sparse table holds the minima and maxima of its windows of
+    power-of-two lengths, and any other window is covered by two of them. Only bars with a raw signal are blown up to the grid, and after
     alternation only trades reach the second shuffle: between trades capital moves by exp of a difference of running log
     returns, which do not depend on the parameters.
     """
@@ -48,15 +49,24 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     # a window is full where the last null lies before it: one count serves all windows
     bars = bars.withColumn("_at", F.row_number().over(w))
     bars = bars.withColumn("_valid", F.col("_at") - 1 - F.coalesce(F.max(F.when(x.isNull(), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bars = bars.withColumns({f"_{f.__name__}{n}": f(x).over(w.rowsBetween(-n, -1)) for n in windows for f in (F.min, F.max)})
-    gate = lambda n, c: F.when(F.col("_valid") >= n, F.col(c))
-    extrema = [F.struct(F.lit(n).alias("window"), gate(n, f"_min{n}").alias("low"), gate(n, f"_max{n}").alias("high")) for n in windows]
-    bars = bars.withColumn("extrema", F.array(*extrema)).select("ticker", "date", price, now.alias("now"), "end", F.inline("extrema"))
+    bars = bars.withColumn("_past", F.reverse(F.collect_list(x).over(w.rowsBetween(-max(windows), -1))))
+    # entry i of table k covers the 2**k values from the i-th on, latest first; a column each, so none is worked out twice
+    bars, top = bars.withColumns({"_low0": F.col("_past"), "_high0": F.col("_past")}), max(windows).bit_length() - 1
+    for i in range(top):
+        later = lambda name, i=i: F.slice(name, 2**i + 1, max(windows))
+        bars = bars.withColumns({f"_low{i + 1}": F.zip_with(f"_low{i}", later(f"_low{i}"), lambda a, b: F.least(a, b)), f"_high{i + 1}": F.zip_with(f"_high{i}", later(f"_high{i}"), lambda a, b: F.greatest(a, b))})
+    bars = bars.withColumns({f"_{side}": F.array(*[f"_{side}{i}" for i in range(top + 1)]) for side in ("low", "high")})
+    k = lambda n: (F.length(F.bin(n)) - 1).cast("int")
+    listed = F.transform(_numbers(windows, "int"), lambda n: F.struct(n.alias("window"), k(n).alias("k"), (n - F.pow(F.lit(2), k(n)).cast("int")).alias("shift")))
+    full = F.filter(listed, lambda c: c["window"] <= F.col("_valid"))
+    two = lambda name, least, c: least(F.get(F.get(name, c["k"]), F.lit(0)), F.get(F.get(name, c["k"]), c["shift"]))
+    extrema = F.transform(full, lambda c: F.struct(c["window"].alias("window"), two("_low", F.least, c).alias("low"), two("_high", F.greatest, c).alias("high")))
+    bars = bars.withColumn("extrema", extrema).select("ticker", "date", price, now.alias("now"), "end", F.inline_outer("extrema"))  # a filter on the array would work it out twice
     # nothing is a signal under any buffers that is none under the smallest ones
     least = min(buffers)
     bars = bars.where((x <= F.col("low") * (1 - least)) | (x >= F.col("high") * (1 + least)))
-    pairs = F.array(*[F.struct(F.lit(float(b)).alias("buy_buffer"), F.lit(float(s)).alias("sell_buffer")) for b in buffers for s in buffers])
-    signals = bars.select("ticker", "date", price, "now", "end", "window", "low", "high", F.inline(pairs))
+    buffer = _numbers(buffers, "double")
+    signals = bars.select("ticker", "date", price, "now", "end", "window", "low", "high", F.explode(buffer).alias("buy_buffer")).select("*", F.explode(buffer).alias("sell_buffer"))
     raw = raw_label(x, F.col("low") * (1 - F.col("buy_buffer")), F.col("high") * (1 + F.col("sell_buffer")))
     signals = signals.withColumn("signal", raw).where(F.col("signal") != HOLD).drop(price, "low", "high")
 
@@ -73,12 +83,17 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     ends = trades.withColumn("_t", F.when(alive, F.col("turn")).otherwise(0)).groupBy(*cell).agg(F.max(F.when(F.col("final"), F.greatest(closing, F.lit(0.0)))).alias("_final"), F.sum("_t").cast("long").alias("_trades"))
 
     hold = benchmark_simple(df.where("ticker IS NOT NULL"), price, capital)
-    grid = [F.struct(F.lit(i).alias("grid_index"), F.lit(n).alias("window"), F.lit(float(b)).alias("buy_buffer"), F.lit(float(s)).alias("sell_buffer")) for i, (n, b, s) in enumerate(product(windows, buffers, buffers))]
-    cells = hold.select("ticker", "benchmark", F.inline(F.array(*grid)))
+    cells = hold.select("ticker", "benchmark", F.posexplode(_numbers(windows, "int")).alias("_w", "window")).select("*", F.posexplode(buffer).alias("_b", "buy_buffer")).select("*", F.posexplode(buffer).alias("_s", "sell_buffer"))
+    cells = cells.withColumn("grid_index", (F.col("_w") * len(buffers) + F.col("_b")) * len(buffers) + F.col("_s"))
     out = cells.join(ends, list(cell), "left").withColumn("final_capital", F.coalesce("_final", F.lit(float(capital))))
     return out.select("ticker", "grid_index", "window", "buy_buffer", "sell_buffer", (F.col("final_capital") - F.col("benchmark")).alias("score"), "final_capital", (F.col("final_capital") - float(capital)).alias("pnl"), F.coalesce("_trades", F.lit(0)).cast("long").alias("n_trades"))
 
 
+def _numbers(values: Sequence[float], kind: str) -> Column:
+    """An array literal in one piece: a call for each element makes large grids slow to plan."""
+    return F.expr(f"array({', '.join(f'CAST({v!r} AS {kind})' for v in values)})")
+
+
 def _moved(held: Column, since: Column, now: Column) -> Column:
     """Growth of a position between two bars; 0 where a return in between wipes it out."""
     long = F.when(now["kl"] > since["kl"], 0.0).otherwise(F.exp(now["l"] - since["l"]))

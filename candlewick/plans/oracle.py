@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from candlewick.sources.bars import CONSTITUENTS
+
 _WALK = """
 t AS (SELECT event_type AS ticker, ts, event_id, CAST(round(value * 100) AS BIGINT) - 5000 AS step FROM events),
 w AS (SELECT *, CAST(5000000 + sum(step) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS DOUBLE) / CAST(50000 AS DOUBLE) AS px FROM t),
@@ -220,6 +222,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
 def oracle_sql(grid_windows: tuple, grid_buffers: tuple, net, length: int, single: str, brand: str, alpha: float) -> dict[str, str]:
     ohlc = "SELECT ticker, date, open, high, low, close, volume FROM bars"
     two = lambda x: f"round({x}, 2)"
+    names = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in pair)) for pair in CONSTITUENTS)
     record = f"{two('start')} AS initial_capital, {two('m')} AS model_final_capital, {two('h')} AS buy_hold_final_capital, {two('m - start')} AS model_pnl, {two('h - start')} AS buy_hold_pnl, {two('m - h')} AS outperformance"
     lab20 = labels(20)
     last = "arg_max(cap, i)"
@@ -326,5 +329,12 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "csv_round_trip": bars("calm") + ohlc,
         "partitioned_scan": bars("calm") + f"SELECT ticker, date, close, volume FROM bars WHERE ticker = '{brand}'",
         "save_auto": bars("calm") + "SELECT ticker, count(*) AS n_rows, CAST(sum(volume) AS BIGINT) AS volume, max(close) AS top FROM bars GROUP BY ticker",
+        "labels_chunked": bars("calm", lab20) + f"SELECT ticker, date, Label_id, {NAME} AS Label FROM lab",
+        "features_chunked": bars("calm", f"{LOGS}, {WINDOWED}") + "SELECT ticker, date, " + ", ".join(f"round({x}, 7) AS {x}" for x in FEATURES if x not in ("rsi", "macd")) + " FROM wf",
+        "backtest_chunked": bars("calm", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
+        "bankrupt_chunked": bars("brand", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
+        "labels_bucketed": bars("calm", lab20) + "SELECT ticker, date, Label_id FROM lab",
+        "constituents": bars("calm", f"nm AS (SELECT ticker, company, row_number() OVER (ORDER BY ticker) AS place FROM (VALUES {names}) AS c(ticker, company)), br AS (SELECT ticker AS brand, row_number() OVER (ORDER BY ticker) AS place FROM bars GROUP BY ticker)") + "SELECT nm.ticker, date, nm.company, close FROM bars JOIN br ON bars.ticker = brand JOIN nm USING (place)",
+        "ingest_order": bars("calm", f"st AS (SELECT ticker, date < lag(date) OVER (PARTITION BY ticker ORDER BY n - i > 10, date) AS back FROM bars)") + "SELECT ticker, count(*) AS n_rows, count(*) FILTER (back) AS n_backward FROM st GROUP BY ticker",
         "date_range": bars("calm") + "SELECT ticker, date, close FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1997-01-01'",
     }

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import numpy as np
 
 from candlewick.functions import scalars
 from candlewick.functions.scalars import softmax
-from candlewick.operators import backtest, context, features, grids, labels, metrics, score, split
+from candlewick.operators import backtest, chunks, context, features, grids, labels, metrics, score, split
 from candlewick.operators.fit import Settings, class_counts, epoch
 from candlewick.operators.views import position_moments
 from candlewick.plans import jobs, oracle
@@ -23,7 +24,10 @@ WINDOW = 20
 GRID_WINDOWS, GRID_BUFFERS = (5, 20, 60), (0.0, 0.002)
 CONTEXT, CONTEXT_FEATURES = 5, ("body_log", "volume_relatif", "williams")
 NET_CONTEXT, NET_HIDDEN, FIT_ALPHA = 3, 4, 0.5
+#: Rows of a chunk, so that a series of the given tables has several.
+CHUNK = 200
 TICKER, BRAND = "click", "Brand#11"
+ROLLED = [f for f in features.FEATURES if f not in ("rsi", "macd")]
 RECORD = ("initial_capital", "model_final_capital", "buy_hold_final_capital", "model_pnl", "buy_hold_pnl", "outperformance")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +87,12 @@ def _executed(bars: DataFrame) -> DataFrame:
     return _positions(bars).withColumn("executed", backtest.executed("position"))
 
 
+def _rolled(bars: DataFrame, keys=("ticker",)) -> DataFrame:
+    """The features that look back a fixed number of rows, 13 at most."""
+    logs = features.candles(features.log_prices(features.log_returns(bars, keys=keys)))
+    return features.volatility(features.relative_volume(features.williams(logs, keys=keys), keys=keys), keys=keys)
+
+
 def _grid(bars: DataFrame, short: bool) -> DataFrame:
     return rounded(grids.label_grid(bars, short, GRID_WINDOWS, GRID_BUFFERS), 2, "score", "final_capital", "pnl")
 
@@ -148,6 +158,27 @@ def _saved(bars: DataFrame) -> DataFrame:
     return kept.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.sum("volume").alias("volume"), F.max("close").alias("top"))
 
 
+def _bucketed(bars: DataFrame) -> DataFrame:
+    """Labels from a table that lies by ticker: no exchange."""
+    name = f"bars_{uuid.uuid4().hex}"
+    return _labelled(sources.write_bucketed(bars, name, 8, new_path(bars.sparkSession, name))).select("ticker", "date", "Label_id")
+
+
+def _default_constituents(bars: DataFrame) -> DataFrame:
+    """Bars of the default constituents: each series takes the ticker at its place in the sorted list, and its company."""
+    names = sources.constituents(bars.sparkSession).withColumn("place", F.row_number().over(Window.orderBy("ticker")))  # 40 rows
+    brands = bars.select("ticker").distinct().withColumn("place", F.row_number().over(Window.orderBy("ticker"))).withColumnRenamed("ticker", "brand")  # a row a series
+    renamed = bars.withColumnRenamed("ticker", "brand").join(brands.join(names.select("place", "ticker"), "place"), "brand").drop("brand", "place", "company")
+    return sources.with_company(renamed, sources.constituents(bars.sparkSession)).select("ticker", "date", "company", "close")
+
+
+def _ingest_order(bars: DataFrame) -> DataFrame:
+    """Rows that step back in an order of arrival: the given one, with every series' last ten days brought in first."""
+    own = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    late = bars.withColumn("place", F.row_number().over(own)).withColumn("arrived", F.struct((F.col("place") > 10).alias("late"), "ticker", "date"))
+    return sources.order_report(late, "arrived")
+
+
 def _scalars(bars: DataFrame) -> DataFrame:
     """Label codes, one-hot codes, rectified returns, tolerance tests and dates from text of each bar."""
     df = _labelled(bars).withColumn("change", F.col("close") / F.col("open") - 1)
@@ -250,6 +281,13 @@ def queries() -> dict[str, Query]:
         "csv_round_trip": calm(_through_csv),
         "partitioned_scan": calm(_partitioned),
         "save_auto": calm(_saved),
+        "labels_chunked": calm(lambda b: at("Label_id", "Label")(chunks.add_labels(b, WINDOW, rows=CHUNK))),
+        "features_chunked": calm(lambda b: rounded(chunks.chunked(b, _rolled, CHUNK, back=13), 7, *ROLLED).select("ticker", "date", *ROLLED)),
+        "backtest_chunked": calm(lambda b: money(chunks.backtest(b, WINDOW, fee=2.0, short=True, rows=CHUNK))),
+        "bankrupt_chunked": brand(lambda b: money(chunks.backtest(b, WINDOW, fee=2.0, short=True, rows=CHUNK))),
+        "labels_bucketed": calm(_bucketed),
+        "constituents": calm(_default_constituents),
+        "ingest_order": calm(_ingest_order),
     }
 
 

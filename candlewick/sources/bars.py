@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
+import warnings
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,6 +163,13 @@ def quality_report(bars: DataFrame) -> DataFrame:
     )
 
 
+def order_report(bars: DataFrame, arrival: str) -> DataFrame:
+    """Rows of each ticker, and those that arrived (by the column ``arrival``) after a row of a later date: a series that was
+    mixed up on its way in has some."""
+    step = F.col("date") < F.lag("date").over(Window.partitionBy("ticker").orderBy(arrival))
+    return bars.withColumn("_back", step).groupBy("ticker").agg(F.count("*").alias("n_rows"), F.count_if("_back").alias("n_backward"))
+
+
 def ordered_by_key(bars: DataFrame) -> DataFrame:
     """``bars``, or an error when the plan runs over a null or repeated (ticker, date). Repeats are neighbours in the order
     that all window operators sort by, so the check shares their shuffle and sort."""
@@ -186,23 +196,58 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return files.agg(F.sum("length").alias("n")).first()["n"] or 0
 
 
+def write_bucketed(bars: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """A table of the catalog whose files lie by ticker, sorted by date: window operators read it without an exchange. Its
+    files go to ``path``, or to the warehouse."""
+    writer = bars.repartition(buckets, "ticker").write.mode("overwrite").bucketBy(buckets, "ticker").sortBy("ticker", "date").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return bars.sparkSession.table(table)
+
+
 def save(bars: DataFrame, base: str, kind: str = "auto") -> str:
-    """Save under ``base`` as ``csv``, ``parquet`` or the smaller of both (equal sizes: CSV); the path that stays."""
+    """Save under ``base`` as ``csv``, ``parquet`` or the smaller of both (equal sizes: CSV); the path that stays.
+
+    All is written to a staging folder beside it first. What was there is moved aside after that, and one rename puts the new
+    one in place: a write or a rename that fails leaves what was there, and never are there two formats. A failed Parquet
+    write keeps the CSV and warns.
+    """
     if kind not in ("auto", "csv", "parquet"):
         raise ValueError(f"unknown format: {kind}")
-    paths = {"csv": f"{base}.csv", "parquet": f"{base}.parquet"}
-    if kind == "auto":
-        sizes = {"csv": write_csv(bars, paths["csv"])}
+    spark, staged = bars.sparkSession, f"{base}.staged-{uuid.uuid4().hex}"
+    try:
+        if kind == "auto":
+            sizes = {"csv": write_csv(bars, f"{staged}/csv")}
+            try:
+                sizes["parquet"] = write_parquet(bars, f"{staged}/parquet")
+            except PySparkException as error:
+                warnings.warn(f"kept CSV, Parquet could not be written: {error}", stacklevel=2)
+            kept = "parquet" if sizes.get("parquet", sizes["csv"]) < sizes["csv"] else "csv"
+        else:
+            kept = kind
+            (write_csv if kind == "csv" else write_parquet)(bars, f"{staged}/{kind}")
+        aside = [other for other in ("csv", "parquet") if _exists(spark, f"{base}.{other}")]
+        for other in aside:
+            _rename(spark, f"{base}.{other}", f"{staged}/old-{other}")
         try:
-            sizes["parquet"] = write_parquet(bars, paths["parquet"])
-        except Exception:  # noqa: BLE001  any failed Parquet write leaves the CSV
-            sizes["parquet"] = sizes["csv"]
-        kept = "parquet" if sizes["parquet"] < sizes["csv"] else "csv"
-    else:
-        kept = kind
-        (write_csv if kind == "csv" else write_parquet)(bars, paths[kind])
-    _delete(bars.sparkSession, paths["csv" if kept == "parquet" else "parquet"])
-    return paths[kept]
+            _rename(spark, f"{staged}/{kept}", f"{base}.{kept}")
+        except Exception:
+            for other in aside:
+                _rename(spark, f"{staged}/old-{other}", f"{base}.{other}")
+            raise
+    finally:
+        _delete(spark, staged)
+    return f"{base}.{kept}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    at, to = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, to):
+        raise OSError(f"cannot rename {old} to {new}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
