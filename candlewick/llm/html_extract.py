@@ -7,13 +7,16 @@ Each page is one row, so a task works page by page and nothing is shuffled:
    last tag. Scripts, styles, form controls and hidden elements hold no text.
 2. Text length, punctuation, link text and block counts are summed for each path. A path's ratios (``path_ratios``) are
    its density, log(1 + characters a block) * log(2 + punctuation marks a block), and the share of its text outside links.
-3. Smoothing: a path takes half of its own subtree's ratio and half of its parent's smoothed one, so that headings and
-   short blocks take part in the text around them. Own and smoothed density are fused by their mean, times the path's
-   share outside links, times a bounded weight: ``HINT`` for each element (``HINTS`` at most) whose tag, role, class or
-   id speaks of page furniture, and up to ``ARTICLE`` in ``article`` and ``main``, by the share of the page's text that
-   lies there. Text in ``nav`` that is mostly links gets no weight: its ratios judge it. A form, or a word in the class of
-   a wrapper, around all of the page's text changes nothing.
-4. Paths at or above ``THRESHOLD`` of the best fused value, and ``FLOOR``, are content: their blocks are the text.
+   Density stops to grow at ``FULL_CHARS`` and ``FULL_MARKS``: a paragraph is no more of an article for being long.
+3. Smoothing: the paths of one box (headings, paragraphs, lists, tables and figures of one div, section or body) are each
+   other's neighbourhood. Its value is that of all their text, log(1 + characters) * log(2 + marks) outside links; a box takes
+   at least ``INSIDE`` of the value of the box around it, and of the page's best where it lies in ``article`` or ``main``, by
+   the share of the page's text there. Own density and neighbourhood, as shares of the fullest, are fused by a weighted mean,
+   times the path's share outside links, times ``HINT`` for each element (``HINTS`` at most) whose tag, role, class or id
+   speaks of page furniture. A form, or a word in the class of a wrapper, around all of the page's text changes nothing.
+4. Paths at or above ``THRESHOLD`` of the best fused value are content, and their blocks are the text, if the best
+   neighbourhood has ``FLOOR``. Two kinds of paths that no word speaks against join them: headings right before content, and
+   links in a box whose text is content (a paragraph of its own, anything in ``article``, or between blocks of content).
 
 Every step is linear in the markup, so a page of any length or depth costs in proportion. Null or empty html, or no
 content, gives the empty text. Ties need no rule: equal paths are one path. Repeated rows give equal results, an empty
@@ -33,10 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.2
-FLOOR = 0.6
+THRESHOLD = 0.55
+FLOOR = 0.3
 HINT, HINTS = 0.08, 2
-ARTICLE = 4.0
+INSIDE = 0.75
+FULL_CHARS, FULL_MARKS = 160, 3
+#: Share of the neighbourhood in the fused value.
+AROUND = 0.75
 
 # Element names of HTML, and class or id words of page furniture.
 _BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -47,7 +53,10 @@ _ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _CELLS = frozenset("tr td th".split())
 _SCOPES = frozenset("article aside body button details dialog div dl fieldset figure footer form header html main nav ol section table td th ul".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
-_FURNITURE = frozenset("footer aside menu dialog header".split())
+_HEADINGS = _LEAVES - {"p"}
+#: Elements that are part of the box around them.
+_PARTS = _LEAVES | frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address center details summary hgroup dir".split())
+_FURNITURE = frozenset("footer aside menu dialog header nav".split())
 _FORMS = frozenset("form fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: A class name with one of these speaks of furniture.
@@ -87,7 +96,8 @@ class Page:
     hints: list[float] = field(default_factory=lambda: [0])
     soft: list[float] = field(default_factory=lambda: [0])
     article: list[bool] = field(default_factory=lambda: [False])
-    nav: list[bool] = field(default_factory=lambda: [False])
+    box: list[int] = field(default_factory=lambda: [0])
+    name: list[str] = field(default_factory=lambda: [""])
     sums: list[list[int]] = field(default_factory=lambda: [[0, 0, 0, 0]])
     known: dict[tuple[int, str, bool], int] = field(default_factory=dict)
 
@@ -102,7 +112,8 @@ class Page:
             self.hints.append(self.hints[parent] + size * (soft or firm))
             self.soft.append(self.soft[parent] + size * (soft and not firm))
             self.article.append(self.article[parent] or name in ("article", "main"))
-            self.nav.append(self.nav[parent] or name == "nav")
+            self.box.append(self.box[parent] if name in _PARTS else at)
+            self.name.append(name)
             self.sums.append([0, 0, 0, 0])
         return at
 
@@ -227,36 +238,76 @@ def parsed(markup: str) -> Page:
 
 def path_ratios(blocks: int, chars: int, marks: int, linked: int) -> tuple[float, float]:
     """A path's density and its share of text outside links."""
-    return math.log1p(chars / blocks) * math.log(2 + marks / blocks), 1 - linked / chars
+    return math.log1p(min(FULL_CHARS, chars / blocks)) * math.log(2 + min(FULL_MARKS, marks / blocks)), 1 - linked / chars
+
+
+def _neighbourhoods(page: Page, own: list[int], weight: dict[int, float], share: float) -> dict[int, float]:
+    """The value of each box with text, from that of its own paths and of the boxes around it."""
+    near: dict[int, list[float]] = {}
+    for p in own:
+        blocks, chars, marks, linked = page.sums[p]
+        sums, free = near.setdefault(page.box[p], [0.0, 0.0]), (1 - linked / chars) * weight[p]
+        sums[0] += chars * free
+        sums[1] += marks * free
+    value = {c: math.log1p(chars) * math.log(2 + marks) for c, (chars, marks) in near.items()}
+    top = max(value.values())
+    full = [0.0] * len(page.parent)
+    for c in range(len(full)):  # a box comes after the one around it
+        if page.box[c] == c:
+            around = full[page.box[page.parent[c]]] if c else 0.0
+            full[c] = max(value.get(c, 0.0), INSIDE * around, INSIDE * share * top * page.article[c])
+    return {c: full[c] for c in value}
+
+
+def _joining(page: Page, chosen: set[int], hints: dict[int, float]) -> set[int]:
+    """Paths that belong to the content around them: headings before it, and links within its boxes."""
+    most = max((hints[p] for p in chosen), default=0)
+    text, near, first, last = Counter(), Counter(), {}, {}
+    for p in hints:
+        near[page.box[p]] += page.sums[p][1]
+        text[page.box[p]] += page.sums[p][1] * (p in chosen)
+    for k, (p, _) in enumerate(page.blocks):
+        if p in chosen:
+            first.setdefault(page.box[p], k)
+            last[page.box[p]] = k
+    out, follows = set(), False
+    for k in range(len(page.blocks) - 1, -1, -1):
+        p = page.blocks[k][0]
+        if p in chosen or p in out or hints[p] > most:
+            follows = p in chosen or p in out
+            continue
+        box, linked = page.box[p], 2 * page.sums[p][3] > page.sums[p][1]
+        inside = 2 * text[box] >= near[box] and text[box] > 0
+        between = inside and first[box] < k < last[box]
+        if page.name[p] in _HEADINGS and follows and not linked or inside and (page.name[p] == "p" or page.article[p] or between):
+            out.add(p)
+            follows = True
+        else:
+            follows = False
+    return out
 
 
 def main_text(markup: str | None) -> str:
     page = parsed(markup or "")
     if not page.blocks:
         return ""
-    n = len(page.parent)
-    pooled = [list(s) for s in page.sums]
-    for p in range(n - 1, 0, -1):
-        above = pooled[page.parent[p]]
-        for k in range(4):
-            above[k] += pooled[p][k]
-    smooth = [0.0] * n
-    for p in range(n):
-        density, free = path_ratios(*pooled[p]) if pooled[p][0] else (0.0, 0.0)
-        smooth[p] = (density * free + smooth[page.parent[p]]) / 2 if p else density * free
-    own = [p for p in range(n) if page.sums[p][0]]
+    own = [p for p in range(len(page.parent)) if page.sums[p][0]]
     around = min(page.soft[p] for p in own)  # of wrappers around all of the page
-    hints = {p: page.hints[p] - around + (page.nav[p] and 2 * page.sums[p][3] < page.sums[p][1]) for p in own}
+    hints = {p: page.hints[p] - around for p in own}
     least = min(hints.values())
     unlinked = {p: page.sums[p][1] - page.sums[p][3] for p in own if hints[p] == least}
     share = sum(x for p, x in unlinked.items() if page.article[p]) / max(1, sum(unlinked.values()))
-    fused = {}
-    for p in own:
-        density, free = path_ratios(*page.sums[p])
-        weight = HINT ** min(HINTS, hints[p]) * (1 + (ARTICLE - 1) * share * page.article[p])
-        fused[p] = (density + smooth[p]) / 2 * free * weight
-    least_value = max(FLOOR, THRESHOLD * max(fused.values()))
-    return "\n".join(text for p, text in page.blocks if fused[p] >= least_value)
+    weight = {p: HINT ** min(HINTS, hints[p]) for p in own}
+    around_it = _neighbourhoods(page, own, weight, share)
+    ratios = {p: path_ratios(*page.sums[p]) for p in own}
+    top, fullest = max(around_it.values()), max(d for d, _ in ratios.values())
+    if top < FLOOR or not fullest:
+        return ""
+    fused = {p: ((1 - AROUND) * density / fullest + AROUND * around_it[page.box[p]] / top) * free * weight[p] for p, (density, free) in ratios.items()}
+    least_value = THRESHOLD * max(fused.values())
+    chosen = {p for p in own if fused[p] >= least_value > 0}
+    chosen |= _joining(page, chosen, hints)
+    return "\n".join(text for p, text in page.blocks if p in chosen)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

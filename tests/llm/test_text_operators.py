@@ -384,14 +384,29 @@ def test_ratios_decide_where_nothing_is_labelled():
     assert main_text(f"{links}<div>{STORY}</div><div><h3><a>Other story</a></h3><a>Read, more.</a></div>") == STORY_TEXT
     assert main_text(f'<main>{STORY}<div class="more-stories"><a>Other, story.</a><a>Third story</a></div></main>') == STORY_TEXT
     assert main_text(f"<article class=teaser><a>Teaser, for you.</a></article><div id=body>{STORY}</div>") == STORY_TEXT
-    assert main_text(f"<article>{STORY}<ul><li><a>one</a></li><li><a>two</a></li></ul></article>") == STORY_TEXT
+    assert main_text(f"<article>{STORY}<ul><li><a>one</a></li><li><a>two</a></li></ul></article>") == f"{STORY_TEXT}\none\ntwo"  # its own sources
+    assert main_text(f"<body><ul><li><a>Home</a></li><li><a>News</a></li></ul>{STORY}<div><a>Next, story</a></div>") == STORY_TEXT
 
 
-def test_constant_ratios_change_the_pages(spark, monkeypatch):
+@pytest.mark.parametrize("wrapper", ["<article>{}</article>", '<div class="story">{}</div>', "{}", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("letters", [20, 60, 156, 468, 1560, 5000, 50_000])
+def test_short_pieces_stay_beside_long_paragraphs(wrapper, letters):
+    paragraph = ("The river rose, and the town moved uphill; nobody was hurt. " * (letters // 55 + 1))[:letters].strip()
+    pieces = ["Headline of it", "By A. Writer", "First part", paragraph, "Second part", f"{paragraph} two", "one item", "cell text", "x = 1", "A caption", "Source: report"]
+    tags = ["h1", 'p class="byline"', "h2", "p", "h2", "p", "ul><li", "table><tr><td", "pre", "figure><figcaption", 'p class="source"><a href=x']
+    ends = ["".join(f"</{t.split()[0]}>" for t in reversed(tag.split("><"))) for tag in tags]
+    story = "".join(f"<{tag}>{text}{end}" for tag, text, end in zip(tags, pieces, ends, strict=True))
+    page = f'<body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class="ad">Buy this, now.</div>{wrapper.format(story)}<footer>Copyright, all of it. No rights.</footer>'
+    assert main_text(page) == "\n".join(pieces)
+
+
+def test_ratios_alone_tell_furniture_on_most_pages(spark, monkeypatch):
+    """Without any weight for tags, roles, classes or ids."""
     pages = [r["html"] for r in spark.read.parquet(f"{SF01}/pages.parquet").collect()]
     before = [main_text(p) for p in pages]
-    monkeypatch.setattr(html_extract, "path_ratios", lambda *_: (1.0, 1.0))
-    assert sum(main_text(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+    monkeypatch.setattr(html_extract, "HINT", 1.0)
+    monkeypatch.setattr(html_extract, "INSIDE", 0.0)
+    assert sum(main_text(p) == b for p, b in zip(pages, before, strict=True)) > 0.75 * len(pages)
 
 
 def test_long_and_deep_pages_cost_in_proportion():
