@@ -36,6 +36,8 @@ from candlewick.llm.storage import materialize
 CHUNK = 512
 #: What counts as white space, and what ends a sentence.
 SPACE, STOPS = " \t\n\x0b\x0c\r", ".!?"
+#: Faults of a row's text.
+CUT, BLANK = 1, 2
 #: States of the grammar: nothing yet, after a system row, after a user row, after an assistant row.
 START, SYSTEM, USER, ASSISTANT = range(4)
 _KEPT = {"s": {START: SYSTEM}, "u": {START: USER, SYSTEM: USER, ASSISTANT: USER}, "a": {USER: ASSISTANT}}
@@ -101,11 +103,12 @@ def signature_rows(damaged_rows: DataFrame) -> DataFrame:
     """Distinct rows without their text: how many there are (``n``), their fault, and whether the first of them is the first
     of its role and text in the conversation."""
     end = F.rtrim("text", F.lit(SPACE))
-    fault = F.when(end == "", "b").when(F.right(end, F.lit(1)).isin(*STOPS), "").otherwise("t")
-    rows = damaged_rows.where(F.col("copies") > 0).select("conv_id", "turn", "role", _digest().alias("digest"), fault.alias("fault"), F.col("copies").cast("long").alias("n"), F.lit(False).alias("first"))
-    place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    firsts = rows.groupBy("conv_id", "role", "digest").agg(F.min(place).alias("at"), F.max("fault").alias("fault"))
-    both = rows.unionByName(firsts.select("conv_id", F.col("at.turn").alias("turn"), "role", "digest", "fault", F.lit(0).cast("long").alias("n"), F.lit(True).alias("first")))
+    fault = F.when(end == "", BLANK).when(F.right(end, F.lit(1)).isin(*STOPS), 0).otherwise(CUT)
+    rows = damaged_rows.where(F.col("copies") > 0).select("conv_id", "turn", "role", _digest().alias("digest"), fault.alias("fault"), F.col("copies").cast("long").alias("n"), F.lit(0).alias("first"))
+    # numbers alone are aggregated by hash; a null turn comes first
+    firsts = rows.groupBy("conv_id", "role", "digest").agg(F.max(F.col("turn").isNull().cast("int")).alias("unknown"), F.min("turn").alias("turn"), F.max("fault").alias("fault"))
+    turn = F.when(F.col("unknown") == 0, F.col("turn"))
+    both = rows.unionByName(firsts.select("conv_id", turn.alias("turn"), "role", "digest", "fault", F.lit(0).cast("long").alias("n"), F.lit(1).alias("first")))
     return both.groupBy("conv_id", "turn", "role", "digest").agg(F.max("fault").alias("fault"), F.sum("n").alias("n"), F.max("first").alias("first"))
 
 
@@ -126,17 +129,17 @@ class _Reader:
         self.counts, self.turns = dict.fromkeys(_COUNTS, 0), [None, None, 0]
 
     def add(self, turn, role, digest, fault, n, first) -> Iterator[tuple]:
-        c, own = self.counts, first and fault != "b"
-        c["blank"] += n if fault == "b" else 0
-        c["duplicate"] += n - own if fault != "b" else 0
-        c["truncated"] += own and fault == "t"
+        c, own = self.counts, int(first and fault != BLANK)
+        c["blank"] += n if fault == BLANK else 0
+        c["duplicate"] += n - own if fault != BLANK else 0
+        c["truncated"] += own and fault == CUT
         initial = role[:1]
         c["illegal"] += n - 1 + (self.later is not None and initial + self.later not in ("su", "ua", "au"))
         self.later = initial
         if turn is not None and turn != self.turns[0]:
             self.turns = [turn, turn if self.turns[1] is None else self.turns[1], self.turns[2] + 1]
         symbol = initial if initial in ("s", "u", "a") else "o"
-        for much, one in ((n - own, DROP), (int(own), symbol.upper() if fault == "t" else symbol)):
+        for much, one in ((n - own, DROP), (own, symbol.upper() if fault == CUT else symbol)):
             while much:
                 if len(self.symbols) == self.size:
                     yield self.chunk(True)
