@@ -3,7 +3,7 @@
 A series is cut into chunks of equally many rows. What looks a fixed number of rows around (returns, rolling features,
 extrema) runs within chunks that hold a few rows of their neighbours as well: a halo, which goes afterwards. What
 looks back without end is handed from chunk to chunk: a chunk is summed up in one row (its last signal, the map that it is
-for capital), these rows are composed in order, and each chunk starts from what the ones
+for capital, the ends of its averages), these rows are composed in order, and each chunk starts from what the ones
 before it come to. Only those rows, one a chunk, meet in a task.
 """
 
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.scalars import BUY, HOLD, SELL, label_name
 from candlewick.operators.backtest import simple_return
+from candlewick.operators.features import AVERAGES, changes, from_averages, rolling_features
 from candlewick.operators.labels import raw_labels
+from candlewick.operators.recurrences import broken, placed, scanned
 from candlewick.operators.series import series
 from candlewick.sources.scratch import written
 
@@ -73,6 +75,27 @@ def so_far(inclusive: bool = False):
     return Window.partitionBy("ticker").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
+def feature_table(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``features.feature_table`` over chunks.
+
+    An average within a chunk starts from 0; what the chunks before add is their own ends, each less by the rows since. Of a
+    chunk that is long enough nothing is left after the next, but the sum is exact for chunks of any size."""
+    specs = AVERAGES
+    halo = changes(rolling_features(in_chunks(numbered(df), rows, back=max(s.seed for s in specs) + 1), KEYS), KEYS)
+    mine = written(scanned(own(placed(halo, specs, KEYS), rows), specs, KEYS), "averages")
+    ends = {f"_e{s.name}": F.max_by(s.name, "_i") for s in specs} | {f"_n{s.name}": F.max(f"_null_{s.name}") for s in specs}
+    before = {f"_c{s.name}": _folded(F.collect_list(f"_e{s.name}").over(so_far()), (1 - s.alpha) ** rows) for s in specs}
+    before |= {f"_b{s.name}": F.coalesce(F.max(f"_n{s.name}").over(so_far()), F.lit(False)) for s in specs}
+    out = carried(mine, ends, before)
+    since = F.col("_i") - F.col("_chunk") * rows + 1
+    known = {s.name: F.when((F.col("_i") >= s.seed) & ~broken(s, KEYS) & ~F.col(f"_b{s.name}"), F.col(s.name) + F.pow(F.lit(1 - s.alpha), since) * F.col(f"_c{s.name}")) for s in specs}
+    return from_averages(out.withColumns(known)).drop("_i", "_chunk", *before, *[f"_null_{s.name}" for s in specs])
+
+
+def _folded(ends: Column, less: float) -> Column:
+    return F.aggregate(ends, F.lit(0.0), lambda a, e: a * F.lit(less) + e)
+
+
 def _last(name: str) -> Column:
     """The latest value of a chunk that is not null."""
     return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_i")))

@@ -12,7 +12,8 @@ from candlewick.operators.recurrences import Smoothing, smooth
 from candlewick.operators.series import KEYS, full, series
 
 PRICES = ("open", "high", "low", "close", "adj_close")
-FEATURES = (*[f"{p}_ret" for p in PRICES], "volume_ret", "rsi", "macd", "williams", "range_log", "body_log", "upper_wick_log", "lower_wick_log", "volume_relatif", "volatility_10")
+# The features and their order.
+FEATURES = ("open_ret", "high_ret", "low_ret", "close_ret", "adj_close_ret", "volume_ret", "rsi", "macd", "williams", "range_log", "body_log", "upper_wick_log", "lower_wick_log", "volume_relatif", "volatility_10")
 
 
 def log_returns(df: DataFrame, columns: Sequence[str] = (*PRICES, "volume"), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -58,21 +59,39 @@ def williams(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS) -> DataFram
     return df.withColumn("williams", F.when(F.col("log_close").isNotNull(), value))
 
 
-def oscillators(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "log_adj_close") -> DataFrame:
-    """``rsi`` (14, Wilder) and ``macd`` (12, 26; shown from row 33) of ``x``."""
+#: The averages behind RSI (14, Wilder) and MACD (12, 26).
+AVERAGES = (Smoothing("_up", "_gain", 14, 14, 1 / 14), Smoothing("_down", "_loss", 14, 14, 1 / 14), Smoothing("_fast", "_price", 25, 12, 2 / 13), Smoothing("_slow", "_price", 25, 26, 2 / 27))
+
+
+def changes(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "log_adj_close") -> DataFrame:
+    """What the averages are of: ``_gain``, ``_loss`` and ``_price``."""
     change = F.col(x) - F.lag(x).over(series(keys))
-    df = df.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    specs = [Smoothing("_up", "_gain", 14, 14, 1 / 14), Smoothing("_down", "_loss", 14, 14, 1 / 14), Smoothing("_fast", x, 25, 12, 2 / 13), Smoothing("_slow", x, 25, 26, 2 / 27)]
-    df = smooth(df, specs, keys)
+    rise = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    return df.withColumns({"_gain": rise(change), "_loss": rise(-change), "_price": F.col(x)})
+
+
+def from_averages(df: DataFrame) -> DataFrame:
+    """``rsi``, and ``macd`` from row 33 on, of rows with ``_i`` and the averages."""
     total = F.col("_up") + F.col("_down")
     rsi = F.when(total == 0, 0.0).otherwise(F.try_divide(100 * F.col("_up"), total))
-    return df.withColumns({"rsi": rsi, "macd": F.when(F.col("_i") >= 33, F.col("_fast") - F.col("_slow"))}).drop("_gain", "_loss", "_up", "_down", "_fast", "_slow", "_i")
+    made = df.withColumns({"rsi": rsi, "macd": F.when(F.col("_i") >= 33, F.col("_fast") - F.col("_slow"))})
+    return made.drop("_gain", "_loss", "_price", "_up", "_down", "_fast", "_slow")
+
+
+def oscillators(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "log_adj_close") -> DataFrame:
+    """``rsi`` and ``macd`` of ``x``."""
+    return from_averages(smooth(changes(df, keys, x), AVERAGES, keys)).drop("_i")
+
+
+def rolling_features(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The features that look back a fixed number of rows: ``williams`` the farthest, 13."""
+    df = candles(log_prices(log_returns(df, keys=keys)))
+    return volatility(relative_volume(williams(df, keys=keys), keys=keys), keys=keys)
 
 
 def feature_table(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """All ``FEATURES`` of each bar."""
-    df = candles(log_prices(log_returns(df, keys=keys)))
-    return oscillators(volatility(relative_volume(williams(df, keys=keys), keys=keys), keys=keys), keys)
+    return oscillators(rolling_features(df, keys), keys)
 
 
 def complete(df: DataFrame, extra: Sequence[str] = ("Label_id",)) -> DataFrame:

@@ -28,20 +28,34 @@ def smooth(df: DataFrame, specs: Sequence[Smoothing], keys: Sequence[str] = KEYS
     that many rows before, so all rounds look back in the same shuffle and sort. They end where beta**(2**k) is 0 in a
     double, as it is in a row loop.
     """
-    own = series(keys)
-    df = df.withColumn("_i", F.row_number().over(own) - 1)
+    df = scanned(placed(df.withColumn("_i", F.row_number().over(series(keys)) - 1), specs, keys), specs, keys)
+    return df.withColumns({s.name: F.when((F.col("_i") >= s.seed) & ~broken(s, keys), F.col(s.name)) for s in specs}).drop(*[f"_null_{s.name}" for s in specs])
+
+
+def placed(df: DataFrame, specs: Sequence[Smoothing], keys: Sequence[str] = KEYS) -> DataFrame:
+    """What each row, ``_i`` in its series, adds to a smoothing (0 before the seed), and ``_null_``: a value that counts is
+    missing. Warm-up rows before the seed's own may be null (a first difference is)."""
     made = {}
     for s in specs:
         x = F.col(s.value)
-        mean = F.avg(x).over(own.rowsBetween(-(s.length - 1), 0))
+        mean = F.avg(x).over(series(keys).rowsBetween(-(s.length - 1), 0))
         made[s.name] = F.coalesce(F.when(F.col("_i") < s.seed, 0.0).when(F.col("_i") == s.seed, mean).otherwise(s.alpha * x), F.lit(0.0))
-        # warm-up rows before the seed's own may be null (a first difference is)
-        made[f"_bad_{s.name}"] = F.coalesce(F.bool_or(x.isNull() & (F.col("_i") > s.seed - s.length)).over(up_to(keys)), F.lit(False))
-    df, back = df.withColumns(made), 1
+        made[f"_null_{s.name}"] = x.isNull() & (F.col("_i") > s.seed - s.length)
+    return df.withColumns(made)
+
+
+def broken(s: Smoothing, keys: Sequence[str] = KEYS) -> Column:
+    """A value is missing up to this row."""
+    return F.coalesce(F.bool_or(f"_null_{s.name}").over(up_to(keys)), F.lit(False))
+
+
+def scanned(df: DataFrame, specs: Sequence[Smoothing], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Running sums in which every row back counts (1 - alpha) times as much, by composing maps over 1, 2, 4, ... rows."""
+    back = 1
     while factors := {s.name: (1 - s.alpha) ** back for s in specs if (1 - s.alpha) ** back > 0}:
-        df = df.withColumns({name: F.col(name) + F.lit(f) * F.lag(name, back, 0.0).over(own) for name, f in factors.items()})
+        df = df.withColumns({name: F.col(name) + F.lit(f) * F.lag(name, back, 0.0).over(series(keys)) for name, f in factors.items()})
         back *= 2
-    return df.withColumns({s.name: F.when((F.col("_i") >= s.seed) & ~F.col(f"_bad_{s.name}"), F.col(s.name)) for s in specs}).drop(*[f"_bad_{s.name}" for s in specs])
+    return df
 
 
 def capital_after_fees(df: DataFrame, growth: Column, cost: Column, capital: float | Column, keys: Sequence[str] = KEYS, order: str = "date") -> DataFrame:

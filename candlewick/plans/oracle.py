@@ -330,7 +330,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "partitioned_scan": bars("calm") + f"SELECT ticker, date, close, volume FROM bars WHERE ticker = '{brand}'",
         "save_auto": bars("calm") + "SELECT ticker, count(*) AS n_rows, CAST(sum(volume) AS BIGINT) AS volume, max(close) AS top FROM bars GROUP BY ticker",
         "labels_chunked": bars("calm", lab20) + f"SELECT ticker, date, Label_id, {NAME} AS Label FROM lab",
-        "features_chunked": bars("calm", f"{LOGS}, {WINDOWED}") + "SELECT ticker, date, " + ", ".join(f"round({x}, 7) AS {x}" for x in FEATURES if x not in ("rsi", "macd")) + " FROM wf",
+        "features_chunked": bars("calm", ALL_FEATURES, True) + f"SELECT ticker, date, {features} FROM ft WHERE {' AND '.join(f'{x} IS NOT NULL' for x in FEATURES)}",
         "backtest_chunked": bars("calm", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "bankrupt_chunked": bars("brand", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "labels_bucketed": bars("calm", lab20) + "SELECT ticker, date, Label_id FROM lab",

@@ -27,7 +27,6 @@ NET_CONTEXT, NET_HIDDEN, FIT_ALPHA = 3, 4, 0.5
 #: Rows of a chunk, so that a series of the given tables has several.
 CHUNK = 200
 TICKER, BRAND = "click", "Brand#11"
-ROLLED = [f for f in features.FEATURES if f not in ("rsi", "macd")]
 RECORD = ("initial_capital", "model_final_capital", "buy_hold_final_capital", "model_pnl", "buy_hold_pnl", "outperformance")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,12 +86,6 @@ def _executed(bars: DataFrame) -> DataFrame:
     return _positions(bars).withColumn("executed", backtest.executed("position"))
 
 
-def _rolled(bars: DataFrame, keys=("ticker",)) -> DataFrame:
-    """The features that look back a fixed number of rows, 13 at most."""
-    logs = features.candles(features.log_prices(features.log_returns(bars, keys=keys)))
-    return features.volatility(features.relative_volume(features.williams(logs, keys=keys), keys=keys), keys=keys)
-
-
 def _grid(bars: DataFrame, short: bool) -> DataFrame:
     return rounded(grids.label_grid(bars, short, GRID_WINDOWS, GRID_BUFFERS), 2, "score", "final_capital", "pnl")
 
@@ -282,7 +275,7 @@ def queries() -> dict[str, Query]:
         "partitioned_scan": calm(_partitioned),
         "save_auto": calm(_saved),
         "labels_chunked": calm(lambda b: at("Label_id", "Label")(chunks.add_labels(b, WINDOW, rows=CHUNK))),
-        "features_chunked": calm(lambda b: rounded(chunks.chunked(b, _rolled, CHUNK, back=13), 7, *ROLLED).select("ticker", "date", *ROLLED)),
+        "features_chunked": calm(lambda b: feature_digits(features.complete(chunks.feature_table(b, CHUNK)))),
         "backtest_chunked": calm(lambda b: money(chunks.backtest(b, WINDOW, fee=2.0, short=True, rows=CHUNK))),
         "bankrupt_chunked": brand(lambda b: money(chunks.backtest(b, WINDOW, fee=2.0, short=True, rows=CHUNK))),
         "labels_bucketed": calm(_bucketed),

@@ -9,7 +9,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from candlewick.operators import backtest, chunks, features, labels
-from candlewick.plans import queries
 from candlewick.sources import bars as sources
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -57,10 +56,15 @@ def test_halos(spark, rows):
         chunks.in_chunks(df, 3, back=4)
 
 
-@pytest.mark.parametrize("rows", [13, 40, 1000])
-def test_rolling_features_in_chunks(spark, rows):
-    df = panel(spark, holes={(0, 20), (1, 5)})
-    close(rows_of(chunks.chunked(df, queries._rolled, rows, back=13), "date", *queries.ROLLED), rows_of(queries._rolled(df), "date", *queries.ROLLED))
+def test_rolling_features_in_chunks(spark):
+    df, names = panel(spark, holes={(0, 20), (1, 5)}), [f for f in features.FEATURES if f not in ("rsi", "macd")]
+    close(rows_of(chunks.chunked(df, features.rolling_features, 13, back=13), "date", *names), rows_of(features.rolling_features(df), "date", *names))
+
+
+@pytest.mark.parametrize("rows", [26, 40, 1000])
+def test_all_features_in_chunks(spark, rows):
+    df = panel(spark, holes={(0, 60), (1, 5)})
+    close(rows_of(chunks.feature_table(df, rows), "date", *features.FEATURES), rows_of(features.feature_table(df), "date", *features.FEATURES))
 
 
 @pytest.mark.parametrize("rows", [6, 11, 1000])
@@ -80,11 +84,12 @@ def test_one_series_fills_many_tasks(spark, tmp_path, request):
     panel(spark, (300,)).write.parquet(str(tmp_path / "b"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # of so few rows one task would do
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
-    df = chunks.chunked(spark.read.parquet(str(tmp_path / "b")), queries._rolled, 30, back=13)
+    df = chunks.chunked(spark.read.parquet(str(tmp_path / "b")), features.rolling_features, 30, back=13)
     plan = df._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.split("\n") if "Exchange hashpartitioning(ticker" in line]
     assert any("_chunk" in line for line in windows)
-    assert df.select(F.spark_partition_id()).distinct().count() > 1
+    tasks = df.where("williams IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.sum("williams"))
+    assert tasks.count() > 1
 
 
 def test_a_table_by_ticker_needs_no_exchange(spark, tmp_path):
