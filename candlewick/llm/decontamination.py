@@ -13,8 +13,8 @@ spans all runs that count on the diagonal with the most equal words.
 
 Hashes of items and texts are joined. A benchmark of up to ``block_words`` words is a table of bounded size that goes to
 the tasks: texts are searched where they lie, and nothing is shuffled. A larger one is joined by shuffle: a bitmap of its
-hashes (8 MB at any size) drops text positions that cannot meet any, the rest join item hashes, and each pair that is
-met is compared on full texts. Both ways give the same rows.
+hashes, as large as their number asks for, drops text positions that cannot meet any, the rest join item hashes, and each
+document that met items passes a task once with them, to be compared in full. Both ways give the same rows.
 
 Null or empty texts and items, and an empty benchmark, overlap with nothing; an empty table gives an empty result. Texts
 of any length are searched whole; the larger overlap wins, the first diagonal where two are equal. Repeated rows and
@@ -40,7 +40,8 @@ BLOCK_WORDS = 500_000
 #: Overlaps with shorter items are reported, but drop no document.
 DROP_WORDS = 5
 _BITS = 22
-_WIDE_BITS = 26
+#: Shares of a seed that is an item of a few words.
+SALTS = 32
 _Q = np.uint64(0xD1342543DE82EF95)
 HITS = "doc_id long, item_id long, doc_word long, item_word int, n_words int, n_same int, item_words int"
 Mask = tuple[int, ...]
@@ -153,45 +154,79 @@ def _held_in_tasks(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _seed_rows(rows: DataFrame, key: str, masks: tuple[Mask, ...] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """(key, seed, at) of all of a text's positions that ``bitmap`` lets pass, or of an item's own masks."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    """(key, seed, at, exact) of all of a text's positions that ``bitmap`` lets pass, or of an item's own masks. ``exact``: of a
+    mask that is a whole item, of which any hit is as good as another, so a text gives its first one alone."""
+    shared, shift = rows.sparkSession.sparkContext.broadcast(bitmap), 0 if bitmap is None else 62 - int(bitmap.size).bit_length()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, words in zip(batch.column(key).to_pylist(), _words_of(batch.column("text")), strict=True):
-                for seed in [s for _, s in item_seeds(words)] if masks is None else [seeds(words, m) for m in masks]:
-                    at = np.arange(len(seed))
+                for mask, seed in item_seeds(words) if masks is None else ((m, seeds(words, m)) for m in masks):
+                    at, exact = np.arange(len(seed)), mask not in (*MASKS, SHORT_MASK) or masks is None and len(words) < TOLERANT
                     if shared.value is not None:
-                        bit = (seed >> np.uint64(64 - _WIDE_BITS)).astype(np.int64)
+                        bit = (seed >> np.uint64(shift)).astype(np.int64)
                         at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                        at = at[np.sort(np.unique(seed[at], return_index=True)[1])] if exact else at
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(seed[at].view(np.int64)), pa.array(at)], names=[key, "seed", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(seed[at].view(np.int64)), pa.array(at), pa.array(np.full(len(at), exact))], names=[key, "seed", "at", "exact"])
 
-    return rows.select(key, "text").mapInArrow(emit, f"{key} long, seed long, at long")
+    return rows.select(key, "text").mapInArrow(emit, f"{key} long, seed long, at long, exact boolean")
+
+
+def _bits(n: int) -> int:
+    """Of a bitmap in which ``n`` seeds set at most a sixteenth: 8 KB at least, 512 MB at most (beyond 268 million seeds more
+    positions pass, and are compared)."""
+    return min(32, max(16, (16 * n - 1).bit_length()))
+
+
+def _bitmap(of_items: DataFrame, bits: int) -> np.ndarray:
+    bit = F.shiftrightunsigned("seed", 64 - bits)
+    parts = of_items.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():  # rows of 4 KB, as large as the bitmap together
+        out[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
     texts = materialize(texts.where("text IS NOT NULL").withColumn("doc", F.monotonically_increasing_id()), "texts")
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     of_items = materialize(_seed_rows(items, "item", None, None).withColumnRenamed("at", "item_at"), "seeds")
-    bit = F.shiftrightunsigned("seed", 64 - _WIDE_BITS)
-    parts = of_items.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
-    bitmap = np.zeros(1 << (_WIDE_BITS - 3), np.uint8)
-    for r in parts.toLocalIterator():  # 2,048 rows of 4 KB at most
-        bitmap[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    bitmap = _bitmap(of_items, _bits(of_items.count()))
     masks = tuple(sorted({*MASKS, SHORT_MASK, *(tuple(range(k)) for k in range(1, TOLERANT))}))
-    met = _seed_rows(texts, "doc", masks, bitmap).join(of_items, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = met.groupBy("doc", "item").agg(F.collect_list("diagonal").alias("diagonals"))  # one text's positions at most
-    rows = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "doc").select("doc_id", "text", "item_id", "item_text", "diagonals")
+    # seeds of short items may be words of every text: they are dealt to salts
+    of_texts = _seed_rows(texts, "doc", masks, bitmap).withColumn("salt", F.when(F.col("exact"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0))
+    salted = of_items.withColumn("salt", F.explode(F.when(F.col("exact"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    met = of_texts.drop("exact").join(salted.drop("exact"), ["seed", "salt"]).select("doc", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    met = materialize(met, "met")
+    held = met.select("doc").distinct().join(texts, "doc").select("doc", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("diagonal"), "doc_id", "text")
+    asked = met.join(items, "item").select("doc", "item_id", "item", "diagonal", F.lit(None).cast("long").alias("doc_id"), "text")
+    # a document's text comes once, before the items that it meets
+    rows = held.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("item").asc_nulls_first(), "diagonal")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, doc_id, item, item_id, words, diagonals = None, None, None, None, None, []
+
+        def done() -> Iterator[tuple]:
+            if diagonals and (found := largest_overlap(own, words, diagonals)):
+                yield doc_id, item_id, *found
+
         for whole in batches:
             for lot in range(0, whole.num_rows, 500):
-                batch = whole.slice(lot, 500)
-                words, item_words = (_words_of(batch.column(c)) for c in ("text", "item_text"))
-                ids, item_ids, diagonals = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals"))
-                found = ((d, i, largest_overlap(t, w, ds)) for d, i, t, w, ds in zip(ids, item_ids, words, item_words, diagonals, strict=True))
-                yield _hits([(d, i, *f) for d, i, f in found if f])
+                batch, out = whole.slice(lot, 500), []
+                columns = [batch.column(c).to_pylist() for c in ("item", "item_id", "diagonal", "doc_id")]
+                for i, i_id, diagonal, d_id, text in zip(*columns, _words_of(batch.column("text")), strict=True):
+                    if i is None or i != item:
+                        out += done()
+                        diagonals = []
+                    if i is None:
+                        own, doc_id = text, d_id
+                    else:
+                        words, item_id = text, i_id
+                        diagonals.append(diagonal)
+                    item = i
+                yield _hits(out)
+        yield _hits(list(done()))
 
     return rows.mapInArrow(compare, HITS)
 

@@ -2,6 +2,7 @@
 
 import html
 import json
+import random
 import re
 import time
 import zlib
@@ -600,6 +601,19 @@ def test_contamination_equals_brute_force(spark):
     assert sorted(map(tuple, decontamination.contamination(docs, bench, block_words=300).collect())) == rows  # joined by shuffle
 
 
+def test_shuffled_decontamination_of_short_items(spark):
+    """Items of one to twelve words, some of them words of every text, against the same held in the tasks."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 3, 40, 400])))) for k in range(60)] + [(60, None), (None, "w1 w2 w3")]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([1, 1, 2, 2, 3, 4, 5, 7, 8, 9, 12, 13])] + [(90, None), (91, "")]
+    docs = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, item string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held, shuffled = (sorted(map(str, decontamination.contamination(docs, bench, words).collect())) for words in (500_000, 0))
+    assert held == shuffled and len(held) > 100
+    assert decontamination._bits(0) == 16 and decontamination._bits(50_000_000) == 30 and decontamination._bits(10**12) == 32
+
+
 def test_every_length_has_its_tolerance(spark):
     """An item in full, then with one and two substitutions, at every place."""
     for n, most in ((1, 0), (2, 0), (7, 0), (8, 1), (12, 1), (13, 2), (20, 2)):
