@@ -10,8 +10,8 @@ and a group's name, has a weight of its own, which a linear model lacks.
    by a signed root likelihood ratio of ``MIN_ROOT``: no smoothing, so a word of one class alone needs a few documents
    at any sample size (3 where a ninth is toxic, 7 where half is). Kept, too, are both terms of pairs that tell only
    together: among the ``FREQUENT`` most frequent terms, pairs whose class counts depart by ``PAIR_ROOT`` from the
-   shares of the sample, of either term and of both terms' log odds added. At most ``TERMS`` in all; their presence in
-   the sample is the training matrix, fitted with numpy by AdaGrad.
+   shares of the sample, of either term and of both terms' log odds added. Their presence in the sample is the training
+   matrix, fitted with numpy by AdaGrad. There are at most ``BUCKETS`` terms.
 3. All documents are scored where they lie, whole; a task needs only the kept terms' weights.
 
 A text without known terms (also empty or null) gets the score of w0. A null doc_id counts as empty text in the fold
@@ -36,7 +36,6 @@ from candlewick.llm.words import chunks, lower_pieces
 
 BUCKETS = 1 << 18
 SAMPLE = 12_000
-TERMS = 4096
 MIN_ROOT = 3.0
 FREQUENT = 2048
 PAIR_DOCS = 10
@@ -155,7 +154,7 @@ def _root(n1: np.ndarray, n0: np.ndarray, share: np.ndarray | float) -> np.ndarr
 
 
 def _joint(flat: np.ndarray, ends: np.ndarray, label: np.ndarray, columns: np.ndarray, width: int, share: float) -> np.ndarray:
-    """Which of ``columns`` are in a pair that tells more than its terms do; those of the most telling pairs first, ``TERMS`` // 4 at most."""
+    """Which of ``columns`` are in a pair that tells more than its terms do; those of the most telling pairs first."""
     k = len(columns)
     at = np.full(width, -1, np.int64)
     at[columns] = np.arange(k)
@@ -181,7 +180,7 @@ def _joint(flat: np.ndarray, ends: np.ndarray, label: np.ndarray, columns: np.nd
         root = np.min([np.abs(_root(n1, n0, 1 / (1 + np.exp(-np.asarray(q))))) for q in expected], axis=0) if len(j) else n0
         found += [(-float(z), i, i + 1 + int(b)) for z, b in zip(root, j, strict=True) if z >= PAIR_ROOT]
     first = list(dict.fromkeys(x for _, i, j in sorted(found) for x in (i, j)))
-    return np.array(first[: TERMS // 4], np.int64)
+    return np.array(first, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -197,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen[:, np.asarray(got["term"])] = [np.asarray(got["n0"]), np.asarray(got["n1"])]
     share = used[1] / (used[0] + used[1])
     single = np.abs(_root(seen[1], seen[0], share))
-    telling = np.argsort(-single, kind="stable")[:TERMS]
-    telling = telling[single[telling] >= MIN_ROOT]
+    telling = np.flatnonzero(single >= MIN_ROOT)
     often = np.argsort(-seen.sum(0), kind="stable")[:FREQUENT]
     often = often[seen.sum(0)[often] >= PAIR_DOCS]
     held = np.union1d(telling, often)
@@ -211,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     flat = np.asarray(lists.flatten()).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
     joint = often[_joint(flat, ends, label, place[often], len(held), share)]
-    buckets = np.sort(np.concatenate([joint, telling[~np.isin(telling, joint)]])[:TERMS])
+    buckets = np.union1d(joint, telling)
     place = np.full(BUCKETS, -1, np.int64)
     place[buckets] = np.arange(len(buckets))
     flat = place[held][flat]
@@ -249,7 +247,7 @@ def _fitted(m: Model, flat: np.ndarray, ends: np.ndarray, label: np.ndarray, wei
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS and TERMS bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS bounds it
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
