@@ -6,9 +6,10 @@ they have none of their own), so a width of 0.3 means the same in each: 30 % of
 its last. The shares come from one job over ``BINS`` bins a dimension; a source or language lies in the bin of its hash.
 
 A node of k leaves splits at the weight share of its left ``k // 2`` leaves, along its widest dimension (of equal ones
-the first). Within a bin rows lie in the order of a hash of the text, then of the id: a source with a third of all rows
-splits as finely as any, and equal texts (the groups) of one source and language lie side by side, in one shard unless a
-median falls between them, which it must where a group outweighs a shard.
+the first). Where a long text lies on the median, so that it misses by over ``MISS`` of a leaf, the next widest dimension is
+tried as well, and the one that misses least is taken. Within a bin rows lie in the order of a hash of the text, then of the id: a source with a third of all rows
+splits as finely as any. Equal texts (the groups) count as of the first of their sources and languages, so they lie side by
+side in every dimension: in one shard unless a median falls between them, which it must where a group outweighs a shard.
 
 A level takes two jobs over the narrow table: the nodes' weights and ends, then histograms of ``CUTS`` bins between those
 ends, for all nodes at once; a bin of several rows that weighs over ``TOLERANCE`` of a leaf takes another. Only bins reach the driver.
@@ -33,7 +34,9 @@ from candlewick.llm.storage import materialize, remove
 SHARDS = 24
 BINS = 1024
 CUTS = 8192
-TOLERANCE = 0.002
+TOLERANCE = 0.0005
+#: Of a leaf: what a median may miss before the next dimension is tried.
+MISS = 0.002
 _TEXT_BITS, _ID_BITS = 16, 14
 _TIES = 1 << (_TEXT_BITS + _ID_BITS)
 _PLACES = _TIES << 30
@@ -60,11 +63,18 @@ def _label(node: _Node) -> Column:
 def described(docs: DataFrame) -> tuple[DataFrame, dict[str, list[int]]]:
     """doc_id, size, text_crc32 and each dimension's b_ (bin) and k_ (place) of every row; and the places where bins begin."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), F.lit(BINS)).cast("int")
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    bin_of = lambda c: F.pmod(F.xxhash64(c), F.lit(BINS)).cast("int")
     size = (F.octet_length(body) + 8).cast("long")
     tie = F.pmod(F.xxhash64(body), F.lit(1 << _TEXT_BITS)) * (1 << _ID_BITS) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), body), F.lit(1 << _ID_BITS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), tie.alias("tie"), hashed("source").alias("b_source"), hashed("lang").alias("b_lang"))
-    bare = materialize(rows.withColumn("b_size", F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("size").cast("double")) * (BINS // 40))).cast("int")), "described")
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash"), tie.alias("tie"), word("source").alias("source"), word("lang").alias("lang")), "hashed")
+    # equal texts lie where the first of their sources and languages does
+    text, both = ["size", "text_crc32", "hash"], ("source", "lang")
+    ends = rows.groupBy(*text).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in both for f in (F.min, F.max)])
+    mixed = ends.where(" OR ".join(f"min_{c} <> max_{c}" for c in both)).drop(*[f"max_{c}" for c in both])
+    rows_in = rows.join(mixed, text, "left").select("doc_id", "size", "text_crc32", "tie", *[bin_of(F.coalesce(f"min_{c}", c)).alias(f"b_{c}") for c in both])
+    bare = materialize(rows_in.withColumn("b_size", F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("size").cast("double")) * (BINS // 40))).cast("int")), "described")
+    remove(rows)
     of_bins = bare.select("size", F.posexplode(F.array(*[f"b_{d}" for d in DIMENSIONS])).alias("dim", "bin")).groupBy("dim", "bin").agg(F.sum("size").alias("size"))
     weight = {(DIMENSIONS[r["dim"]], r["bin"]): r["size"] for r in of_bins.collect()}  # at most BINS rows a dimension
     places, keys = {}, {}
@@ -84,16 +94,22 @@ def _split(rows: DataFrame, places: dict[str, list[int]], root: _Node, open_node
     found = {r["node"]: r for r in rows.groupBy(_label(root).alias("node")).agg(F.sum("size").alias("size"), *ends).collect()}
     wanted: dict[int, float] = {}
     window: dict[int, tuple[int, int, float]] = {}  # node: first place, places, weight before them
+    order: dict[int, list[str]] = {}  # node: dimensions that are not tried, the widest first
+
+    def begin(node: _Node) -> None:
+        node.dimension = order[node.first].pop(0)
+        low, high = (found[node.first][f"{f}_k_{node.dimension}"] for f in ("min", "max"))
+        window[node.first] = (low, high - low + 1, 0.0)
+
     for node in open_nodes:
         r = found.get(node.first)
         if r is None:
             node.dimension = DIMENSIONS[0]
             continue
-        node.dimension = max(DIMENSIONS, key=lambda d: places[d][r[f"max_b_{d}"]] - places[d][r[f"min_b_{d}"]])
-        low, high = (r[f"{f}_k_{node.dimension}"] for f in ("min", "max"))
+        order[node.first] = sorted(DIMENSIONS, key=lambda d: places[d][r[f"min_b_{d}"]] - places[d][r[f"max_b_{d}"]])
         wanted[node.first] = r["size"] * (node.leaves // 2) / node.leaves
-        window[node.first] = (low, high - low + 1, 0.0)
-    by_first = {node.first: node for node in open_nodes}
+        begin(node)
+    by_first, missed = {node.first: node for node in open_nodes}, {}
     while window:
         bins = None
         for first, (low, n, _) in window.items():
@@ -111,8 +127,16 @@ def _split(rows: DataFrame, places: dict[str, list[int]], root: _Node, open_node
                     break
                 before += weight
             if weight <= TOLERANCE * target / (node.leaves // 2) or held == 1 or width == 1:
-                node.at = low + k * width + (width if before + weight - target < target - before else 0)
+                after = before + weight - target < target - before
+                node.at = low + k * width + (width if after else 0)
+                miss = (abs(before + weight * after - target), node.dimension, node.at)
                 del window[first]
+                if first not in missed or miss[0] < missed[first][0]:
+                    missed[first] = miss
+                if missed[first][0] > MISS * found[first]["size"] / node.leaves and order[first]:
+                    begin(node)
+                else:
+                    _, node.dimension, node.at = missed[first]
             else:
                 window[first] = (low + k * width, width, before)
 
