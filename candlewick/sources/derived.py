@@ -19,10 +19,14 @@ def _whole(bars: DataFrame) -> DataFrame:
 def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of a walk for each event type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    own = Window.partitionBy("ticker").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    steps = events.select(F.col("event_type").alias("ticker"), "ts", "event_id", (F.round(F.col("value") * 100).cast("long") - 5000).alias("step"))
-    walk = steps.withColumn("px", (F.lit(5000000) + F.sum("step").over(own)).cast("double") / F.lit(50000.0))
-    hourly = walk.withColumn("date", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    steps = events.select(F.col("event_type").alias("ticker"), hour.alias("date"), "ts", "event_id", (F.round(F.col("value") * 100).cast("long") - 5000).alias("step"))
+    # the walk goes on from the hours before: one row an hour is summed along a series, events within their hour alone
+    before = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = steps.groupBy("ticker", "date").agg(F.sum("step").alias("n")).select("ticker", "date", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("ticker", "date").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    walk = steps.withColumn("sum", F.sum("step").over(own)).join(starts, ["ticker", "date"])
+    hourly = walk.withColumn("px", (F.lit(5000000) + F.col("start") + F.col("sum")).cast("double") / F.lit(50000.0))
     return _whole(_ohlc(hourly, "px", F.struct("ts", "event_id"), F.count("*")))
 
 
