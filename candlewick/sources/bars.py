@@ -11,6 +11,7 @@ import re
 import uuid
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -219,7 +220,7 @@ def save(bars: DataFrame, base: str, kind: str = "auto") -> str:
             sizes = {"csv": write_csv(bars, f"{staged}/csv")}
             try:
                 sizes["parquet"] = write_parquet(bars, f"{staged}/parquet")
-            except PySparkException as error:
+            except (PySparkException, Py4JJavaError) as error:
                 warnings.warn(f"kept CSV, Parquet could not be written: {error}", stacklevel=2)
             kept = "parquet" if sizes.get("parquet", sizes["csv"]) < sizes["csv"] else "csv"
         else:
