@@ -47,10 +47,7 @@ class ImpactIndex:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
         n, dims = self.x.shape
-        self.dims = dims
-        # sums of products beyond a long are taken as whole numbers of any size
-        top = int(np.abs(self.x).max(initial=0))
-        self.top = top
+        self.dims, self.top = dims, int(np.abs(self.x).max(initial=0))
         self.postings, self.starts, self.ends, low, high, of = [], [], [], [], [], []
         for d in range(dims):
             column = self.x[:, d]
@@ -70,6 +67,7 @@ class ImpactIndex:
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the ``k`` best rows and their scores; of equal scores the smaller ids."""
+        # products that may leave a long are taken as whole numbers of any size, without the index
         big = self.top * max(1, int(np.abs(q).max(initial=0))) * max(1, self.dims) >= 2**62
         kind = object if big else np.int64
         exact = lambda rows: self.x[rows].astype(kind, copy=False) @ q.astype(kind, copy=False)
@@ -104,7 +102,7 @@ class ImpactIndex:
 
 
 def indexed_rows(df: DataFrame, id: str, vector: str, dims: int, k: int) -> DataFrame:
-    """vec_id, x (packed): every row that may be in a result, and every row with ``is_query``."""
+    """vec_id, x (packed) and ``place``, the row's place among those of its vector; each row once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
