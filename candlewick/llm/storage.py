@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from candlewick.sources.scratch import new_path
+from candlewick.sources.scratch import written
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a lost executor costs a reread, not a rerun."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def remove(df: DataFrame) -> None:
