@@ -78,7 +78,7 @@ def rules_of(table: DataFrame) -> tuple[Rule, ...]:
 HOST_RULES = (
     host_rule("org/", "allow"),
     host_rule("example.org/es/", "block"),
-    host_rule("example.org/en/1", "allow"),
+    host_rule("example.org/en/1", "block"),
     host_rule("com/fr/", "allow"),
     host_rule("com/de/", "block"),
 )

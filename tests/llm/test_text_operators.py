@@ -343,6 +343,14 @@ def test_index_finds_what_all_patterns_find(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df.where("url like '%utm_source%' and url like '%badexample%'")).collect()} == {"allow"}
 
 
+def test_host_rules_say_what_the_contract_says(spark):
+    given = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+    assert [(r.name, r.verdict) for r in url_filter.HOST_RULES] == given
+    urls = [("http://a.org/x", "org/", "allow"), ("http://example.org/es/2", "example.org/es/", "block"), ("http://www.EXAMPLE.org/en/12?q", "example.org/en/1", "block"), ("http://example.org/en/2", "org/", "allow"), ("http://x.com/fr/", "com/fr/", "allow"), ("http://x.com/de/1", "com/de/", "block")]
+    df = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(urls)], "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in url_filter.filter_urls(df).orderBy("page_id").collect()] == [x[1:] for x in urls]
+
+
 def test_tokens_follow_from_the_pattern():
     tokens_of = lambda p, host=False: url_filter.Rule("x", p, host_rule=host).literal_tokens()
     assert tokens_of("^casino^") == ["casino"] and tokens_of("casino") == [] and tokens_of("/a-B*c/d/e") == ["a", "d"]
