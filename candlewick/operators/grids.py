@@ -62,9 +62,10 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     two = lambda name, least, c: least(F.get(F.get(name, c["k"]), F.lit(0)), F.get(F.get(name, c["k"]), c["shift"]))
     extrema = F.transform(full, lambda c: F.struct(c["window"].alias("window"), two("_low", F.least, c).alias("low"), two("_high", F.greatest, c).alias("high")))
     bars = bars.withColumn("extrema", extrema).select("ticker", "date", price, now.alias("now"), "end", F.inline_outer("extrema"))  # a filter on the array would work it out twice
-    # nothing is a signal under any buffers that is none under the smallest ones
-    least = min(buffers)
-    bars = bars.where((x <= F.col("low") * (1 - least)) | (x >= F.col("high") * (1 + least)))
+    # a limit moves one way with its buffer, up or down by the sign of the price: what is no signal under the smallest nor the
+    # largest buffer is none under any
+    least, most = min(buffers), max(buffers)
+    bars = bars.where((x <= F.greatest(F.col("low") * (1 - least), F.col("low") * (1 - most))) | (x >= F.least(F.col("high") * (1 + least), F.col("high") * (1 + most))))
     buffer = _numbers(buffers, "double")
     signals = bars.select("ticker", "date", price, "now", "end", "window", "low", "high", F.explode(buffer).alias("buy_buffer")).select("*", F.explode(buffer).alias("sell_buffer"))
     raw = raw_label(x, F.col("low") * (1 - F.col("buy_buffer")), F.col("high") * (1 + F.col("sell_buffer")))
@@ -77,8 +78,10 @@ def label_grid(df: DataFrame, short: bool = False, windows: Sequence[int] | None
     target = lambda c: F.when(c == BUY, 1).when(c == SELL, -1 if short else 0).otherwise(0)
     trades = trades.withColumns({"pos": target(F.col("signal")), "held": F.coalesce(target(F.col("before")), F.lit(0))})
     trades = trades.withColumns({"turn": F.abs(F.col("pos") - F.col("held")), "last": F.lag("now").over(own), "final": F.lead("date").over(own).isNull()})
-    trades = capital_after_fees(trades, _moved(F.col("held"), F.col("last"), F.col("now")), fee * F.col("turn"), capital, cell)
-    alive = ~F.coalesce(F.max("dead").over(series(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) & (F.coalesce(F.col("_c") + F.col("_cost"), F.lit(0.0)) > 0)
+    trades = trades.withColumn("moved", _moved(F.col("held"), F.col("last"), F.col("now")))
+    trades = capital_after_fees(trades, F.col("moved"), fee * F.col("turn"), capital, cell)
+    # a run that a return ended since the last trade does not make this one
+    alive = ~F.coalesce(F.max("dead").over(series(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) & (F.col("moved") > 0) & (F.coalesce(F.col("_c") + F.col("_cost"), F.lit(0.0)) > 0)
     closing = F.col("capital") * _moved(F.col("pos"), F.col("now"), F.col("end"))
     ends = trades.withColumn("_t", F.when(alive, F.col("turn")).otherwise(0)).groupBy(*cell).agg(F.max(F.when(F.col("final"), F.greatest(closing, F.lit(0.0)))).alias("_final"), F.sum("_t").cast("long").alias("_trades"))
 

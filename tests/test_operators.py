@@ -113,6 +113,29 @@ def test_grid_equals_single_backtests(spark):
         assert r["final_capital"] == pytest.approx(one["final_capital"], rel=1e-9, abs=1e-6) and r["n_trades"] == one["n_trades"]
 
 
+def loop_of_cell(prices, n, buy, sell, fee, short):
+    raw, last = [], None
+    for i, p in enumerate(prices):
+        past = prices[i - n : i] if i >= n else []
+        s = 1 if not past else 2 if p <= min(past) * (1 - buy) else 0 if p >= max(past) * (1 + sell) else 1
+        raw.append(1 if s == last else s)
+        last = s if s != 1 else last
+    return naive_backtest(prices, raw, fee, 10_000.0, short)
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_grid_below_zero_matches_a_loop(spark, short):
+    """Below zero a larger buffer lets more bars signal, and a return can end a run before its next trade."""
+    rng, prices, at = random.Random(9), {}, 40.0
+    for ticker in "ABC":
+        prices[ticker] = [at := at + rng.gauss(-0.3, 6) for _ in range(250)]
+    df = frame(spark, prices["A"], "A").unionByName(frame(spark, prices["B"], "B")).unionByName(frame(spark, prices["C"], "C"))
+    assert min(prices["A"]) < 0 < max(prices["A"])
+    for r in grids.label_grid(df, short, (2, 5), (0.0, 0.02, 0.2)).collect():
+        capital, trades, _ = loop_of_cell(prices[r["ticker"]], r["window"], r["buy_buffer"], r["sell_buffer"], 2.0, short)
+        assert r["final_capital"] == pytest.approx(capital, rel=1e-9, abs=1e-6) and r["n_trades"] == trades, r
+
+
 def test_best_takes_the_first_of_equal_scores(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0)], "grid_index int, score double")
     assert grids.best_of(df, []).first()["grid_index"] == 1

@@ -1,5 +1,9 @@
 """Every registered query of the bars part against its SQL."""
 
+import datetime
+import random
+
+import duckdb
 import pytest
 from oracles import assert_same, connect
 
@@ -19,6 +23,25 @@ def test_query_equals_sql(spark, sf, con, name):
     assert_same(QUERIES[name](spark, sf), con, ORACLE[name])
 
 
+@pytest.fixture(scope="module")
+def below_zero(spark, tmp_path_factory):
+    """Events whose walks cross zero, as those of 60 copies of sf0.1 do."""
+    rng, start, folder = random.Random(5), datetime.datetime(2024, 1, 1), str(tmp_path_factory.mktemp("below"))
+    kinds = "view click error purchase signup".split()
+    rows = [(k, start + datetime.timedelta(minutes=12 * (k // 5)), kinds[k % 5], round(50 + rng.gauss(0, 7000), 2)) for k in range(15_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["top_cells"])
+def test_grid_equals_sql_below_zero(spark, below_zero, name):
+    folder, con = below_zero
+    assert con.sql(f"SELECT min(low) < 0 AND max(low) > 0 FROM ({ORACLE['bars_walk']})").fetchall() == [(True,)]
+    assert_same(QUERIES[name](spark, folder), con, ORACLE[name])
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
