@@ -35,7 +35,7 @@ def below_zero(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["top_cells", "label_grid_best", "label_grid_full", "label_grid_long", "label_grid_long_full"])
+@pytest.mark.parametrize("name", ["top_cells", "label_grid_best", "label_grid_full", "label_grid_long", "label_grid_long_full", "label_grid_long_short"])
 def test_grid_equals_sql_below_zero(spark, below_zero, name):
     folder, con = below_zero
     assert con.sql(f"SELECT min(low) < 0 AND max(low) > 0 FROM ({ORACLE['bars_walk']})").fetchall() == [(True,)]
