@@ -17,7 +17,7 @@ from candlewick.operators.series import KEYS, before, series, up_to
 
 
 def simple_return(price: str, keys: Sequence[str] = KEYS) -> Column:
-    """From the bar before; 0 on the first bar and around null prices."""
+    """From the bar before; 0 on the first bar, around null prices and from a price of 0."""
     return F.coalesce(F.try_divide(F.col(price), F.lag(price).over(series(keys))) - 1, F.lit(0.0))
 
 

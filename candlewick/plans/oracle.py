@@ -108,21 +108,22 @@ run AS (SELECT {cell}, CAST(-1 AS BIGINT) AS i, CAST({cap} AS DOUBLE) AS cap, 0
         FROM run JOIN {source} q ON {on} AND q.i = run.i + 1)"""
 
 
-def grid_cells(windows: tuple, buffers: tuple, source: str = "bars") -> str:
-    """``lab`` for every window and buffer pair, by the same rule as ``labels``."""
+def grid_cells(windows: tuple, buffers: tuple, source: str = "bars", zero: bool = False) -> str:
+    """``lab`` for every window and buffer pair, by the same rule as ``labels``. With ``zero`` a return from a price of 0 is 0."""
     f = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     parts = []
     for n in windows:
         g = f.format(n=n)
         parts.append(f"SELECT *, {n} AS \"window\", CASE WHEN count(adj_close) OVER {g} = {n} THEN min(adj_close) OVER {g} END AS lo, CASE WHEN count(adj_close) OVER {g} = {n} THEN max(adj_close) OVER {g} END AS hi FROM {source}")
     own = "PARTITION BY ticker, \"window\", buy_buffer, sell_buffer ORDER BY date"
+    last = f"nullif(lag(adj_close) OVER ({own}), 0)" if zero else f"lag(adj_close) OVER ({own})"
     values = ", ".join(f"({b!r})" for b in buffers)
     return f"""
 ext AS ({' UNION ALL '.join(parts)}),
 bb AS (SELECT CAST(v AS DOUBLE) AS buy_buffer FROM (VALUES {values}) AS x(v)), sb AS (SELECT CAST(v AS DOUBLE) AS sell_buffer FROM (VALUES {values}) AS y(v)),
 raw AS (SELECT *, CASE WHEN adj_close <= lo * (1 - buy_buffer) THEN 2 WHEN adj_close >= hi * (1 + sell_buffer) THEN 0 ELSE 1 END AS raw_id FROM ext, bb, sb),
 pos AS MATERIALIZED (SELECT *, CASE WHEN raw_id = last_value(CASE WHEN raw_id <> 1 THEN raw_id END IGNORE NULLS) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE raw_id END AS Label_id,
-               coalesce(adj_close / lag(adj_close) OVER ({own}) - 1, 0) AS ret FROM raw)"""
+               coalesce(adj_close / {last} - 1, 0) AS ret FROM raw)"""
 
 
 #: A fixed score of each labelled row, so that measures can be compared: softmax of three scaled features.
@@ -231,11 +232,13 @@ def oracle_sql(grid_windows: tuple, grid_buffers: tuple, net, length: int, singl
     cellq = 'ticker, "window", buy_buffer, sell_buffer'
     hold = "hold AS (SELECT ticker, 10000 * product(1 + ret) AS h FROM (SELECT ticker, coalesce(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1, 0) AS ret FROM bars) GROUP BY ticker)"
 
-    def grid(sell: int, windows: tuple = grid_windows, buffers: tuple = grid_buffers, part: str = "") -> str:
-        """Every cell of the grid; with ``part`` on that part of each series."""
+    hold0 = hold.replace("lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)", "nullif(lag(adj_close) OVER (PARTITION BY ticker ORDER BY date), 0)")
+
+    def grid(sell: int, windows: tuple = grid_windows, buffers: tuple = grid_buffers, part: str = "", zero: bool = False) -> str:
+        """Every cell of the grid; with ``part`` on that part of each series, with ``zero`` a return from a price of 0 is 0."""
         source = "own" if part else "bars"
         own = f"{split('bars')}, own AS MATERIALIZED (SELECT * EXCLUDE (i), row_number() OVER ({_S}) - 1 AS i FROM sp WHERE split = '{part}'), " if part else ""
-        more = f"{own}{grid_cells(windows, buffers, source)}, {hold.replace('FROM bars', f'FROM {source}')}, {backtest_loop(2.0, 10000.0, sell, cellq)}, g AS ({raw_ends(cellq)})"
+        more = f"{own}{grid_cells(windows, buffers, source, zero)}, {(hold0 if zero else hold).replace('FROM bars', f'FROM {source}')}, {backtest_loop(2.0, 10000.0, sell, cellq)}, g AS ({raw_ends(cellq)})"
         listed = lambda values: "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]"
         index = f"(list_position([{', '.join(map(str, windows))}], \"window\") - 1) * {len(buffers) ** 2} + (list_position({listed(buffers)}, buy_buffer) - 1) * {len(buffers)} + list_position({listed(buffers)}, sell_buffer) - 1"
         return bars("walk", more, True) + f"SELECT g.ticker, CAST({index} AS INTEGER) AS grid_index, \"window\", buy_buffer, sell_buffer, round(final_capital - h, 2) AS score, round(final_capital, 2) AS final_capital, round(final_capital - 10000, 2) AS pnl, n_trades FROM g JOIN hold USING (ticker)"
@@ -294,7 +297,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "backtest_bankrupt": bars("brand", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "label_grid_long": grid(0),
         "label_grid_long_short": grid(-1),
-        "label_grid_best": f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, grid_index) AS place FROM ({grid(-1)})) WHERE place = 1",
+        "label_grid_best": f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, grid_index) AS place FROM ({grid(-1, zero=True)})) WHERE place = 1",
         "context_windows": bars("calm", contexts) + "SELECT ticker, date, CAST(len(context) AS INTEGER) AS size, round(list_sum(list_transform(context, lambda x, k: x * k)), 4) AS weighted FROM cw",
         "feature_moments": bars("calm", f"{contexts}, {moments}") + "SELECT CAST(pos AS INTEGER) AS pos, round(mean, 6) AS mean, round(std, 6) AS std FROM mo",
         "standardized": bars("calm", f"{contexts}, {moments}, sx AS (SELECT ticker, date, pos, (x - mean) / std AS v FROM (SELECT ticker, date, unnest(context) AS x, generate_subscripts(context, 1) - 1 AS pos FROM cw) JOIN mo USING (pos))") + "SELECT ticker, date, round(sum(v * (pos + 1)), 4) AS weighted FROM sx GROUP BY 1, 2",

@@ -42,6 +42,30 @@ def test_grid_equals_sql_below_zero(spark, below_zero, name):
     assert_same(QUERIES[name](spark, folder), con, ORACLE[name])
 
 
+@pytest.fixture(scope="module")
+def through_zero(spark, tmp_path_factory):
+    """Events whose hours close at exactly zero, also twice running, in the whole series and in its part val."""
+    rng, start, folder = random.Random(3), datetime.datetime(2024, 1, 1), str(tmp_path_factory.mktemp("zero"))
+    rows, zeros = [], 0
+    for kind in "view click error purchase signup".split():
+        prices = [rng.randint(-6, 9) for _ in range(400)]
+        zeros += sum(p == q == 0 for p, q in zip(prices[280:339], prices[281:340]))
+        steps = [(p - q) * 50_000 for p, q in zip(prices, [100, *prices])]
+        rows += [(len(rows) + k, start + datetime.timedelta(hours=k), kind, (step + 5000) / 100) for k, step in enumerate(steps)]
+    assert zeros > 0
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["label_grid_best"])
+def test_grid_equals_sql_through_zero(spark, through_zero, name):
+    folder, con = through_zero
+    assert con.sql(f"SELECT count(*) > 0 FROM ({ORACLE['bars_walk']}) WHERE close = 0").fetchall() == [(True,)]
+    assert_same(QUERIES[name](spark, folder), con, ORACLE[name])
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
