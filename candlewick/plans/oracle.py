@@ -313,7 +313,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "constituents_join": bars("calm") + "SELECT ticker, date, 'Co ' || ticker AS company FROM bars",
         "dataset_summary": bars("calm") + "SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers FROM bars",
         "label_grid_full": grid(-1, tuple(range(2, 61)), (0.0, 0.001, 0.002, 0.005), "val", True),
-        "label_grid_long_full": grid(0, tuple(range(5, 61)), (0.0, 0.001, 0.002, 0.005), "val"),
+        "label_grid_long_full": grid(0, tuple(range(5, 61)), (0.0, 0.001, 0.002, 0.005), "val", True),
         "top_cells": f"SELECT * FROM ({grid(-1)}) ORDER BY score DESC, grid_index, ticker LIMIT 20",
         "train_single_long": net_job("walk", net, length, thresholds, record, False, 0.0, f"ticker = '{single}'"),
         "train_single_long_short": net_job("walk", net, length, thresholds, record, True, 0.0, f"ticker = '{single}'"),
