@@ -296,7 +296,7 @@ s AS (SELECT (SELECT share FROM share) * count(*) AS start, sum(m) AS m, sum(h)
         "backtest_long_short": bars("calm", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "backtest_bankrupt": bars("brand", f"{lab20}, {positions(-1)}, {backtest_loop(2.0, 10000.0, -1)}", True) + ends("ticker"),
         "label_grid_long": grid(0, zero=True),
-        "label_grid_long_short": grid(-1),
+        "label_grid_long_short": grid(-1, zero=True),
         "label_grid_best": f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, grid_index) AS place FROM ({grid(-1, zero=True)})) WHERE place = 1",
         "context_windows": bars("calm", contexts) + "SELECT ticker, date, CAST(len(context) AS INTEGER) AS size, round(list_sum(list_transform(context, lambda x, k: x * k)), 4) AS weighted FROM cw",
         "feature_moments": bars("calm", f"{contexts}, {moments}") + "SELECT CAST(pos AS INTEGER) AS pos, round(mean, 6) AS mean, round(std, 6) AS std FROM mo",

@@ -59,7 +59,7 @@ def through_zero(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["label_grid_best", "label_grid_full", "label_grid_long", "label_grid_long_full"])
+@pytest.mark.parametrize("name", ["label_grid_best", "label_grid_full", "label_grid_long", "label_grid_long_full", "label_grid_long_short"])
 def test_grid_equals_sql_through_zero(spark, through_zero, name):
     folder, con = through_zero
     assert con.sql(f"SELECT count(*) > 0 FROM ({ORACLE['bars_walk']}) WHERE close = 0").fetchall() == [(True,)]
