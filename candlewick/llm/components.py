@@ -11,7 +11,7 @@ from candlewick.llm.storage import materialize, remove
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,19 +21,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge or is the smaller end of all its own: then no iteration changes a row."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.agg(F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int"))).first()[0] != 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b: long) that is not the smallest of its component; comp is that one.
 
-    Each iteration is written to the shared folder; their number grows with the logarithm of the longest chain. A node
-    with any number of edges costs one partial minimum a task, and its edges are joined, never gathered.
+    Each iteration is written to the shared folder; their number grows with the logarithm of the longest chain, and none
+    follows once all components are stars. A node with any number of edges costs one partial minimum a task, and its
+    edges are joined, never gathered.
     """
     now = materialize(_small_star(edges.where("a <> b")), "stars")
-    mark = None
-    while True:
+    while not _all_stars(now):
         following = materialize(_small_star(_large_star(now)), "stars")
         remove(now)
         now = following
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        mark = new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -255,9 +255,9 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     others = materialize(_untested(_block_pairs(rest, classes), tested), "pairs")
     more = materialize(confirmed(others, texts), "links")
     used = [members, texts, first, links, rest, others, more]
-    if more.head(1):
+    if more.head(1):  # the components so far hold all that the links before have joined
         used.append(comps)
-        comps = components(links.unionByName(more))
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     for done in used:
         remove(done)
 

@@ -40,6 +40,8 @@ MIN_ROOT = 3.0
 FREQUENT = 2048
 PAIR_DOCS = 10
 PAIR_ROOT = 6.0
+#: Documents and terms of which the fit holds pair counts at once.
+LOT, STRIPE = 512, 256
 FACTORS = 4
 EPOCHS = 60
 RATE = 0.15
@@ -134,7 +136,9 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return sample.select("label", "text").mapInArrow(count, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _matrix(sample: DataFrame, place: np.ndarray) -> list:
+def _matrix(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, terms (rows of ``place``, 32 bits each) and offsets of the sample's documents, by doc_id and label."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, ends = terms_of(batch.column("text"), place)
@@ -142,7 +146,11 @@ def _matrix(sample: DataFrame, place: np.ndarray) -> list:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "terms"])
 
     got = sample.select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label int, terms array<int>").toArrow()
-    return [np.asarray(got["label"].combine_chunks()), got["terms"].combine_chunks(), np.asarray(got["doc_id"].combine_chunks())]
+    label, lists, ids = np.asarray(got["label"].combine_chunks()), got["terms"].combine_chunks(), np.asarray(got["doc_id"].combine_chunks())
+    del got
+    order = np.lexsort([label, ids])
+    lists = lists.take(pa.array(order))
+    return label[order].astype(float), np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
 
 
 def _root(n1: np.ndarray, n0: np.ndarray, share: np.ndarray | float) -> np.ndarray:
@@ -158,21 +166,28 @@ def _joint(flat: np.ndarray, ends: np.ndarray, label: np.ndarray, columns: np.nd
     k = len(columns)
     at = np.full(width, -1, np.int64)
     at[columns] = np.arange(k)
-    both = np.zeros((2, k, k), np.float32)
-    for c in (0, 1):
-        own = np.flatnonzero(label == c)
-        for docs in np.array_split(own, max(1, len(own) // 512)):
-            x = np.zeros((len(docs), k), np.float32)
-            for r, d in enumerate(docs):
-                j = at[flat[ends[d] : ends[d + 1]]]
-                x[r, j[j >= 0]] = 1
-            both[c] += x.T @ x
-    alone = both[:, np.arange(k), np.arange(k)].astype(float)
+    present = np.zeros((len(label), -(-k // 8)), np.uint8)  # a bit a term
+    for d in range(len(label)):
+        j = at[flat[ends[d] : ends[d + 1]]]
+        row = np.zeros(k, bool)
+        row[j[j >= 0]] = True
+        present[d] = np.packbits(row)
+    own = [np.flatnonzero(label == c) for c in (0, 1)]
+    lots = [(c, lot) for c in (0, 1) for lot in np.array_split(own[c], max(1, len(own[c]) // LOT))]
+    x_of = lambda lot: np.unpackbits(present[lot], axis=1, count=k).astype(np.float32)
+    alone = np.zeros((2, k))
+    for c, lot in lots:
+        alone[c] += x_of(lot).sum(0)
     logit = lambda q: np.log(q / (1 - q))
     odds = logit((alone[1] + 0.5) / (alone.sum(0) + 1))
     found = []
     for i in range(k):
-        n0, n1 = both[:, i, i + 1 :].astype(float)
+        if i % STRIPE == 0:  # the counts of all pairs at once would be the largest table of the fit
+            both = np.zeros((2, min(STRIPE, k - i), k), np.float32)
+            for c, lot in lots:
+                x = x_of(lot)
+                both[c] += x[:, i : i + STRIPE].T @ x
+        n0, n1 = both[:, i % STRIPE, i + 1 :].astype(float)
         least = np.minimum(alone[:, i].sum(), alone[:, i + 1 :].sum(0))
         j = np.flatnonzero((n0 + n1 >= PAIR_DOCS) & (n0 + n1 <= 0.9 * least))  # a word and its own beginning are no pair
         n0, n1, other = n0[j], n1[j], odds[i + 1 + j]
@@ -201,19 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     often = often[seen.sum(0)[often] >= PAIR_DOCS]
     held = np.union1d(telling, often)
     place[held] = np.arange(len(held))
-    label, lists, ids = _matrix(rows, place)
+    label, flat, ends = _matrix(rows, place)
     if len(set(label.tolist())) < 2:  # labels of documents that are not there
         return untrained
-    order = np.lexsort([label, ids])
-    lists, label = lists.take(pa.array(order)), label[order].astype(float)
-    flat = np.asarray(lists.flatten()).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
     joint = often[_joint(flat, ends, label, place[often], len(held), share)]
     buckets = np.union1d(joint, telling)
     place = np.full(BUCKETS, -1, np.int64)
     place[buckets] = np.arange(len(buckets))
-    flat = place[held][flat]
-    ends = np.concatenate([[0], np.cumsum(flat >= 0)])[ends]
+    flat = place[held].astype(np.int32)[flat]
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(flat >= 0, dtype=np.int32)])[ends]
     flat = flat[flat >= 0]
     weight = np.where(label == 1, counts[1] / used[1], counts[0] / used[0])
     return _fitted(Model(place, 0.0, np.zeros(len(buckets)), np.random.Generator(np.random.PCG64(5)).normal(0, 0.01, (len(buckets), FACTORS))), flat, ends, label, weight / weight.mean())
@@ -222,11 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _fitted(m: Model, flat: np.ndarray, ends: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Model:
     """AdaGrad on the weighted logistic loss."""
     n, k = len(label), len(m.w)
-    doc = np.repeat(np.arange(n), np.diff(ends))
     m.w0 = float(np.log((weight * label).sum() / (weight * (1 - label)).sum()))
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full(m.v.shape, 1e-8)
     batches = np.array_split(np.random.Generator(np.random.PCG64(7)).permutation(n), max(1, n // 512))
-    starts = [np.concatenate([np.arange(ends[d], ends[d + 1]) for d in b]) if len(b) else b for b in batches]
+    starts = [np.concatenate([np.arange(ends[d], ends[d + 1], dtype=np.int32) for d in b]) if len(b) else b for b in batches]
     for _ in range(EPOCHS):
         for rows, at in zip(batches, starts, strict=True):
             size = np.diff(ends)[rows]
